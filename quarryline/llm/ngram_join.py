@@ -42,7 +42,7 @@ WORDS = 5
 PERCENT = 75
 #: shingles counted together in one window, and the count that makes one frequent
 WINDOW = 4_000_000
-FREQUENT = 4
+FREQUENT = 2
 #: the frequent shingles that are sent to every task: at most 16 bytes each
 MOST_FREQUENT = 1 << 20
 #: bits of the filter that tells which texts' sets are needed (8 MB)
@@ -81,7 +81,7 @@ def _node(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    bits = 1 << max(8, int(2 * len(s) - 1).bit_length())
+    bits = 1 << max(8, int(len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -121,16 +121,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from frequent()
 
 
-def _ordered(s: np.ndarray, tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
+def _ordered(s: np.ndarray, tokens: np.ndarray, seen: np.ndarray, maybe: np.ndarray) -> np.ndarray:
     """The set from rare to frequent."""
     if not len(tokens):
         return s
-    at = np.searchsorted(tokens, s)
+    near = np.flatnonzero(maybe[(s >> U(42)).astype(np.int64)])
+    at = np.searchsorted(tokens, s[near])
     at[at == len(tokens)] = 0
-    hot = tokens[at] == s
-    if not hot.any():
+    found = tokens[at] == s[near]
+    if not found.any():
         return s
-    return np.concatenate([s[~hot], s[hot][np.argsort(seen[at[hot]], kind="stable")]])
+    hot = np.zeros(len(s), bool)
+    hot[near[found]] = True
+    return np.concatenate([s[~hot], s[hot][np.argsort(seen[at[found]], kind="stable")]])
 
 
 def _post(frequent, boundary: int):
@@ -138,6 +141,8 @@ def _post(frequent, boundary: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = frequent.value
+        maybe = np.zeros(1 << 22, bool)  # rules most shingles out
+        maybe[(tokens >> U(42)).astype(np.int64)] = True
         known: set[int] = set()
         for _, sets in _sets(batches):
             out, nodes, sizes = [], [], []
@@ -149,7 +154,7 @@ def _post(frequent, boundary: int):
                 if node in known:
                     continue
                 known.add(node)
-                order, spare = _ordered(s, tokens, seen), n - _least_overlap(n)
+                order, spare = _ordered(s, tokens, seen, maybe), n - _least_overlap(n)
                 if n < boundary:
                     head = order[: spare + 2]
                     i, j = np.triu_indices(len(head), 1)
@@ -244,9 +249,19 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame) -> Stored:
+    """The pairs that link.  Only the sets that they need are kept when the texts are
+    read, by a filter of fixed size; what it lets through besides is joined with none."""
+    spark = docs.sparkSession
+    at = pairs.select(F.explode(F.array("u", "v")).alias("node")).select(F.col("node").bitwiseAND((1 << FILTER_BITS) - 1).alias("at")).distinct()
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow()
+    needed = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    needed[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.int64)
+    if not len(words):
+        return Stored(pairs)
+    sets = docs.select("text").mapInArrow(_keep_sets(spark.sparkContext.broadcast(needed.view(U))), "node long, s binary").groupBy("node").agg(F.max("s").alias("s"))
     a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long")
+    return Stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long"))
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -327,25 +342,25 @@ def _cross(all_pairs: bool):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
-                yield pa.RecordBatch.from_pydict({"u": pa.array([min(p) for p in out], pa.int64()), "v": pa.array([max(p) for p in out], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"token": pa.array([p[0] for p in out], pa.int64()), "u": pa.array([min(p[1:]) for p in out], pa.int64()), "v": pa.array([max(p[1:]) for p in out], pa.int64())})
                 out.clear()
 
         for batch in batches:
             c = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for token, x, y, node, n, comp, bits, side in zip(*c, strict=True):
                 if (token, x, y) != at:
-                    out += pairs(group) if len(group) > 1 else []
+                    out += [(at[0], *p) for p in pairs(group)] if len(group) > 1 else []
                     at, group = (token, x, y), []
                 group.append((node, n, comp, bits, side))
             yield from flush()
-        out += pairs(group) if len(group) > 1 else []
+        out += [(at[0], *p) for p in pairs(group)] if len(group) > 1 else []
         yield from flush()
 
     return run
 
 
 def _crossing(lists: DataFrame, comps: DataFrame, classes: DataFrame, all_pairs: bool) -> DataFrame:
-    """Candidate pairs between components, from lists that hold several."""
+    """(token, u, v): candidate pairs between components, from lists that hold several."""
     labelled = lists.select("token", "node", "n").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo != hi")
     table = labelled.join(mixed.select("token", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("blocks")), "token")
@@ -354,7 +369,7 @@ def _crossing(lists: DataFrame, comps: DataFrame, classes: DataFrame, all_pairs:
     table = table.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "n", "component", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     table = table.join(classes.select("node", "bits"), "node").select("token", "x", "y", "node", "n", "component", "bits", "side")
     dealt = table.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "node")
-    return dealt.mapInArrow(_cross(all_pairs), "u long, v long").distinct()
+    return dealt.mapInArrow(_cross(all_pairs), "token long, u long, v long")
 
 
 def _boundary(classes: DataFrame, repeats: float) -> int:
@@ -401,25 +416,21 @@ def join_components(docs: DataFrame) -> DataFrame:
     sorted_lists = posted.repartition("token").sortWithinPartitions("token", "n", "node")
     lists = Stored(sorted_lists.mapInArrow(_lists, "token long, node long, n int, mate long"))
 
-    bits = lists.read().select((F.col("node").bitwiseAND((1 << FILTER_BITS) - 1)).alias("at")).distinct()
-    words = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow()
-    needed = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    needed[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.int64)
-    wanted = spark.sparkContext.broadcast(needed.view(U))
-    sets = Stored(text.mapInArrow(_keep_sets(wanted), "node long, s binary").groupBy("node").agg(F.max("s").alias("s")))
-
     mates = lists.read().where("mate != node").groupBy("node", "mate").agg(F.count("*").alias("k")).groupBy("node").agg(F.expr("max_by(mate, struct(k, mate))").alias("mate"))
     u = classes.read().select(F.col("node").alias("u"), F.col("n").alias("a"), F.col("bits").alias("x"))
     v = classes.read().select(F.col("node").alias("v"), F.col("n").alias("b"), F.col("bits").alias("y"))
     near = mates.select(F.col("node").alias("u"), F.col("mate").alias("v")).join(u, "u").join(v, "v").select("u", "v", "a", "b", "x", "y").mapInArrow(_plausible, "u long, v long")
-    links = Stored(_verified(near, sets.read()))
+    links = _verified(Stored(near).read(), docs)
+    labels = components(links.read())
+    # one pair for each pair of components and list; then, where there were any, all
+    some = Stored(_crossing(lists.read(), labels, classes.read(), False))
+    more = _verified(Stored(some.read().select("u", "v").distinct()).read(), docs)
+    links = Stored(links.read().unionByName(more.read()))
     labels = components(links.read())
-    for all_pairs in (False, True):
-        more = Stored(_verified(_crossing(lists.read(), labels, classes.read(), all_pairs), sets.read()))
-        links = Stored(links.read().unionByName(more.read()))
-        labels = components(links.read())
-    for table in (lists, sets, links):
-        table.discard()
+    open_lists = lists.read().join(some.read().select("token").distinct(), "token", "left_semi")
+    rest = _verified(Stored(_crossing(open_lists, labels, classes.read(), True).select("u", "v").distinct()).read(), docs)
+    labels = components(links.read().unionByName(rest.read()))
+    lists.discard()
     named = classes.read().join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     group = named.join(least, "component").select("node", "component_id")
