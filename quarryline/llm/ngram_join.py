@@ -18,10 +18,11 @@ from the sizes and list lengths that the counting pass found.
 
 *Scanning.*  Lists are sorted by size, so a member is compared with members of
 about its size.  No list is expanded into all pairs: first each member gets one
-partner, then, with components known, lists are dealt in bounded blocks and only
+partner; then, with components known, lists are dealt in bounded blocks and only
 members of different components are compared, by parity bitmaps whose Hamming
 distance never exceeds the symmetric difference (so nothing that links is lost).
-What passes is decided by exact intersection of the shingle sets.
+Each text tries its closest candidate for two rounds, then all candidates that still
+cross components.  Exact intersection of the shingle sets decides.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ FILTER_BITS = 26
 #: members of a list that are compared in one task
 BLOCK = 2048
 TOKEN_BYTES = 6
+#: rounds in which each text tries its closest candidate before all are tried
+CLOSEST_ROUNDS = 2
 
 U = np.uint64
 
@@ -286,10 +289,10 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(all_pairs: bool):
-    """In a block (or two) of one list: pairs in different components whose sizes
-    and bitmaps allow a link; one for each pair of components, or all."""
+    """In a block (or two) of one list: pairs in different components whose sizes and
+    bitmaps allow a link: each member's closest, or all."""
 
-    def pairs(group: list[tuple]) -> list[tuple[int, int]]:
+    def pairs(group: list[tuple]) -> list[tuple[int, int, float]]:
         by: dict[int, list[int]] = {}
         maps: dict[tuple[int, int], np.ndarray] = {}
         for i, g in enumerate(group):
@@ -308,8 +311,8 @@ def _cross(all_pairs: bool):
         comp = np.array([g[2] for g in group], np.int64)
         side = np.array([g[4] for g in group], np.int64)
         two = side.any() and not side.all()
-        found: list[tuple[int, int]] = []
-        done: set[tuple[int, int]] = set()
+        found: list[tuple[int, int, float]] = []
+        closest: dict[int, tuple[float, int]] = {}
         levels = sorted(by)
         for level in levels:
             for other in (x for x in levels if level <= x <= 2 * level):
@@ -328,39 +331,51 @@ def _cross(all_pairs: bool):
                     total = n[theirs[ok]] + n[i]
                     # (total - apart) / 2 is the most that they can share
                     close = 100 * (total - apart) >= PERCENT * (total + apart)
-                    for j, d in zip(theirs[ok[close]], apart[close], strict=True):
-                        key = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                        if not all_pairs:
-                            if key in done:
-                                continue
-                            done.add(key)
-                        found.append((group[i][0], group[j][0]))
-        return found
+                    for j, d in zip(theirs[ok[close]].tolist(), (apart[close] / total[close]).tolist(), strict=True):
+                        if all_pairs:
+                            found.append((group[i][0], group[j][0], d))
+                            continue
+                        for x, y in ((int(i), j), (j, int(i))):
+                            if x not in closest or (d, y) < closest[x]:
+                                closest[x] = (d, y)
+        return found if all_pairs else [(group[x][0], group[y][0], d) for x, (d, y) in closest.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, out = None, [], []
+        told: set[tuple[int, int]] = set()
+
+        def close() -> None:
+            for u, v, d in pairs(group) if len(group) > 1 else ():
+                if all_pairs:  # a pair meets in many lists
+                    u, v = min(u, v), max(u, v)
+                    if (u, v) in told:
+                        continue
+                    if len(told) > 500_000:
+                        told.clear()
+                    told.add((u, v))
+                out.append((at[0], u, v, d))
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
-                yield pa.RecordBatch.from_pydict({"token": pa.array([p[0] for p in out], pa.int64()), "u": pa.array([min(p[1:]) for p in out], pa.int64()), "v": pa.array([max(p[1:]) for p in out], pa.int64())})
+                yield pa.RecordBatch.from_pydict({n: pa.array([p[k] for p in out], pa.float64() if n == "apart" else pa.int64()) for k, n in enumerate(("token", "u", "v", "apart"))})
                 out.clear()
 
         for batch in batches:
             c = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for token, x, y, node, n, comp, bits, side in zip(*c, strict=True):
                 if (token, x, y) != at:
-                    out += [(at[0], *p) for p in pairs(group)] if len(group) > 1 else []
+                    close()
                     at, group = (token, x, y), []
                 group.append((node, n, comp, bits, side))
             yield from flush()
-        out += [(at[0], *p) for p in pairs(group)] if len(group) > 1 else []
+        close()
         yield from flush()
 
     return run
 
 
 def _crossing(lists: DataFrame, comps: DataFrame, classes: DataFrame, all_pairs: bool) -> DataFrame:
-    """(token, u, v): candidate pairs between components, from lists that hold several."""
+    """(token, u, v, apart): candidate pairs between components, from lists that hold several."""
     labelled = lists.select("token", "node", "n").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo != hi")
     table = labelled.join(mixed.select("token", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("blocks")), "token")
@@ -369,7 +384,7 @@ def _crossing(lists: DataFrame, comps: DataFrame, classes: DataFrame, all_pairs:
     table = table.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "n", "component", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     table = table.join(classes.select("node", "bits"), "node").select("token", "x", "y", "node", "n", "component", "bits", "side")
     dealt = table.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "node")
-    return dealt.mapInArrow(_cross(all_pairs), "token long, u long, v long")
+    return dealt.mapInArrow(_cross(all_pairs), "token long, u long, v long, apart double")
 
 
 def _boundary(classes: DataFrame, repeats: float) -> int:
@@ -422,12 +437,15 @@ def join_components(docs: DataFrame) -> DataFrame:
     near = mates.select(F.col("node").alias("u"), F.col("mate").alias("v")).join(u, "u").join(v, "v").select("u", "v", "a", "b", "x", "y").mapInArrow(_plausible, "u long, v long")
     links = _verified(Stored(near).read(), docs)
     labels = components(links.read())
-    # one pair for each pair of components and list; then, where there were any, all
-    some = Stored(_crossing(lists.read(), labels, classes.read(), False))
-    more = _verified(Stored(some.read().select("u", "v").distinct()).read(), docs)
-    links = Stored(links.read().unionByName(more.read()))
-    labels = components(links.read())
-    open_lists = lists.read().join(some.read().select("token").distinct(), "token", "left_semi")
+    # each text's closest candidate, twice; then all candidates of lists that had any
+    open_lists = lists.read()
+    for _ in range(CLOSEST_ROUNDS):
+        some = Stored(_crossing(open_lists, labels, classes.read(), False))
+        closest = some.read().groupBy("u").agg(F.expr("min_by(v, struct(apart, v))").alias("v"))
+        more = _verified(Stored(closest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()).read(), docs)
+        links = Stored(links.read().unionByName(more.read()))
+        labels = components(links.read())
+        open_lists = lists.read().join(some.read().select("token").distinct(), "token", "left_semi")
     rest = _verified(Stored(_crossing(open_lists, labels, classes.read(), True).select("u", "v").distinct()).read(), docs)
     labels = components(links.read().unionByName(rest.read()))
     lists.discard()
