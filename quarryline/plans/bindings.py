@@ -27,7 +27,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN l.l_partkey % 97 = 0 THEN 'Red' ELSE 'Green' END AS rag_status FROM {LINES} l""",
     "dependencies": f"SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS project_id, CASE WHEN l_returnflag = 'R' THEN 'Escalated' WHEN l_returnflag = 'A' THEN 'Resolved' ELSE 'Open' END AS status, CAST(l_shipdate AS DATE) AS cutoff_date FROM {LINES} l",
     "transactions": "SELECT l_orderkey AS project_id, CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 'PO' WHEN 1 THEN 'CR' WHEN 2 THEN 'Spend' ELSE 'Refund' END AS transaction_type, l_extendedprice AS amount FROM lineitem",
-    "budgets": "SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 50 = 0 THEN 0.0 ELSE round(o_totalprice / 4, 2) END AS approved_budget FROM orders",
+    "budgets": "SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 50 = 0 THEN 0.0 ELSE floor(o_totalprice * 25) / 100 END AS approved_budget FROM orders",
     "stages": f"SELECT l_orderkey AS project_id, CASE CAST(l_partkey % 8 AS INT) WHEN 0 THEN 'Initiation' WHEN 1 THEN 'Requirements' WHEN 2 THEN 'Design' WHEN 3 THEN 'Build' WHEN 4 THEN 'Test' WHEN 5 THEN 'Deploy' WHEN 6 THEN 'Hypercare' ELSE 'Closure' END AS stage, l_linenumber AS stage_order, CASE l_returnflag WHEN 'A' THEN 'Completed' WHEN 'R' THEN 'In_Progress' ELSE 'Not_Started' END AS status FROM {LINES} l",
     "history": "SELECT user_id AS entity, event_type AS field, ts, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'a' WHEN event_id % 3 = 1 THEN 'b' ELSE 'c' END AS value FROM events",
     "items": "SELECT l_orderkey AS request_id, CAST(l_partkey % 90 AS BIGINT) AS unit_id, concat('system ', CAST(l_suppkey % 60 AS VARCHAR(20))) AS system, CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'simple' WHEN 1 THEN 'medium' ELSE 'odd' END AS complexity, l_quantity AS quantity, CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN 'api' WHEN 1 THEN 'ui' WHEN 2 THEN 'test' ELSE 'other' END AS category FROM lineitem",
