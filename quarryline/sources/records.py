@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 CORRUPT = "_corrupt_record"
 
@@ -18,14 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good, bad): JSON records; what can't be read is a row of the second table."""
     whole = StructType([*schema.fields]).add(CORRUPT, StringType())
-    df = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).json(path)
-    rows = df.select("*", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("wholetext", multi_line).text(path).where("trim(value) != ''")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = lines.select(F.from_json("value", whole, options).alias("r"), F.col("_metadata.file_path").alias("file")).select("r.*", "file")
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select("file", CORRUPT)
 
 
 def read_inventories(spark: SparkSession, path: str, item: StructType) -> tuple[DataFrame, DataFrame]:
     """(items, failed): one document for each repo, its items exploded."""
-    schema = StructType().add("repo", "string").add("sid", "string").add("items", f"array<{item.simpleString()}>")
+    schema = StructType().add("repo", "string").add("sid", "string").add("items", ArrayType(item))
     good, bad = read_records(spark, path, schema, multi_line=True)
     shaped = F.col("repo").isNotNull() & F.col("items").isNotNull()
     items = good.where(shaped).select("repo", "sid", F.explode("items").alias("item")).select("repo", "sid", "item.*")
