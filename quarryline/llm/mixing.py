@@ -24,7 +24,7 @@ RESOLUTION = 4096
 #: sources that a recipe may name
 MOST_SOURCES = 100_000
 #: rows that are put in order in one task
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def shares(weights: dict, resolution: int = RESOLUTION) -> dict:
