@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .shared import small_batches
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
@@ -196,6 +197,7 @@ def _per_text(items: Items, column: pa.Array, threshold: float) -> Iterator[tupl
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     """Broadcast blocks of items with their seeds."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.where("text is not null").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_WORDS))

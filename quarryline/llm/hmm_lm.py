@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .labelled import held_out
-from .shared import Stored
+from .shared import Stored, small_batches
 
 PARTS, HELD_OUT = 7, 2
 STATES = 8
@@ -236,6 +236,7 @@ class LanguageModel:
 
     def __init__(self, docs: DataFrame, parts: int = PARTS, part: int = HELD_OUT, rounds: int = ROUNDS):
         spark = docs.sparkSession
+        small_batches(spark)
         train = docs.where(~held_out(parts, part)).select("text")
         told = Stored(train.mapInArrow(_count, "h long, g int, c long").groupBy("h").agg(F.max("g").alias("g"), F.sum("c").alias("c")))
         self.vocabulary = told.read().where("h is not null")

@@ -42,7 +42,7 @@ WORDS = 5
 #: 100 * intersection >= 75 * union
 PERCENT = 75
 #: shingles counted together in one window, and the count that makes one frequent
-WINDOW = 4_000_000
+WINDOW = 2_000_000
 FREQUENT = 2
 #: the frequent shingles that are sent to every task: at most 16 bytes each
 MOST_FREQUENT = 1 << 20
@@ -238,16 +238,15 @@ def _keep_sets(wanted):
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets meet the threshold."""
 
-    def tokens(packed: bytes) -> np.ndarray:
-        out = np.zeros((len(packed) // TOKEN_BYTES, 8), np.uint8)
+    def tokens(packed: pa.Buffer) -> np.ndarray:
+        out = np.zeros((packed.size // TOKEN_BYTES, 8), np.uint8)
         out[:, :TOKEN_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, TOKEN_BYTES)
         return out.view(U).ravel()
 
     for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         keep = []
-        for x, y in zip(a, b, strict=True):
-            x, y = tokens(x), tokens(y)
+        for i in range(batch.num_rows):
+            x, y = tokens(batch.column(2)[i].as_buffer()), tokens(batch.column(3)[i].as_buffer())
             keep.append(bool(_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
@@ -262,9 +261,12 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> Stored:
     needed[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.int64)
     if not len(words):
         return Stored(pairs)
-    sets = docs.select("text").mapInArrow(_keep_sets(spark.sparkContext.broadcast(needed.view(U))), "node long, s binary").groupBy("node").agg(F.max("s").alias("s"))
+    shared = spark.sparkContext.broadcast(needed.view(U))
+    sets = docs.select("text").mapInArrow(_keep_sets(shared), "node long, s binary").groupBy("node").agg(F.max("s").alias("s"))
     a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
-    return Stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long"))
+    linked = Stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long"))
+    shared.destroy()
+    return linked
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -430,6 +432,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     posted = text.mapInArrow(_post(frequent, boundary), "token long, node long, n int")
     sorted_lists = posted.repartition("token").sortWithinPartitions("token", "n", "node")
     lists = Stored(sorted_lists.mapInArrow(_lists, "token long, node long, n int, mate long"))
+    frequent.destroy()
 
     mates = lists.read().where("mate != node").groupBy("node", "mate").agg(F.count("*").alias("k")).groupBy("node").agg(F.expr("max_by(mate, struct(k, mate))").alias("mate"))
     u = classes.read().select(F.col("node").alias("u"), F.col("n").alias("a"), F.col("bits").alias("x"))

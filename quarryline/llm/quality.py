@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .labelled import TRAIN_ROWS, held_out, training_rows
-from .shared import Stored
+from .shared import Stored, small_batches
 
 THRESHOLD = 0.7
 WORDS = 4096
@@ -177,6 +177,7 @@ def _labelled(vectors):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
     """Word vectors of ``docs`` and a network from those of ``labels`` (doc_id, quality)
     that aren't held out."""
+    small_batches(docs.sparkSession)
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     sample = Stored(training_rows(docs, labels, "quality", rows).mapInArrow(_labelled(shared), "label int, fold int, x array<double>"))

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: bytes of texts that reach a Python worker at once, unless the session says otherwise
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 _FALLBACK: dict[str, str] = {}
 
 
@@ -30,11 +32,19 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _FALLBACK[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: ten thousand long texts would be one otherwise."""
+    set_by_user = spark.sparkContext.getConf().contains(BATCH[0])
+    if not set_by_user:
+        spark.conf.set(BATCH[0], str(BATCH[1]))
+
+
 class Stored:
     """A table written to the shared folder, to be read again any number of times."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
+        small_batches(self.spark)
         self.path = f"{shared_folder(self.spark)}/quarryline/{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.schema = df.schema
