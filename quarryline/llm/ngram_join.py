@@ -46,7 +46,7 @@ WINDOW = 2_000_000
 FREQUENT = 2
 #: the frequent shingles that are sent to every task: at most 16 bytes each
 MOST_FREQUENT = 1 << 20
-#: bits of the filter that tells which texts' sets are needed (8 MB)
+#: bits of the filter that tells which rows' texts are needed (8 MB)
 FILTER_BITS = 26
 #: members of a list that are compared in one task
 BLOCK = 2048
@@ -77,6 +77,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[np.nda
             yield {k: c.slice(lo, hi - lo) for k, c in rest.items()}, [tb.shingle_set(hashes, all_shingles, first[i], first[i + 1], WORDS) for i in range(hi - lo)]
 
 
+def _chosen(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The texts of batches (rh, text) whose rows the filter lets through."""
+    for batch in batches:
+        at = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
+        keep = (bits[at >> 6] >> (at & 63).astype(U) & U(1)).astype(bool)
+        if keep.any():
+            yield batch.select(["text"]).filter(pa.array(keep))
+
+
+def _row_filter(rows: DataFrame) -> np.ndarray:
+    """Bits for the hashes rh of ``rows``: a filter of fixed size, whatever their number.
+    A full one lets all rows through, which costs time and changes no result."""
+    at = rows.select(F.col("rh").bitwiseAND((1 << FILTER_BITS) - 1).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.int64)
+    return bits.view(U)
+
+
+def _hashed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("doc_id", "text").alias("rh"), "text")
+
+
 def _node(s: np.ndarray) -> int:
     """The class of a set: two 64-bit digests of its shingles, mixed into one."""
     both = np.array([s.sum(dtype=U), np.bitwise_xor.reduce(s), U(len(s))], U)
@@ -139,15 +162,15 @@ def _ordered(s: np.ndarray, tokens: np.ndarray, seen: np.ndarray, maybe: np.ndar
     return np.concatenate([s[~hot], s[hot][np.argsort(seen[at[found]], kind="stable")]])
 
 
-def _post(frequent, boundary: int):
-    """Postings of heavy sets and 2-subsets of light ones."""
+def _post(frequent, first, boundary: int):
+    """Postings of heavy sets and 2-subsets of light ones, from one row of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = frequent.value
         maybe = np.zeros(1 << 22, bool)  # rules most shingles out
         maybe[(tokens >> U(42)).astype(np.int64)] = True
         known: set[int] = set()
-        for _, sets in _sets(batches):
+        for _, sets in _sets(_chosen(batches, first.value)):
             out, nodes, sizes = [], [], []
             for s in sets:
                 n = len(s)
@@ -216,16 +239,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keep_sets(wanted):
-    """Shingle sets, once for each class that the filter lets through."""
+    """Shingle sets of the rows that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = wanted.value, set()
-        for _, sets in _sets(batches):
+        known: set[int] = set()
+        for _, sets in _sets(_chosen(batches, wanted.value)):
             nodes, packed = [], []
             for s in sets:
                 node = _node(s)
-                at = node & ((1 << FILTER_BITS) - 1)
-                if node not in known and bits[at >> 6] >> U(at & 63) & U(1):
+                if node not in known:
                     known.add(node)
                     nodes.append(node)
                     packed.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes())
@@ -251,18 +273,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> Stored:
-    """The pairs that link.  Only the sets that they need are kept when the texts are
-    read, by a filter of fixed size; what it lets through besides is joined with none."""
-    spark = docs.sparkSession
-    at = pairs.select(F.explode(F.array("u", "v")).alias("node")).select(F.col("node").bitwiseAND((1 << FILTER_BITS) - 1).alias("at")).distinct()
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow()
-    needed = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    needed[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.int64)
-    if not len(words):
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> Stored:
+    """The pairs that link.  Of each class that a pair needs, one row's text is made into
+    its set again; what the filter lets through besides is joined with no pair."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    bits = _row_filter(needed.join(classes.select("node", "rh"), "node"))
+    if not bits.any():
         return Stored(pairs)
-    shared = spark.sparkContext.broadcast(needed.view(U))
-    sets = docs.select("text").mapInArrow(_keep_sets(shared), "node long, s binary").groupBy("node").agg(F.max("s").alias("s"))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    sets = _hashed_texts(docs).mapInArrow(_keep_sets(shared), "node long, s binary").groupBy("node").agg(F.max("s").alias("s"))
     a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
     linked = Stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long"))
     shared.destroy()
@@ -419,7 +438,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     told = describe(docs)
     rows = told.read().where("seen is null").select("doc_id", "rh", "node", "n")
-    classes = Stored(told.read().where("seen is null and n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    classes = Stored(told.read().where("seen is null and n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rh").alias("rh"), F.max("n").alias("n"), F.max("bits").alias("bits")))
     counts = told.read().where("seen is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
     top = counts.orderBy(F.desc("seen"), "token").limit(MOST_FREQUENT).toArrow()
     tokens, seen = top["token"].to_numpy().astype(np.int64).view(U), top["seen"].to_numpy().astype(np.int64)
@@ -428,28 +447,29 @@ def join_components(docs: DataFrame) -> DataFrame:
     total = classes.read().agg(F.sum("n")).first()[0] or 0
     boundary = _boundary(classes.read(), float(seen.sum()) / max(1, total))
 
-    text = docs.select("text")
-    posted = text.mapInArrow(_post(frequent, boundary), "token long, node long, n int")
+    first = spark.sparkContext.broadcast(_row_filter(classes.read().where("n >= 3")))
+    posted = _hashed_texts(docs).mapInArrow(_post(frequent, first, boundary), "token long, node long, n int")
     sorted_lists = posted.repartition("token").sortWithinPartitions("token", "n", "node")
     lists = Stored(sorted_lists.mapInArrow(_lists, "token long, node long, n int, mate long"))
     frequent.destroy()
+    first.destroy()
 
     mates = lists.read().where("mate != node").groupBy("node", "mate").agg(F.count("*").alias("k")).groupBy("node").agg(F.expr("max_by(mate, struct(k, mate))").alias("mate"))
     u = classes.read().select(F.col("node").alias("u"), F.col("n").alias("a"), F.col("bits").alias("x"))
     v = classes.read().select(F.col("node").alias("v"), F.col("n").alias("b"), F.col("bits").alias("y"))
     near = mates.select(F.col("node").alias("u"), F.col("mate").alias("v")).join(u, "u").join(v, "v").select("u", "v", "a", "b", "x", "y").mapInArrow(_plausible, "u long, v long")
-    links = _verified(Stored(near).read(), docs)
+    links = _verified(Stored(near).read(), classes.read(), docs)
     labels = components(links.read())
     # each text's closest candidate, twice; then all candidates of lists that had any
     open_lists = lists.read()
     for _ in range(CLOSEST_ROUNDS):
         some = Stored(_crossing(open_lists, labels, classes.read(), False))
         closest = some.read().groupBy("u").agg(F.expr("min_by(v, struct(apart, v))").alias("v"))
-        more = _verified(Stored(closest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()).read(), docs)
+        more = _verified(Stored(closest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()).read(), classes.read(), docs)
         links = Stored(links.read().unionByName(more.read()))
         labels = components(links.read())
         open_lists = lists.read().join(some.read().select("token").distinct(), "token", "left_semi")
-    rest = _verified(Stored(_crossing(open_lists, labels, classes.read(), True).select("u", "v").distinct()).read(), docs)
+    rest = _verified(Stored(_crossing(open_lists, labels, classes.read(), True).select("u", "v").distinct()).read(), classes.read(), docs)
     labels = components(links.read().unionByName(rest.read()))
     lists.discard()
     named = classes.read().join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
