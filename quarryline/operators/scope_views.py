@@ -140,3 +140,14 @@ def gap_retrieval(context: DataFrame, top: DataFrame, hits: DataFrame, most: int
     chosen = lacking.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("query_id", "sid")
     best = hits.join(chosen, ["query_id", "sid"], "left_semi").groupBy("query_id", "sid").agg(F.min(F.struct((-F.col("score")).alias("_s"), "chunk_id")).alias("_b"))
     return best.select("query_id", "sid", F.col("_b.chunk_id").alias("chunk_id"), (-F.col("_b._s")).alias("score")).where(F.col("score") > above)
+
+
+def endpoint_calls(edges: DataFrame, routes: DataFrame) -> DataFrame:
+    """(edge_id, src, route_id): the routes of an edge's target that its first item (method,
+    path) with a hit names, paths compared by their normalized form."""
+    items = edges.select("edge_id", "src", F.col("dst").alias("sid"), F.posexplode("items").alias("_pos", "_item"))
+    items = items.select("edge_id", "src", "sid", "_pos", F.col("_item.method").alias("method"), norm_path(F.col("_item.path")).alias("_k"))
+    hits = items.join(routes.select("route_id", "sid", "method", norm_path(F.col("path")).alias("_k")), ["sid", "method", "_k"])
+    first = hits.groupBy("edge_id", "src", "route_id").agg(F.min("_pos").alias("_pos"))
+    order = Window.partitionBy("edge_id", "src")
+    return first.withColumn("_least", F.min("_pos").over(order)).where("_pos = _least").select("edge_id", "src", "route_id")

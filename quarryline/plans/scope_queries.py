@@ -61,3 +61,13 @@ def find_endpoints(calls, routes):
 )
 def service_flows(members):
     return sc.service_flows(members)
+
+
+@job(
+    r"SELECT DISTINCT call_id AS edge_id, c.method AS src, route_id FROM calls c JOIN routes r ON regexp_replace(c.path, '/\d+/', '/{}/') = regexp_replace(r.path, ':\w+', '{}', 'g') AND r.sid = 'svc0' AND r.method IN (c.method, 'GET')",
+    ("calls", "routes"),
+)
+def endpoint_calls(calls, routes):
+    item = lambda method: F.struct(method.alias("method"), F.col("path").alias("path"))
+    edges = calls.select(F.col("call_id").alias("edge_id"), F.col("method").alias("src"), F.lit("svc0").alias("dst"), F.array(item(F.col("method")), item(F.lit("GET"))).alias("items"))
+    return sc.endpoint_calls(edges, routes)

@@ -49,3 +49,10 @@ def test_owners_endpoints_links(spark):
     context = d([(1, s, i) for i, s in enumerate("abcde")], "query_id long, sid string, place int")
     hits = d([(1, "b", 5, 0.9), (1, "b", 6, 0.9), (1, "c", 7, 0.7), (1, "e", 8, 0.99), (1, "a", 9, 1.0)], "query_id long, sid string, chunk_id long, score double")
     assert rows(sc.gap_retrieval(context, d([(1, "a")], "query_id long, sid string"), hits)) == [(1, "b", 5, 0.9)]
+
+
+def test_endpoint_calls(spark):
+    d = spark.createDataFrame
+    routes = d([("r1", "s", "GET", "/v1/{id}"), ("r2", "s", "POST", "/v1/{id}"), ("r3", "s", "GET", "/v1/:key"), ("r4", "t", "GET", "/v1/{id}")], "route_id string, sid string, method string, path string")
+    edges = d([(1, "a", "s", [("PUT", "/v1/7"), ("POST", "/v1/8"), ("GET", "/v1/9")]), (2, "a", "s", [("GET", "/v1/9")]), (3, "a", "s", []), (4, "a", None, [("GET", "/v1/9")]), (5, "a", "s", None)], "edge_id long, src string, dst string, items array<struct<method: string, path: string>>")
+    assert rows(sc.endpoint_calls(edges, routes)) == [(1, "a", "r2"), (2, "a", "r1"), (2, "a", "r3")]
