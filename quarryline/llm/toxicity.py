@@ -4,8 +4,9 @@
 
 *Channel.*  A disguised word is a lattice: a digit or sign may stand for a letter it
 looks like, a separator or a repeated letter may have been added, single letters with
-spaces between them may be one word.  Viterbi finds the likeliest letters under the
-language model.  A word without such characters has one path, itself, and isn't decoded.
+spaces between them may be one word or several.  Viterbi finds the likeliest letters
+under the language model.  A word without such characters has one path, itself, and
+isn't decoded.
 
 *Score.*  Written and restored words are matched with markers (words and word beginnings
 that labelled toxic documents have and clean ones don't); a logistic regression turns a
@@ -16,6 +17,7 @@ for new documents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,8 @@ from .labelled import TRAIN_ROWS, held_out, training_rows
 from .shared import Stored, small_batches
 
 THRESHOLD = 0.3
-#: words longer than this aren't disguised words: they are taken as written
-LONGEST = 28
+#: longer words and spelled-out runs are decoded in windows, each half over the next
+WINDOW = 96
 #: letters that a sign may stand for, and what that costs (in nats)
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "#": "h"}
 SUBSTITUTED, SEPARATED, REPEATED, DOUBLED, KEPT_SIGN = 1.0, 0.4, 0.7, 2.5, 7.0
@@ -48,6 +50,10 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in {*LOOKS_LIKE, *SEPARATORS}]] = True
 _FIRST = np.zeros(256, bool)
 _FIRST[[ord(c) for c in "0123456789@$!|(+"]] = True
+#: marks that may stand around a word
+_AROUND = np.zeros(256, bool)
+_AROUND[[ord(c) for c in ".,;:!?\"'()[]{}<>*#%&=~-_/\\"]] = True
+_REPEATS = re.compile(r"(\S)\1{3,}", re.S)
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +116,12 @@ class Decoder:
                     offer(b, c, y, cost + extra - model[a][b][c], text + y)
                 if x == last or not letter and last in LOOKS_LIKE.get(x, ""):
                     offer(a, b, last, cost + again, text)
-                if not letter:
-                    if x in SEPARATORS or x == " ":
+                if x == " ":  # between spaced letters: the word goes on or ends
+                    offer(a, b, last, cost + SEPARATED, text)
+                    if b:
+                        offer(0, 0, "", cost + SEPARATED - model[a][b][0], text + " ")
+                elif not letter:
+                    if x in SEPARATORS:
                         offer(a, b, last, cost + SEPARATED, text)
                     if b:
                         offer(0, 0, "", cost + KEPT_SIGN - model[a][b][0], text + " ")
@@ -122,37 +132,44 @@ class Decoder:
         return best[1]
 
 
-def _disguised(low: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
+def _windows(text: str) -> Iterator[str]:
+    """The text with long repeats shortened, in windows if it is still long."""
+    text = _REPEATS.sub(r"\1\1\1", text)
+    for i in range(0, max(1, len(text) - WINDOW // 2), WINDOW // 2):
+        yield text[i : i + WINDOW].strip(" ")
+
+
+def _disguised(low: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str]]:
     """(row, spelling) of words that have more than one reading."""
     starts, ends, first = tb.runs(~tb.SEPARATOR[low], offsets)
     if not len(starts):
-        return []
-    letter, sign = tb.LETTER[low], _SIGN[low]
-    odd = np.zeros(len(low), bool)
-    if len(low) > 2:
-        odd[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-        odd[1:-1] |= sign[1:-1] & letter[2:] & letter[:-2]
-        pair = sign[1:-2] & sign[2:-1] & letter[:-3] & letter[3:] if len(low) > 3 else np.zeros(0, bool)
-        odd[1 : 1 + len(pair)] |= pair
-    if len(low) > 1:
-        head = starts[starts + 1 < len(low)]
-        odd[head] |= _FIRST[low[head]] & letter[head + 1]
-    word = np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
+        return
+    letter = tb.LETTER[low]
+    odd = _SIGN[low]
+    odd[1:] |= letter[1:] & (low[1:] == low[:-1]) & (low[1:] < 128)
+    # words without the marks around them
+    inside = np.flatnonzero(~_AROUND[low] & ~tb.SEPARATOR[low])
+    lo = np.append(inside, len(low))[np.searchsorted(inside, starts)]
+    hi = np.append(-1, inside)[np.searchsorted(inside, ends)] + 1
+    # a sign for a letter may begin a word; a bracket that is closed isn't one
+    before, after = low[np.maximum(lo - 1, 0)], np.append(low, 0)[hi]
+    lo = np.where((lo > starts) & (lo < ends) & _FIRST[before] & ~((before == ord("(")) & (after == ord(")"))), lo - 1, lo)
+    letters, odds = np.append(0, np.cumsum(letter)), np.append(0, np.cumsum(odd))
+    whole = np.flatnonzero(lo < hi)
+    whole = whole[(letters[hi[whole]] > letters[lo[whole]]) & (odds[hi[whole]] > odds[lo[whole]]) & (hi[whole] - lo[whole] > 1)]
     row_of = np.searchsorted(first, np.arange(len(starts)), "right") - 1
-    out = []
-    for w in word[ends[word] - starts[word] <= 2 * LONGEST].tolist():
-        text = low[starts[w] : ends[w]].tobytes().decode("utf-8", "replace").strip(".,;:!?\"'()[]{}<>*#%&=~-_/\\")
-        letters = sum(map(str.isalpha, text))
-        if 1 < len(text) <= LONGEST and 2 * letters >= len(text):
-            out.append((int(row_of[w]), text))
+    data = low.tobytes()
+    for row, i, j in zip(row_of[whole].tolist(), lo[whole].tolist(), hi[whole].tolist(), strict=True):
+        for text in _windows(data[i:j].decode("utf-8", "replace")):
+            yield row, text
     # single letters (or signs for them) with spaces between
     length = ends - starts
     single = (length == 1) & (letter[starts] | _FIRST[low[starts]])
     a, b, _ = tb.runs(single, first)
     for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        if 3 <= j - i <= LONGEST:
-            out.append((int(row_of[i]), low[starts[i:j]].tobytes().decode("ascii", "replace")))
-    return out
+        if j - i >= 3:
+            for text in _windows(" ".join(low[starts[i:j]].tobytes().decode("ascii", "replace"))):
+                yield int(row_of[i]), text
 
 
 def _features(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
