@@ -1,10 +1,11 @@
 """Quality: random-indexing word vectors, pooled, and a small calibrated network.
 
-A word is known by its shape (case, digits, marks, with runs shortened) and by whether
-it repeats the word before it, so that words never seen before have vectors too.  Each
-of ``WORDS`` buckets of shapes has a sparse random index vector; its word vector is the
-sum of the index vectors of its neighbours over all documents, one fixed-size table
-that partitions sum up.  A document is the mean and the spread of its words' vectors.
+A word is known by its own hash (A-Z lowered), in one of ``WORDS`` buckets, and by its
+shape (case, digits, marks, with runs shortened) or that it repeats the word before it,
+in one of ``SHAPES`` buckets, so that words never seen before say something too.  Each
+bucket has a sparse random index vector; its vector is the sum of the index vectors of
+its neighbours of the same kind over all documents, one fixed-size table that partitions
+sum up.  A document is the mean and the spread of its shapes' and of its words' vectors.
 A two-layer network in numpy is trained on labelled rows, and a temperature, fitted on
 rows that it wasn't trained on, turns its output into a probability.
 """
@@ -23,8 +24,11 @@ from .labelled import TRAIN_ROWS, held_out, training_rows
 from .shared import Stored, small_batches
 
 THRESHOLD = 0.7
-WORDS = 4096
+#: buckets of shapes, which come first, and of words
+SHAPES, WORDS = 4096, 1 << 14
 DIMENSIONS = 32
+#: of a document: mean and spread for each kind of bucket, and its length
+INPUTS = 4 * DIMENSIONS + 1
 NEIGHBOURS = 2
 HIDDEN = 24
 
@@ -39,18 +43,19 @@ U = np.uint64
 
 def _index() -> tuple[np.ndarray, np.ndarray]:
     """Two places of each bucket's index vector, the first +1, the second -1."""
-    h = tb.mix(np.arange(1, WORDS + 1, dtype=U))
+    h = tb.mix(np.arange(1, SHAPES + WORDS + 1, dtype=U))
     plus = (h % U(DIMENSIONS)).astype(np.int64)
     minus = (plus + 1 + ((h >> U(32)) % U(DIMENSIONS - 1)).astype(np.int64)) % DIMENSIONS
     return plus, minus
 
 
-def _buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bucket of each word, each row's first word)."""
+def _buckets(column: pa.Array) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray], np.ndarray]]:
+    """(first row, end row, each word's bucket as a shape and as a word, each row's first
+    word)."""
     for lo, hi, data, offsets in tb.pieces(column):
         starts, ends, first = tb.runs(~tb.SEPARATOR[data], offsets)
         if not len(starts):
-            yield lo, hi, np.zeros(0, np.int64), first
+            yield lo, hi, (np.zeros(0, np.int64), np.zeros(0, np.int64)), first
             continue
         kind = _KIND[data]
         keep = kind > 0
@@ -63,64 +68,71 @@ def _buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         again = np.zeros(len(word), bool)
         again[1:] = word[1:] == word[:-1]
         again[first[:-1][first[:-1] < len(word)]] = False
-        # the last two buckets are for words that repeat the one before
-        out = (shape % U(WORDS - 2)).astype(np.int64)
-        out[again] = WORDS - 2
-        yield lo, hi, out, first
+        # the last two buckets of shapes are for words that repeat the one before
+        out = (shape % U(SHAPES - 2)).astype(np.int64)
+        out[again] = SHAPES - 2
+        yield lo, hi, (out, SHAPES + (word % U(WORDS)).astype(np.int64)), first
+
+
+_SUMS = [f"d{k}" for k in range(DIMENSIONS)]
 
 
 def _neighbour_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     plus, minus = _index()
-    total = np.zeros(WORDS * DIMENSIONS, np.int64)
+    total = np.zeros((SHAPES + WORDS) * DIMENSIONS, np.int64)
     for batch in batches:
-        for lo, hi, word, first in _buckets(batch.column(0)):
+        for lo, hi, kinds, first in _buckets(batch.column(0)):
             row = np.repeat(np.arange(hi - lo), np.diff(first))
             for k in range(1, NEIGHBOURS + 1):
                 same = np.flatnonzero(row[k:] == row[:-k])
-                a, b = word[same], word[same + k]
-                for x, y in ((a, b), (b, a)):
-                    total += np.bincount(x * DIMENSIONS + plus[y], minlength=len(total))
-                    total -= np.bincount(x * DIMENSIONS + minus[y], minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"at": pa.array(at), "n": pa.array(total[at])})
+                for word in kinds:
+                    a, b = word[same], word[same + k]
+                    for x, y in ((a, b), (b, a)):
+                        total += np.bincount(x * DIMENSIONS + plus[y], minlength=len(total))
+                        total -= np.bincount(x * DIMENSIONS + minus[y], minlength=len(total))
+    table = total.reshape(-1, DIMENSIONS)
+    at = np.flatnonzero(table.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, table[at].T.copy())], names=["at", *_SUMS])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors of the buckets, their own index vector mixed in."""
-    rows = docs.select("text").mapInArrow(_neighbour_sums, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(WORDS * DIMENSIONS)
-    table[rows["at"].to_numpy().astype(np.int64)] = rows["n"].to_numpy()
-    table = table.reshape(WORDS, DIMENSIONS)
+    parts = docs.select("text").mapInArrow(_neighbour_sums, ", ".join(f"{c} long" for c in ["at", *_SUMS]))
+    rows = parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in _SUMS]).toArrow()
+    table = np.zeros((SHAPES + WORDS, DIMENSIONS))
+    table[rows["at"].to_numpy().astype(np.int64)] = np.column_stack([rows[c].to_numpy() for c in _SUMS])
     table /= np.linalg.norm(table, axis=1, keepdims=True) + 1e-9
     plus, minus = _index()
-    table[np.arange(WORDS), plus] += 0.7
-    table[np.arange(WORDS), minus] -= 0.7
+    table[np.arange(len(table)), plus] += 0.7
+    table[np.arange(len(table)), minus] -= 0.7
     return (table / np.linalg.norm(table, axis=1, keepdims=True)).astype(np.float32)
 
 
 def _pooled(column: pa.Array, vectors: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    for lo, hi, word, first in _buckets(column):
+    for lo, hi, kinds, first in _buckets(column):
         n = hi - lo
-        # sums over a row from counts of its buckets: few shapes, many words
-        key = np.repeat(np.arange(n), np.diff(first)) * WORDS + word
-        pair, count = np.unique(key, return_counts=True)
-        row, v = pair // WORDS, vectors[pair % WORDS]
         size = np.maximum(1, np.diff(first))[:, None]
-        sums, squares = np.zeros((n, DIMENSIONS)), np.zeros((n, DIMENSIONS))
-        at = np.searchsorted(row, np.arange(n))
-        full = np.flatnonzero(np.diff(np.append(at, len(row))))
-        if len(full):
-            sums[full] = np.add.reduceat(v * count[:, None], at[full], axis=0)
-            squares[full] = np.add.reduceat(v * v * count[:, None], at[full], axis=0)
-        mean = sums / size
-        spread = np.sqrt(np.maximum(0, squares / size - mean**2))
-        yield lo, hi, np.column_stack([mean, spread, np.minimum(1, np.log1p(np.diff(first)) / 5)])
+        found = []
+        for word in kinds:
+            # sums over a row from counts of its buckets
+            key = np.repeat(np.arange(n), np.diff(first)) * len(vectors) + word
+            pair, count = np.unique(key, return_counts=True)
+            row, v = pair // len(vectors), vectors[pair % len(vectors)]
+            sums, squares = np.zeros((n, DIMENSIONS)), np.zeros((n, DIMENSIONS))
+            at = np.searchsorted(row, np.arange(n))
+            full = np.flatnonzero(np.diff(np.append(at, len(row))))
+            if len(full):
+                sums[full] = np.add.reduceat(v * count[:, None], at[full], axis=0)
+                squares[full] = np.add.reduceat(v * v * count[:, None], at[full], axis=0)
+            mean = sums / size
+            found += [mean, np.sqrt(np.maximum(0, squares / size - mean**2))]
+        yield lo, hi, np.column_stack([*found, np.minimum(1, np.log1p(np.diff(first)) / 5)])
 
 
 class Network:
     """Two layers, tanh and logistic; Adam on mini-batches with a fixed seed."""
 
-    def __init__(self, inputs: int = 2 * DIMENSIONS + 1):
+    def __init__(self, inputs: int = INPUTS):
         rng = np.random.default_rng(7)
         self.mean, self.scale, self.temperature = np.zeros(inputs), np.ones(inputs), 1.0
         self.parts = [rng.normal(0, 1 / np.sqrt(inputs), (inputs, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
@@ -183,9 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     sample = Stored(training_rows(docs, labels, "quality", rows).mapInArrow(_labelled(shared), "label int, fold int, x array<double>"))
     got = sample.read().toArrow()
     sample.discard()
-    x = np.array(got["x"].to_pylist(), float).reshape(-1, 2 * DIMENSIONS + 1)
+    x = np.array(got["x"].to_pylist(), float).reshape(-1, INPUTS)
     y, fold = got["label"].to_numpy().astype(float), got["fold"].to_numpy()
-    order = np.lexsort((*x.T[:4], y, fold))
+    order = np.lexsort((*x.T[:4], *x.T[2 * DIMENSIONS : 2 * DIMENSIONS + 4], y, fold))
     x, y, fold = x[order], y[order], fold[order]
     return vectors, Network().fit(x[fold != 0], y[fold != 0]).calibrate(x[fold == 0], y[fold == 0])
 
