@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Items are cut into word trigrams.  How many documents hold each is counted over all
-documents, and each item's rarer half are its seeds: an item whose passage was copied
-into a third of the corpus still has seeds.  A document that holds a seed of an item
-is aligned with it around the place of the seed, on words; the local alignment's score
-over the item's best possible score is the similarity, so substituted, dropped and
-added words cost a little each and don't hide a copy.
+Items are cut into word trigrams, and all are seeds, however many documents hold them.
+Where a document holds a seed of an item and enough of its words, it is aligned with it
+around the place of the seed, on words; the local alignment's score over the item's best
+possible score is the similarity, so substituted, dropped and added words cost a little
+each and don't hide a copy.
 
 The items are the stated query set: they are sent to the tasks in blocks of at most
 ``BLOCK_WORDS`` words, and each block meets all documents.
@@ -64,32 +63,11 @@ class Items:
             item.append(np.full(len(g), i))
             at.append(np.arange(len(g)))
         self.grams, self.item, self.at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, item, at))
-        self._sort()
-
-    def _sort(self) -> None:
         order = np.argsort(self.grams, kind="stable")
         self.grams, self.item, self.at = self.grams[order], self.item[order], self.at[order]
         self.distinct, self.starts = np.unique(self.grams, return_index=True)
         self.ends = np.append(self.starts[1:], len(self.grams))
 
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Only each item's rarer half; of equal counts, all."""
-        per = counts[np.searchsorted(self.distinct, self.grams)]
-        keep = np.zeros(len(per), bool)
-        for i in range(len(self.ids)):
-            mine = np.flatnonzero(self.item == i) if len(self.ids) <= 64 else self._of[i]
-            if len(mine):
-                keep[mine] = per[mine] <= np.sort(per[mine])[(len(mine) - 1) // 2]
-        self.grams, self.item, self.at = self.grams[keep], self.item[keep], self.at[keep]
-        self._sort()
-
-    @property
-    def _of(self) -> list[np.ndarray]:
-        if not hasattr(self, "_split"):
-            order = np.argsort(self.item, kind="stable")
-            self._split = np.split(order, np.searchsorted(self.item[order], np.arange(1, len(self.ids))))
-        return self._split
-
     def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, index into distinct) of every seed that starts at a word.  Items
         shorter than a seed are met by runs of their own length."""
@@ -160,25 +138,6 @@ def matches(items: Items, hashes: np.ndarray, places: np.ndarray, which: np.ndar
     return out
 
 
-def _counts(shared):
-    """How many texts of the partition hold each seed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        total = np.zeros(len(items.distinct), np.int64)
-        for batch in batches:
-            for _, hashes, first in _words(batch.column(0)):
-                places, which = items.found(hashes)
-                doc = np.searchsorted(first, places, "right") - 1
-                once = np.unique(doc * len(total) + which)
-                if len(once):
-                    total += np.bincount(once % len(total), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"j": pa.array(at), "texts": pa.array(total[at])})
-
-    return run
-
-
 def _per_text(items: Items, column: pa.Array, threshold: float) -> Iterator[tuple[int, list]]:
     for lo, hashes, first in _words(column):
         places, which = items.found(hashes)
@@ -203,12 +162,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     blocks = max(1, -(-int(size) // BLOCK_WORDS))
     for b in range(blocks):
         rows = items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {b}")).orderBy("item_id", "text").collect()
-        block = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        counted = docs.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(block)), "j long, texts long").groupBy("j").agg(F.sum("texts").alias("texts")).toArrow()
-        counts = np.zeros(len(block.distinct), np.int64)
-        counts[counted["j"].to_numpy().astype(np.int64)] = counted["texts"].to_numpy().astype(np.int64)
-        block.keep_rare(counts)
-        yield spark.sparkContext.broadcast(block)
+        yield spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
