@@ -100,11 +100,12 @@ def rrf(ranked: DataFrame, k: int = 60, limit: int = 30) -> DataFrame:
     return _top(first.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (k + F.col("r"))), 9).alias("score")), limit)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = 30, id_col: str = "chunk_id", text_col: str = "display_text") -> DataFrame:
-    """BM25 and, where there are vectors, cosine rankings fused by reciprocal ranks."""
+def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = 30, id_col: str = "chunk_id", text_col: str = "display_text", question_vectors: DataFrame | None = None) -> DataFrame:
+    """BM25 and, where there are vectors, cosine rankings fused by reciprocal ranks.  The
+    questions' vectors are those of ``queries``, or of a table (query_id, vector)."""
     lists = bm25_topk(queries, chunks, k, id_col, text_col).select("query_id", F.lit("sparse").alias("list"), "id", "rank")
     if vectors is not None:
-        lists = lists.unionByName(dense_topk(queries, vectors, k).select("query_id", F.lit("dense").alias("list"), "id", "rank"))
+        lists = lists.unionByName(dense_topk(queries if question_vectors is None else question_vectors, vectors, k).select("query_id", F.lit("dense").alias("list"), "id", "rank"))
     return rrf(lists, limit=k)
 
 

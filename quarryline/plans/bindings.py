@@ -41,6 +41,8 @@ VIEWS: dict[str, str] = {
     "questions": "SELECT item_id AS query_id, text FROM benchmark",
     "vectors": "SELECT vec_id AS id, embedding AS vector FROM embeddings",
     "vector_questions": "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 25 = 0",
+    "question_vectors": "SELECT item_id AS query_id, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id",
+    "rankings": "SELECT user_id AS query_id, event_type AS list, event_id % 97 AS id, 1 + event_id % 13 AS rank FROM events",
     "depends_on": "SELECT DISTINCT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS src, concat('n', CAST(l_partkey % 40 AS VARCHAR(20))) AS dst FROM lineitem UNION SELECT DISTINCT concat('n', CAST(l_partkey % 40 AS VARCHAR(20))), concat('c', CAST(l_partkey % 7 AS VARCHAR(20))) FROM lineitem",
     "entity_target": "SELECT o_orderkey AS source_id, o_orderstatus AS status, CAST(o_totalprice AS VARCHAR(30)) AS text_hash, CAST(o_orderdate AS DATE) AS updated_at, CAST(o_orderdate AS DATE) AS created_at FROM orders WHERE o_orderkey % 4 < 3",
     "entity_batch": "SELECT o_orderkey AS source_id, 'N' AS status, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice AS VARCHAR(30)) ELSE 'changed' END AS text_hash, CAST(o_orderdate AS DATE) + 9 AS updated_at, CAST(o_orderdate AS DATE) + 9 AS created_at FROM orders WHERE o_orderkey % 4 > 0",

@@ -206,7 +206,7 @@ _BM25 = f""", tok AS (SELECT chunk_id AS id, {_TOKENS.format('display_text')} AS
 
 
 @job(_BM25 + " SELECT query_id, rank, id FROM sparse", ("chunks", "questions"))
-def hybrid_search(chunks, questions):
+def bm25_topk(chunks, questions):
     return rt.bm25_topk(questions, chunks).select("query_id", "rank", "id")
 
 
@@ -214,6 +214,22 @@ _DENSE = """, dense AS (SELECT q.query_id, v.id, round(list_cosine_similarity(q.
  top AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM dense QUALIFY rank <= 10)"""
 
 
+#: of lists of (query_id, list, id, rank)
+_RRF = " SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY query_id, id) QUALIFY rank <= 30"
+
+
+@job(_BM25 + """, near AS (SELECT q.query_id, v.id, round(list_cosine_similarity(q.vector::DOUBLE[], v.vector::DOUBLE[]), 6) AS score FROM question_vectors q, vectors v),
+ nearest AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id FROM near QUALIFY rank <= 30),
+ lists AS (SELECT query_id, id, rank FROM sparse UNION ALL SELECT query_id, id, rank FROM nearest)""" + _RRF, ("chunks", "questions", "vectors", "question_vectors"))
+def hybrid_search(chunks, questions, vectors, question_vectors):
+    return rt.hybrid_search(questions, chunks, vectors, question_vectors=question_vectors)
+
+
+@job(", lists AS (SELECT query_id, list, id, min(rank) AS rank FROM rankings GROUP BY ALL)" + _RRF, ("rankings",))
+def rrf(rankings):
+    return rt.rrf(rankings)
+
+
 @job(_DENSE + " SELECT query_id, rank, id, score FROM top", ("vectors", "vector_questions"))
 def dense_topk(vectors, questions):
     return rt.dense_topk(questions, vectors, 10)
