@@ -35,13 +35,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows, and so files, in the order of the mixing schedule; none go."""
-    return mixing.mixed(docs)
+    """Rows with their places in the mixing schedule, mix_block, mix_slot and mix_place;
+    none go."""
+    return mixing.scheduled(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: shard and slot with its id, size and checksum."""
-    return sharding.kd_shards(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
+    """Where each document goes: shard and slot with its id, size and checksum.  The slots
+    of a shard follow the mixing schedule."""
+    return sharding.kd_shards(docs, order=("mix_slot", "mix_place")).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix), ("sharding", shard)]

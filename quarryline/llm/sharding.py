@@ -34,13 +34,14 @@ DIMENSIONS = ("by_source", "by_lang", "by_size")
 _UNIT = 1 << 20
 
 
-def _slim(docs: DataFrame) -> DataFrame:
+def _slim(docs: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """The rows without their texts."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     source = F.col("source") if "source" in docs.columns else F.lit(None)
     return docs.select(
         "doc_id",
+        *order,
         (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"),
@@ -92,16 +93,18 @@ def _split(points: DataFrame) -> DataFrame:
     return halves
 
 
-def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text, and source and lang if there):
     doc_id, size (UTF-8 bytes and 16), text_crc32, shard, slot (0, 1, ... in a shard),
     and row_hash (of doc_id, lang and source) and h (of the text), which name the row.
 
+    ``order``: columns of ``docs`` whose order the slots of a shard follow; the first
+    holds whole numbers from 0 on, none of them of very many rows.
     ``target_bytes``: take as many shards as leave each at most about that much.
     A null text counts as empty; null metadata is a value of its own.  Rows equal in
     every column stay together, so they can't be cut; an empty table gives no rows.
     Other columns of ``docs`` aren't read."""
-    slim = Stored(_slim(docs))
+    slim = Stored(_slim(docs, order))
     total, count = slim.read().agg(F.sum("size"), F.count("*")).first()
     if target_bytes:
         shards = max(1, -(-(total or 0) // target_bytes))
@@ -118,15 +121,20 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None =
         now, most = step, most - most // 2
     leaves = now.read().select("h", "piece", F.col("base").cast("int").alias("shard"))
     placed = rows.read().join(leaves, ["h", "piece"])
-    return _numbered(placed, max(1, int((count or 0) // (shards * NUMBERED))))
+    return _numbered(placed, max(1, int((count or 0) // (shards * NUMBERED))), order)
 
 
-def _numbered(placed: DataFrame, buckets: int) -> DataFrame:
+def _numbered(placed: DataFrame, buckets: int, order: tuple[str, ...] = ()) -> DataFrame:
     """Gapless slots: shards are numbered in buckets, each from where the last ended."""
-    table = Stored(placed.withColumn("bucket", F.expr(f"pmod(h, {buckets})")))
+    if order:  # buckets are ranges of the first column
+        last = placed.agg(F.max(order[0])).first()[0] or 0
+        bucket = F.expr(f"cast(`{order[0]}` as decimal(20)) * {buckets} div {last + 1}")
+    else:
+        bucket = F.expr(f"pmod(h, {buckets})")
+    table = Stored(placed.withColumn("bucket", bucket))
     sizes = table.read().groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     before = sizes.withColumn("before", F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows"))
-    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "row_hash"))
+    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(*order, "h", "doc_id", "row_hash"))
     numbered = table.read().withColumn("inside", inside).join(before.select("shard", "bucket", "before"), ["shard", "bucket"])
     return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("inside") - 1).alias("slot"), "row_hash", "h")
 
