@@ -8,7 +8,7 @@ sum of those, with one share for words never seen.
 
 The model is trained by Baum-Welch: each partition runs scaled forward and backward
 recursions over all its training texts and emits expected counts, which are summed; the
-tables' size is fixed.  The first guess comes from a bounded number of training texts.
+tables' size is fixed.  The first guess is drawn at random around the classes' masses.
 Scores are exact sequence likelihoods by the scaled forward recursion.
 
 Word counts cover all training texts.  The most frequent words' counts are sent to the
@@ -35,9 +35,7 @@ OWN, ENDINGS = 1024, 1024
 CLASSES = 1 + OWN + ENDINGS
 #: words whose counts are sent to every task: 12 bytes each
 SENT = 1 << 20
-#: training texts and words that the first guess is made from, at most
-FIRST_TEXTS, FIRST_WORDS = 400, 200_000
-ROUNDS = 2
+ROUNDS = 14
 #: words of a window in which texts are sorted by length, and cells of one recursion
 WINDOW, CELLS = 2_000_000, 800_000
 U = np.uint64
@@ -266,16 +264,6 @@ class LanguageModel:
             self._train(spark, train, rounds)
 
     def _train(self, spark, train: DataFrame, rounds: int) -> None:
-        order = F.xxhash64("text")
-        first, words = [], 0
-        for text in _windows(iter(train.orderBy(order).limit(FIRST_TEXTS).toArrow().to_batches()), self.counts):
-            for x in text:
-                if words + len(x) <= FIRST_WORDS:
-                    first.append(x)
-                    words += len(x)
-        for _ in range(12 if first else 0):
-            total = sum(self.chain.expect(seen, live) for _, seen, live in _dealt(first))
-            self.chain = Chain.from_counts(total, self.mass)
         for _ in range(rounds):
             shared = spark.sparkContext.broadcast((self.counts, self.chain))
             found = train.mapInArrow(_expectations(shared), "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -66,16 +67,38 @@ def rate_limit(requests: DataFrame, most: int = 10, seconds: int = 60) -> DataFr
 
 def rate_limit_batch(requests: DataFrame, most: int = 10, seconds: int = 60) -> DataFrame:
     """The same over a finished table.  Acceptance depends on the requests accepted before,
-    so a user's requests are folded in order of time, a fixed-size state at a time."""
-    def fold(acc, x):
-        recent = F.filter(acc["recent"], lambda t: x["s"] - t < seconds)
-        ok = F.size(recent) < most
-        return F.struct(F.when(ok, F.concat(recent, F.array(x["s"]))).otherwise(recent).alias("recent"), F.when(ok, acc["accepted"] + 1).otherwise(acc["accepted"]).alias("accepted"), F.when(ok, acc["refused"]).otherwise(acc["refused"] + 1).alias("refused"))
-
-    start = F.struct(F.array().cast("array<double>").alias("recent"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("refused"))
-    times = requests.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((F.unix_micros("ts") / 1e6).alias("s"), "event_id"))).alias("xs"))
-    got = times.select("user_id", F.aggregate("xs", start, fold).alias("r"))
-    return got.select("user_id", F.col("r.accepted").alias("accepted"), F.col("r.refused").alias("refused"))
+    so a user's requests stream through one task in order of time; only the times accepted
+    last are held."""
+    kind = requests.schema["user_id"].dataType
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["user_id", "accepted", "refused"]
+        one = lambda *values: [pa.array([v], t) for v, t in zip(values, (arrow, pa.int64(), pa.int64()), strict=True)]
+        started, user, recent, accepted, refused, arrow = False, None, [], 0, 0, None
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            done = []
+            for now_user, now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not started or now_user != user:
+                    if started:
+                        done.append((user, accepted, refused))
+                    started, user, recent, accepted, refused = True, now_user, [], 0, 0
+                # a request without a time falls into no window
+                recent = [] if now is None else [t for t in recent if now - t < seconds]
+                if len(recent) < most:
+                    accepted += 1
+                    if now is not None:
+                        recent.append(now)
+                else:
+                    refused += 1
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (arrow, pa.int64(), pa.int64()), strict=True)], names=names)
+        if started:
+            yield pa.RecordBatch.from_arrays(one(user, accepted, refused), names=names)
+
+    times = requests.select("user_id", (F.unix_micros("ts") / 1e6).alias("s"), "event_id")
+    ordered = times.repartition("user_id").sortWithinPartitions("user_id", "s", "event_id")
+    return ordered.select("user_id", "s").mapInArrow(fold, f"user_id {kind.simpleString()}, accepted long, refused long")
 
 
 def dedup_within(queries: DataFrame, delay: str = "1 hour") -> DataFrame:
