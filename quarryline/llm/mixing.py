@@ -19,6 +19,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import quoted, unused
+
 BLOCK_BYTES = 1 << 16
 RESOLUTION = 4096
 #: sources that a recipe may name
@@ -79,8 +81,11 @@ def scheduled(docs: DataFrame, weights: dict | None = None, block_bytes: int = B
     than a block is a block that is longer.  Rows of a source are taken in an order
     that their doc_id's hash gives.  Names mix_* in ``docs`` are replaced."""
     docs = docs.drop("mix_block", "mix_slot", "mix_place")
-    sized = docs.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).withColumn("_hash", F.xxhash64("doc_id"))
-    found = sized.groupBy("source").agg(F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
+    p = unused(docs.columns)
+    size, hashed, bucket, upto, start, block = (p + n for n in ("size", "hash", "bucket", "upto", "start", "block"))
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    sized = docs.withColumn(size, length).withColumn(hashed, F.xxhash64("doc_id"))
+    found = docs.groupBy("source").agg(F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if not found:
         return docs.withColumns({"mix_block": F.lit(0).cast("long"), "mix_slot": F.lit(0).cast("long"), "mix_place": F.lit(0).cast("long")})
     weights = tempered(docs) if weights is None else weights
@@ -92,28 +97,30 @@ def scheduled(docs: DataFrame, weights: dict | None = None, block_bytes: int = B
     spark = docs.sparkSession
     kind = docs.schema["source"].dataType.simpleString()
     counts = {r["source"]: r["rows"] for r in found}
-    recipe = spark.createDataFrame([(s, a, max(1, -(-counts.get(s, 0) // BUCKET_ROWS))) for s, a in parts.items()], f"_s {kind}, _parts long, _buckets long")
-    plan = spark.createDataFrame(one_period(parts), f"_s {kind}, _k long, _slot long")
-    rows = sized.join(F.broadcast(recipe), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_bucket", F.expr("pmod(_hash, _buckets)"))
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("_size").alias("_all"))
-    ahead = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_all").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_all")).alias("_ahead"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "_size")
-    placed = rows.withColumn("_upto", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_row", F.row_number().over(inside))
-    placed = placed.join(ahead, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    placed = placed.drop("_s").withColumn("_start", F.col("_ahead") + F.col("_upto") - F.col("_size"))
-    placed = placed.withColumn("mix_block", F.floor(F.col("_start") / block_bytes).cast("long"))
-    turn = placed.withColumn("_turn", F.expr("mix_block % _parts")).join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_turn") == F.col("_k")))
-    slot = F.expr(f"mix_block div _parts * {period} + _slot")
+    recipe = spark.createDataFrame([(s, a, max(1, -(-counts.get(s, 0) // BUCKET_ROWS))) for s, a in parts.items()], f"{p}s {kind}, {p}parts long, {p}buckets long")
+    plan = spark.createDataFrame(one_period(parts), f"{p}s {kind}, {p}k long, {p}slot long")
+    same = F.col("source").eqNullSafe(F.col(p + "s"))
+    rows = sized.join(F.broadcast(recipe), same).drop(p + "s").withColumn(bucket, F.expr(f"pmod({hashed}, {p}buckets)"))
+    sums = rows.groupBy("source", bucket).agg(F.sum(size).alias(p + "all"))
+    before = F.sum(p + "all").over(Window.partitionBy("source").orderBy(bucket)) - F.col(p + "all")
+    ahead = sums.select(F.col("source").alias(p + "s"), F.col(bucket).alias(p + "b"), before.alias(p + "ahead"))
+    inside = Window.partitionBy("source", bucket).orderBy(hashed, "doc_id", size)
+    placed = rows.withColumn(upto, F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.join(ahead, same & (F.col(bucket) == F.col(p + "b"))).drop(p + "s")
+    placed = placed.withColumn(start, F.col(p + "ahead") + F.col(upto) - F.col(size))
+    placed = placed.withColumn(block, F.floor(F.col(start) / block_bytes).cast("long"))
+    turn = placed.join(F.broadcast(plan), same & (F.expr(f"{block} % {p}parts") == F.col(p + "k")))
+    slot = F.expr(f"{block} div {p}parts * {period} + {p}slot")
     # within a block, by the byte at which a row starts
-    done = turn.withColumn("mix_slot", slot.cast("long")).withColumn("mix_place", F.col("_start") - F.col("mix_block") * block_bytes)
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_block", "mix_slot", "mix_place")
+    place = F.col(start) - F.col(block) * block_bytes
+    return turn.select(*quoted(docs.columns), F.col(block).alias("mix_block"), slot.cast("long").alias("mix_slot"), place.alias("mix_place"))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` in mixed order: files and rows follow the schedule."""
     order = scheduled(docs, weights, block_bytes)
     out = order.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place", "doc_id")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*quoted(docs.columns))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -31,12 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .shared import Stored
+from .shared import Stored, quoted, unused
 
 WORDS = 5
 #: 100 * intersection >= 75 * union
@@ -481,8 +481,11 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """``docs`` without the texts that repeat another one: of each component the row
-    with the smallest doc_id stays (one row, where rows repeat)."""
-    found = join_components(docs).where("n_shingles = 0 or doc_id <=> component_id").select(F.col("rh").alias("_row")).distinct()
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    kept = marked.join(found, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    with the smallest doc_id stays (of rows that repeat in doc_id and text, the one whose
+    other columns have the smallest hash).  Other columns may have any name."""
+    p = unused(docs.columns)
+    found = join_components(docs).where("n_shingles = 0 or doc_id <=> component_id").select(F.col("rh").alias(p + "row")).distinct()
+    others = [c.cast("string") for c, n in zip(quoted(docs.columns), docs.columns, strict=True) if n not in ("doc_id", "text")]
+    marked = docs.withColumn(p + "row", F.xxhash64("doc_id", "text")).withColumn(p + "rest", F.xxhash64(F.lit(0), *others))
+    kept = marked.join(found, p + "row", "left_semi").withColumn(p + "nth", F.row_number().over(Window.partitionBy(p + "row").orderBy(p + "rest")))
+    return kept.where(f"{p}nth = 1").select(*quoted(docs.columns))

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: bytes of texts that reach a Python worker at once, unless the session says otherwise
@@ -39,6 +40,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH[0], str(BATCH[1]))
 
 
+def unused(columns: list[str]) -> str:
+    """A prefix that none of the column names begins with, for names of our own beside them."""
+    prefix = "own_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "x" + prefix
+    return prefix
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 class Stored:
     """A table written to the shared folder, to be read again any number of times."""
 
