@@ -230,7 +230,7 @@ def test_chat(spark):
     rows = [(1, k, r, t) for k, (r, t) in enumerate(a)] + [(2, k, r, t) for k, (r, t) in enumerate(a[:2])] + [(3, 5 + k, r, t) for k, (r, t) in enumerate(a)]
     rows += [(4, 0, "user", "hi"), (4, 1, "assistant", "no"), (4, 1, "assistant", "no"), (None, 0, "user", "x"), (5, None, "user", "odd")]
     rows += [(6, k, "user", f"t{k % 3}") for k in range(600)] + [(7, k, "user", f"t{k % 3}") for k in range(599)]
-    got = {(r.conv_id, r.part): r for r in chat.render(d(rows)).collect()}
+    got = {(r.conv_id, r.part): r for r in chat.render(d(rows), part_bytes=4000).collect()}
     assert {k[0] for k in got} == {1, 4, 5, 6} and {k[1] for k in got if k[0] == 6} == {0, 1, 2}
     assert got[1, 0].rendered == "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n<|user|>\n<|end|>\n"
     assert got[1, 0].n_copies == 2 and got[4, 0].n_turns == 2
@@ -302,7 +302,7 @@ def test_html(spark):
 @pytest.mark.parametrize("sent", [3, 1 << 20])
 def test_language_model(spark, messy, nothing, monkeypatch, sent):
     monkeypatch.setattr(hmm_lm, "SENT", sent)
-    got = hmm_lm.score(table(spark, messy), rounds=1).toPandas()
+    got = hmm_lm.score(table(spark, messy), passes=1).toPandas()
     assert len(got) == len(messy)
     tokens = {i: WORD.findall((t or "").translate(LOWER)) + [None] for i, t, *_ in messy}
     c = Counter()
@@ -315,19 +315,3 @@ def test_language_model(spark, messy, nothing, monkeypatch, sent):
         assert abs(r.base_score - sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t)) < 1e-6 * max(1, abs(r.base_score))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[x] > 0 for x in t), n) and r.score <= 0
     assert hmm_lm.score(nothing).count() == 0
-
-
-def test_forward_is_exact():
-    rng = np.random.default_rng(2)
-    chain = hmm_lm.Chain.guess(rng.integers(1, 50, hmm_lm.CLASSES).astype(float))
-    texts = [rng.integers(0, 20, n) for n in (5, 3, 1)]
-    (own, seen, live), = hmm_lm._dealt(texts)
-    got = chain.forward(seen, live)[0]
-    for i, value in zip(own, got, strict=True):
-        a = chain.first * chain.emit[texts[i][0]]
-        for x in texts[i][1:]:
-            a = (a @ chain.move) * chain.emit[x]
-        assert abs(math.log10(a.sum()) - value) < 1e-9
-    expected = chain.expect(seen, live)
-    k = hmm_lm.STATES
-    assert abs(expected[:k].sum() - 3) < 1e-4 and abs(expected[k : k + k * k].sum() - 6) < 1e-4 and abs(expected[k + k * k :].sum() - 9) < 1e-4
