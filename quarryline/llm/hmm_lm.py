@@ -6,10 +6,18 @@ and the end of a text is a class.  A word's probability is the probability of it
 given all words before it, times its share of the class: (count + 1) over the class's
 sum of those, with one share for words never seen.
 
-The model is trained by Baum-Welch: each partition runs scaled forward and backward
-recursions over all its training texts and emits expected counts, which are summed; the
-tables' size is fixed.  The first guess is drawn at random around the classes' masses.
-Scores are exact sequence likelihoods by the scaled forward recursion.
+The model is trained by Baum-Welch.  Training texts are written once as classes, in
+slices by hash.  A step runs scaled forward and backward recursions over one slice in
+its partitions, sums the expected counts, replaces the slice's former ones and takes the
+next model from the counts of all slices (incremental expectation maximisation, which
+never lowers the bound that it climbs).  A pass takes every slice, so all training
+texts; passes end when the likelihood of the training texts hardly grows.  The first
+guess is drawn at random around the classes' masses.  Scores are exact sequence
+likelihoods by the scaled forward recursion.
+
+Long texts are cut into pieces.  Products of the pieces' transition matrices give the
+exact state probabilities before and after each piece, so pieces are recursed side by
+side, in bounded memory.
 
 Word counts cover all training texts.  The most frequent words' counts are sent to the
 tasks (a bounded list); all other words are joined with the whole table of counts.
@@ -35,9 +43,13 @@ OWN, ENDINGS = 1024, 1024
 CLASSES = 1 + OWN + ENDINGS
 #: words whose counts are sent to every task: 12 bytes each
 SENT = 1 << 20
-ROUNDS = 14
-#: words of a window in which texts are sorted by length, and cells of one recursion
-WINDOW, CELLS = 2_000_000, 800_000
+#: passes over all training texts at most, and the relative gain in likelihood that ends them
+PASSES, GAIN = 6, 1e-3
+SLICES = 8
+#: words of a window in which pieces are sorted by length, of a piece, and of one recursion
+WINDOW, PIECE, CELLS = 2_000_000, 2048, 600_000
+#: expected counts: of firsts, of moves, of emissions
+SUMS = STATES + STATES * STATES + CLASSES * STATES
 U = np.uint64
 
 
@@ -132,67 +144,140 @@ class Chain:
         emit = emit + 5 * prior[:, None]
         return cls(first / first.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def forward(self, seen: np.ndarray, live: np.ndarray, keep: bool = False):
-        """log10 likelihoods of texts sorted by length, longest first; ``seen`` is
-        (places, texts), ``live`` the number of texts that have each place."""
+    def narrow(self) -> Chain:
+        """The same in single precision."""
+        return Chain(*(x.astype(np.float32) for x in (self.first, self.move, self.emit)))
+
+    def forward(self, seen: np.ndarray, live: np.ndarray, start: np.ndarray, keep: bool = False):
+        """(log10 likelihoods, last state probabilities, all of them if ``keep``) of pieces
+        sorted by length, longest first; ``seen`` is (places, pieces), ``live`` the number of
+        pieces that have each place, ``start`` what states their first words have."""
         t, n = seen.shape
-        total, a = np.zeros(n), None
-        alphas = np.zeros((t, n, STATES), np.float32) if keep else None
+        total, a = np.zeros(n), start
+        last = np.empty_like(start)
+        alphas = np.zeros((t, n, STATES), start.dtype) if keep else None
         for i in range(t):
             m = live[i]
-            e = self.emit[seen[i, :m]]
-            a = e * (self.first if i == 0 else a[:m] @ self.move)
+            a = self.emit[seen[i, :m]] * (a if i == 0 else a[:m] @ self.move)
             s = a.sum(axis=1)
             a /= s[:, None]
             total[:m] += np.log10(s)
+            last[:m] = a
             if keep:
                 alphas[i, :m] = a
-        return total, alphas
+        return total, last, alphas
 
-    def expect(self, seen: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Expected counts of firsts, moves and emissions."""
+    def transfer(self, seen: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """(pieces, states before, states of the last word): the pieces' matrices, scaled."""
+        n = seen.shape[1]
+        out = np.repeat(np.eye(STATES)[None], n, axis=0)
+        for i in range(len(seen)):
+            m = live[i]
+            step = (out[:m].reshape(-1, STATES) @ self.move).reshape(m, STATES, STATES) * self.emit[seen[i, :m]][:, None, :]
+            step /= step.sum(axis=(1, 2), keepdims=True)
+            out[:m] = step
+        return out
+
+    def expect(self, seen: np.ndarray, live: np.ndarray, start: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, float]:
+        """(expected counts of firsts, moves and emissions, log10 likelihood).  ``before``:
+        states of the word before a piece, zeros if it begins its text; ``after``: what
+        follows the piece makes of its last word's states."""
         t, n = seen.shape
-        _, alphas = self.forward(seen, live, True)
+        total, _, alphas = self.forward(seen, live, start, True)
         moves = np.zeros((STATES, STATES))
-        gammas = np.zeros((t, n, STATES), np.float32)
-        beta = np.ones((n, STATES))
+        beta = after.copy()
+        inner = before.any(axis=1)
         for i in range(t - 1, -1, -1):
             m = live[i]
             g = alphas[i, :m] * beta[:m]
             g /= g.sum(axis=1, keepdims=True)
-            gammas[i, :m] = g
-            if i:
+            if i or inner.any():
+                prior = alphas[i - 1, :m] if i else before
                 eb = self.emit[seen[i, :m]] * beta[:m]
-                prior = alphas[i - 1, :m]
-                # scale each text's step so that its expected moves sum to one
+                # scale each step so that its expected moves sum to one
                 norm = ((prior @ self.move) * eb).sum(axis=1, keepdims=True)
-                eb /= norm
+                eb /= np.where(norm > 0, norm, 1)
                 moves += prior.T @ eb
                 beta[:m] = eb @ self.move.T
+            alphas[i, :m] = g
         moves *= self.move
         there = np.arange(n)[None, :] < live[:, None]
-        flat, g = seen[there], gammas[there]
-        emit = np.stack([np.bincount(flat, weights=g[:, k], minlength=CLASSES) for k in range(STATES)], axis=1)
-        return np.concatenate([gammas[0].sum(axis=0), moves.ravel(), emit.ravel()])
-
-
-def _dealt(texts: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(places in the list, (places, texts) classes, live): batches of like lengths."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        flat, g = seen[there], alphas[there]
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        flat = flat[order]
+        at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        emit = np.zeros((CLASSES, STATES))
+        emit[flat[at]] = np.add.reduceat(g[order], at, axis=0, dtype=np.float64)
+        return np.concatenate([alphas[0][~inner].sum(axis=0), moves.ravel(), emit.ravel()]), float(total.sum())
+
+
+def _dealt(pieces: list[np.ndarray], cells: int | None = None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(places in the list, (places, pieces) classes, live): batches of like lengths."""
+    cells = cells or CELLS
+    order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
     at = 0
     while at < len(order):
-        longest = len(texts[order[at]])
-        n = max(1, min(CELLS // longest, 2048))
+        longest = len(pieces[order[at]])
+        n = max(1, min(cells // longest, 2048))
         own = order[at : at + n]
-        lengths = np.array([len(texts[i]) for i in own])
+        lengths = np.array([len(pieces[i]) for i in own])
         seen = np.zeros((longest, len(own)), np.int32)
         for j, i in enumerate(own):
-            seen[: lengths[j], j] = texts[i]
+            seen[: lengths[j], j] = pieces[i]
         live = np.searchsorted(-lengths, -np.arange(longest), "left")
         yield own, seen, live
         at += n
 
 
+class Pieces:
+    """Texts in pieces of at most ``PIECE`` words, and the states around each piece."""
+
+    def __init__(self, chain: Chain, texts: list[np.ndarray]):
+        size = PIECE
+        self.pieces = [t[i : i + size] for t in texts for i in range(0, len(t), size)]
+        self.text = np.repeat(np.arange(len(texts)), [-(-len(t) // size) for t in texts])
+        n = len(self.pieces)
+        self.start = np.tile(chain.first, (n, 1))
+        self.before, self.after = np.zeros((n, STATES)), np.ones((n, STATES))
+        long = np.flatnonzero(np.bincount(self.text, minlength=len(texts)) > 1)
+        if not len(long):
+            return
+        lo, hi = np.searchsorted(self.text, long), np.searchsorted(self.text, long, "right")
+        some = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
+        firsts = lo.tolist()
+        matrix = np.zeros((n, STATES, STATES))
+        for own, seen, live in _dealt([self.pieces[i] for i in some], CELLS // STATES):
+            matrix[some[own]] = chain.transfer(seen, live)
+        for own, seen, live in _dealt([self.pieces[i] for i in firsts]):
+            at = lo[own]
+            self.before[at + 1] = chain.forward(seen, live, self.start[at])[1]
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            for i in range(a + 1, b - 1):
+                state = self.before[i] @ matrix[i]
+                self.before[i + 1] = state / state.sum()
+            for i in range(b - 2, a - 1, -1):
+                state = matrix[i + 1] @ self.after[i + 1]
+                self.after[i] = state / state.sum()
+            self.start[a + 1 : b] = self.before[a + 1 : b] @ chain.move
+
+    def log10(self, chain: Chain) -> np.ndarray:
+        """Log10 likelihoods of the texts."""
+        out = np.zeros(len(self.pieces))
+        for own, seen, live in _dealt(self.pieces):
+            out[own] = chain.forward(seen, live, self.start[own])[0]
+        return np.bincount(self.text, out, int(self.text[-1]) + 1 if len(self.text) else 0)
+
+    def expect(self, chain: Chain) -> tuple[np.ndarray, float]:
+        """Expected counts over all texts and their log10 likelihood, in single precision."""
+        slim = chain.narrow()
+        total, told = np.zeros(SUMS), 0.0
+        for own, seen, live in _dealt(self.pieces):
+            counts, likelihood = slim.expect(seen, live, *(x[own].astype(np.float32) for x in (self.start, self.before, self.after)))
+            total += counts
+            told += likelihood
+        return total, told
+
+
 def _classed(counts: Counts, hashes: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place among the sent words or -1, class) of each word."""
     at = counts.find(hashes)
@@ -200,31 +285,48 @@ def _classed(counts: Counts, hashes: np.ndarray, ending: np.ndarray) -> tuple[np
     return at, np.where((at >= 0) & (own > 0), own, ending)
 
 
-def _windows(column_batches: Iterator[pa.RecordBatch], counts: Counts) -> Iterator[list[np.ndarray]]:
-    """Class sequences of texts, ends included, a bounded window at a time."""
-    held, size = [], 0
-    for batch in column_batches:
-        for lo, hi, hashes, ending, first in _tokens(batch.column(0)):
-            _, c = _classed(counts, hashes, ending)
-            for i in range(hi - lo):
-                held.append(np.append(c[first[i] : first[i + 1]], 0))
-            size += len(c) + hi - lo
-            if size >= WINDOW:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def _encode(shared):
+    """Texts, ends included, as 16-bit classes: of each piece of a batch, a row a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            slices = batch.column(1).to_numpy()
+            for lo, hi, hashes, ending, first in _tokens(batch.column(0)):
+                words = np.ones(len(hashes) + hi - lo, bool)
+                words[first[1:] + np.arange(hi - lo)] = False
+                classes = np.zeros(len(words), np.int16)
+                classes[words] = _classed(counts, hashes, ending)[1]
+                own = np.repeat(slices[lo:hi], np.diff(first) + 1)
+                some = np.unique(own)
+                yield pa.RecordBatch.from_pydict({"classes": pa.array([classes[own == s].tobytes() for s in some], pa.binary()), "slice": pa.array(some, pa.int32())})
+
+    return run
 
 
 def _expectations(shared):
+    """Expected counts of a slice, and at -1 its log10 likelihood."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, chain = shared.value
-        total = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
-        for texts in _windows(batches, counts):
-            for _, seen, live in _dealt(texts):
-                total += chain.expect(seen, live)
+        chain = shared.value
+        total, told, held, size = np.zeros(SUMS), 0.0, [], 0
+
+        def done() -> None:
+            nonlocal total, told, held, size
+            counts, likelihood = Pieces(chain, held).expect(chain)
+            total, told, held, size = total + counts, told + likelihood, [], 0
+
+        for batch in batches:
+            for blob in batch.column(0):
+                classes = np.frombuffer(blob.as_py(), np.int16)
+                held += np.split(classes, np.flatnonzero(classes == 0) + 1)[:-1]
+                size += len(classes)
+                if size >= WINDOW:
+                    done()
+        if held:
+            done()
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at), "w": pa.array(total[at])})
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1)), "w": pa.array(np.append(total[at], told))})
 
     return run
 
@@ -232,7 +334,7 @@ def _expectations(shared):
 class LanguageModel:
     """Counts of words, sums of classes and the trained chain."""
 
-    def __init__(self, docs: DataFrame, parts: int = PARTS, part: int = HELD_OUT, rounds: int = ROUNDS):
+    def __init__(self, docs: DataFrame, parts: int = PARTS, part: int = HELD_OUT, passes: int = PASSES):
         spark = docs.sparkSession
         small_batches(spark)
         train = docs.where(~held_out(parts, part)).select("text")
@@ -261,15 +363,34 @@ class LanguageModel:
         self.mass[0] = texts
         self.chain = Chain.guess(self.mass)
         if texts:
-            self._train(spark, train, rounds)
-
-    def _train(self, spark, train: DataFrame, rounds: int) -> None:
-        for _ in range(rounds):
-            shared = spark.sparkContext.broadcast((self.counts, self.chain))
-            found = train.mapInArrow(_expectations(shared), "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow()
-            total = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
-            total[found["at"].to_numpy().astype(np.int64)] = found["w"].to_numpy()
-            self.chain = Chain.from_counts(total, self.mass)
+            self._train(spark, train, passes)
+
+    def _train(self, spark, train: DataFrame, passes: int) -> None:
+        counts = spark.sparkContext.broadcast(self.counts)
+        slices = train.select("text", F.expr(f"cast(pmod(xxhash64(text), {SLICES}) as int)"))
+        encoded = Stored(slices.mapInArrow(_encode(counts), "classes binary, slice int"), by="slice")
+        counts.destroy()
+        # a slice's expected counts; the counts of all, if some slices are yet to come
+        parts: dict[int, np.ndarray] = {}
+        self.likelihoods: list[float] = []
+        for _ in range(passes):
+            told = 0.0
+            for k in range(SLICES):
+                shared = spark.sparkContext.broadcast(self.chain)
+                rows = encoded.read().where(F.col("slice") == k).select("classes")
+                found = rows.mapInArrow(_expectations(shared), "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow()
+                shared.destroy()
+                at, w = found["at"].to_numpy().astype(np.int64), found["w"].to_numpy()
+                told += float(w[at < 0].sum())
+                parts[k] = np.zeros(SUMS)
+                parts[k][at[at >= 0]] = w[at >= 0]
+                total = sum(parts.values())
+                if total.any():
+                    self.chain = Chain.from_counts(total, self.mass)
+            self.likelihoods.append(told)
+            if len(self.likelihoods) > 1 and told - self.likelihoods[-2] < GAIN * abs(told):
+                break
+        encoded.discard()
 
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, g int, times long"
@@ -288,9 +409,7 @@ def _score(shared):
         log_sum, log_all = np.log10(sums + 1), np.log10(tokens + distinct + 1)
 
         def done(held: list) -> Iterator[pa.RecordBatch]:
-            scores = np.zeros(len(held))
-            for own, seen, live in _dealt([x[0] for x in held]):
-                scores[own] = chain.forward(seen, live)[0]
+            scores = Pieces(chain, [x[0] for x in held]).log10(chain)
             n = len(held)
             rest = [[x[k] for x in held] for k in range(1, 7)]
             empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64())]
@@ -333,14 +452,14 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, parts: int = PARTS, part: int = HELD_OUT, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, parts: int = PARTS, part: int = HELD_OUT, passes: int = PASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each
     row of ``docs`` (doc_id, text).
 
     A null or empty text is the end token alone.  Repeated rows are scored, and counted
     in training, as often as they occur; a null doc_id isn't held out.  Without training
     texts all words are unknown.  Other columns aren't read; an empty table gives none."""
-    model = LanguageModel(docs, parts, part, rounds)
+    model = LanguageModel(docs, parts, part, passes)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.counts, model.chain, model.sums, model.tokens, model.distinct, model.texts))
     rows = docs.select(F.col("doc_id").cast("long"), held_out(parts, part).alias("held_out"), "text")

@@ -56,11 +56,11 @@ def quoted(columns: list[str]) -> list[Column]:
 class Stored:
     """A table written to the shared folder, to be read again any number of times."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, by: str | None = None):
         self.spark = df.sparkSession
         small_batches(self.spark)
         self.path = f"{shared_folder(self.spark)}/quarryline/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.write.partitionBy(by) if by else df.write).parquet(self.path)
         self.schema = df.schema
 
     def read(self) -> DataFrame:
