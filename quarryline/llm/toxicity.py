@@ -39,8 +39,8 @@ SEPARATORS = "-._*~'^=/\\,:;"
 CLASSES = 64
 #: beginnings of words that may be markers, in bytes
 HEADS = (4, 5, 6)
-MOST_MARKERS = 4096
-MOST_CANDIDATES = 400_000
+#: bits of the filter that tells which features may be markers
+FILTER_BITS = 24
 
 U = np.uint64
 _CLASS = np.zeros(256, np.int64)
@@ -162,13 +162,13 @@ def _disguised(low: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str]
     for row, i, j in zip(row_of[whole].tolist(), lo[whole].tolist(), hi[whole].tolist(), strict=True):
         for text in _windows(data[i:j].decode("utf-8", "replace")):
             yield row, text
-    # single letters (or signs for them) with spaces between
-    length = ends - starts
-    single = (length == 1) & (letter[starts] | _FIRST[low[starts]])
+    # single letters (or signs for them) of any script, with spaces between
+    characters = np.append(0, np.cumsum((low & 0xC0) != 0x80))
+    single = (characters[ends] - characters[starts] == 1) & (letter[starts] | _FIRST[low[starts]])
     a, b, _ = tb.runs(single, first)
     for i, j in zip(a.tolist(), b.tolist(), strict=True):
         if j - i >= 3:
-            for text in _windows(" ".join(low[starts[i:j]].tobytes().decode("ascii", "replace"))):
+            for text in _windows(" ".join(data[x:y].decode("utf-8", "replace") for x, y in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True))):
                 yield int(row_of[i]), text
 
 
@@ -205,8 +205,17 @@ def _read(column: pa.Array, decode: Decoder) -> Iterator[tuple[int, int, np.ndar
         yield lo, hi, rows, hashes, length
 
 
+def _filter(features: DataFrame) -> np.ndarray:
+    """Bits for the hashes h of ``features``: a filter of fixed size, whatever their number."""
+    at = features.select(F.col("h").bitwiseAND((1 << FILTER_BITS) - 1).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.int64)
+    return bits.view(U)
+
+
 def _document_frequency(model, label: int, among=None):
-    """How many texts with the label have each feature."""
+    """How many texts with the label have each feature (that a filter lets through)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(model.value)
@@ -222,7 +231,8 @@ def _document_frequency(model, label: int, among=None):
             wanted = batch.filter(pa.compute.and_(pa.compute.equal(batch.column(1), label), pa.compute.not_equal(batch.column(2), 0)))
             for _, hi, rows, hashes, _ in _read(wanted.column(0), decode):
                 if among is not None:
-                    keep = _isin(among.value, hashes)
+                    at = hashes & U((1 << FILTER_BITS) - 1)
+                    keep = (among.value[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
                     rows, hashes = rows[keep], hashes[keep]
                 order = np.lexsort((hashes, rows))
                 rows, hashes = rows[order], hashes[order]
@@ -315,19 +325,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     least = max(3, bad // 400)
     frequency = lambda label, among=None: sample.read().mapInArrow(_document_frequency(shared, label, among), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = frequency(1).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(MOST_CANDIDATES).toArrow()
-    hashes, n1 = top["h"].to_numpy().astype(np.int64).view(U), top["n"].to_numpy().astype(float)
-    order = np.argsort(hashes)
-    hashes, n1 = hashes[order], n1[order]
-    found = frequency(0, spark.sparkContext.broadcast(hashes)).toArrow()
-    n0 = np.zeros(len(hashes))
-    n0[np.searchsorted(hashes, found["h"].to_numpy().astype(np.int64).view(U))] = found["n"].to_numpy()
-    weight = np.log((n1 + 0.5) / (bad + 1)) - np.log((n0 + 0.5) / (good + 1))
+    toxic = Stored(frequency(1).where(F.col("n") >= least))
+    both = toxic.read().withColumnRenamed("n", "n1").join(frequency(0, spark.sparkContext.broadcast(_filter(toxic.read()))).withColumnRenamed("n", "n0"), "h", "left")
+    n1, n0 = F.col("n1"), F.coalesce("n0", F.lit(0))
     share1, share0 = n1 / max(1, bad), n0 / max(1, good)
-    sure = (share1 - share0) / np.sqrt(share1 * (1 - share1) / max(1, bad) + (n0 + 1) / max(1, good) ** 2 + 1e-9)
-    keep = np.flatnonzero((weight > 1.5) & (sure > 2.5))
-    keep = keep[np.argsort(-(weight * np.sqrt(n1))[keep], kind="stable")[:MOST_MARKERS]]
-    markers = Markers(hashes[keep], weight[keep])
+    weight = F.log((n1 + 0.5) / (bad + 1)) - F.log((n0 + 0.5) / (good + 1))
+    sure = (share1 - share0) / F.sqrt(share1 * (1 - share1) / max(1, bad) + (n0 + 1) / float(max(1, good)) ** 2 + 1e-9)
+    # every one that toxic rows have surely more often: fewer than the bounded rows have features
+    told = both.select("h", weight.alias("weight")).where((F.col("weight") > 1.5) & (sure > 2.5)).toArrow()
+    toxic.discard()
+    hashes, weight = told["h"].to_numpy().astype(np.int64).view(U), told["weight"].to_numpy().astype(float)
+    markers = Markers(hashes, weight)
     model = Model(characters, markers, Regression())
     evidence = sample.read().mapInArrow(_evidence(spark.sparkContext.broadcast(model)), "label int, fold int, x array<double>").toArrow()
     x = np.array(evidence["x"].to_pylist(), float).reshape(-1, 5)
