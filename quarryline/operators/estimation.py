@@ -34,11 +34,27 @@ def surcharges(request_parts: DataFrame, costs: DataFrame) -> DataFrame:
     return request_parts.join(costs, "part", "left").groupBy("request_id").agg(F.sum(F.coalesce("cost", F.lit(0.0))).alias("surcharge"))
 
 
-def overhead_multiplier(team_size: Column, cross_domain: Column, new_tech: Column, volume: Column, regions: Column, security: Column, legacy: Column) -> Column:
-    """Product of the factors that apply."""
-    by_team = F.when(team_size > 10, 1.15).when(team_size > 5, 1.08).otherwise(1.0)
-    flag = lambda c, f: F.when(F.coalesce(c, F.lit(False)), f).otherwise(1.0)
-    return by_team * flag(cross_domain, 1.1) * flag(new_tech, 1.15) * F.when(volume == "high", 1.1).otherwise(1.0) * F.when(regions > 1, 1 + 0.03 * (regions - 1)).otherwise(1.0) * flag(security, 1.08) * flag(legacy, 1.12)
+#: factors that a table leaves out (fixed values)
+DEFAULT_FACTORS = {("team", "1-2"): 1.0, ("team", "3-5"): 1.1, ("team", "6-10"): 1.2, ("team", "11+"): 1.35, ("cross_domain", "yes"): 1.2, ("regions", "2-3"): 1.2, ("regions", "4-10"): 1.35, ("regions", "11+"): 1.5, ("security", "payment"): 1.2, ("legacy", "heavy"): 1.3}
+
+
+def overhead_multiplier(flags: DataFrame, factors: DataFrame) -> DataFrame:
+    """(request_id, overhead): product of the factors that apply to a request (request_id,
+    team_size, cross_domain, familiarity, volume, multi_region, regions, security,
+    legacy), from a table (factor, level, multiplier); what neither it nor
+    ``DEFAULT_FACTORS`` has counts once."""
+    n, k = F.coalesce("team_size", F.lit(0)), F.coalesce("regions", F.lit(0))
+    band = F.when(n <= 2, "1-2").when(n <= 5, "3-5").when(n <= 10, "6-10").otherwise("11+")
+    spread = F.when(F.col("multi_region") & (k > 0), F.when(k <= 3, "2-3").when(k <= 10, "4-10").otherwise("11+"))
+    flag = lambda c, level: F.when(F.col(c), level)
+    levels = {"team": band, "cross_domain": flag("cross_domain", "yes"), "familiarity": F.col("familiarity"), "volume": F.col("volume"), "regions": spread, "security": flag("security", "payment"), "legacy": flag("legacy", "heavy")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), level.alias("level")) for f, level in levels.items()]))
+    rows = flags.select("request_id", pairs.alias("p")).select("request_id", "p.*")
+    default = F.lit(1.0)
+    for (factor, level), value in DEFAULT_FACTORS.items():
+        default = F.when((F.col("factor") == factor) & (F.col("level") == level), value).otherwise(default)
+    found = rows.join(factors.select("factor", "level", "multiplier"), ["factor", "level"], "left")
+    return found.groupBy("request_id").agg(F.round(F.product(F.coalesce("multiplier", default)), 6).alias("overhead"))
 
 
 def effective_scope(items: DataFrame, systems: DataFrame) -> DataFrame:
@@ -75,10 +91,26 @@ def distribution_correction(breakdown: DataFrame, rules: DataFrame, least_total:
     return rows.select("request_id", "discipline", "person_days", F.round(F.when(low, F.col("expected_share") * F.col("_total")).otherwise(F.col("person_days")), 2).alias("corrected_days"))
 
 
-def sanity_warnings(requests: DataFrame) -> DataFrame:
-    """Codes of what looks wrong with total_days, items, test_days."""
-    codes = F.array(F.when(F.col("total_days") < 1, F.lit("TOO_SMALL")), F.when(F.col("total_days") > 2000, F.lit("TOO_LARGE")), F.when(F.col("items") == 0, F.lit("NO_ITEMS")), F.when((F.col("test_days") <= 0) & (F.col("total_days") > 5), F.lit("NO_TEST_EFFORT")))
-    return requests.select("request_id", F.filter(codes, lambda x: x.isNotNull()).alias("warnings"))
+#: units that the warnings look for (fixed values)
+PAYMENT_UNITS, ERP_UNITS, INTEGRATION_TEST, SECURITY_TEST, LOAD_TEST = ("BE-08", "BE-09", "INT-13"), ("BE-17", "INT-07", "INT-08"), "QA-02", "QA-06", "QA-05"
+
+
+def sanity_warnings(requests: DataFrame, systems: DataFrame, items: DataFrame, guards: DataFrame, hubs: list[str], erp: str) -> DataFrame:
+    """(request_id, warnings): codes of what looks wrong, in a fixed order.  requests:
+    request_id, effort, scope, security; systems: request_id, system; items: request_id,
+    unit_id; guards: scope, least, most days (null: none)."""
+    present = items.groupBy("request_id").agg(
+        F.bool_or(F.col("unit_id").startswith("INT-")).alias("_int"), F.bool_or(F.col("unit_id").isin(*PAYMENT_UNITS)).alias("_pay"), F.bool_or(F.col("unit_id").isin(*ERP_UNITS)).alias("_erp"),
+        *[F.bool_or(F.col("unit_id") == u).alias(n) for u, n in ((INTEGRATION_TEST, "_it"), (SECURITY_TEST, "_st"), (LOAD_TEST, "_lt"))],
+    )
+    touched = systems.groupBy("request_id").agg(F.count_distinct("system").alias("_n"), F.bool_or(F.col("system").isin(*hubs)).alias("_hub"), F.bool_or(F.col("system").contains(erp)).alias("_touches"))
+    rows = requests.join(guards, "scope", "left").join(present, "request_id", "left").join(touched, "request_id", "left")
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    codes = [
+        ("BELOW_LEAST", F.col("effort") < F.col("least")), ("ABOVE_MOST", F.col("effort") > F.col("most")), ("HUB_WITHOUT_INTEGRATION", F.col("_hub") & no("_int")), ("PAYMENT_WITHOUT_TEST", F.col("_pay") & no("_it")),
+        ("SYSTEMS_WITHOUT_TEST", (F.col("_n") >= 3) & no("_it")), ("ERP_WITHOUT_UNIT", F.col("_touches") & no("_erp")), ("SECURITY_WITHOUT_SCAN", F.col("security") & no("_st")), ("LARGE_WITHOUT_LOAD_TEST", (F.col("effort") > 50) & no("_lt")),
+    ]
+    return rows.select("request_id", F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in codes])).alias("warnings"))
 
 
 def cost(effort: DataFrame, rates: DataFrame, default_rate: float = 10_000.0, working_days: int = DAYS_PER_MONTH) -> DataFrame:
@@ -95,25 +127,49 @@ def duration(effort: DataFrame, team: DataFrame) -> DataFrame:
     return got.agg(F.round(F.greatest(F.max("months"), F.lit(0.1)), 2).alias("months"), F.max_by("discipline", F.struct("months", "discipline")).alias("critical_discipline"))
 
 
-def team_sizes(effort: DataFrame, cap: int = 10) -> DataFrame:
-    """People by discipline, a quarter of the months, and scaled to the largest."""
-    top = F.max("person_months").over(Window.partitionBy("request_id"))
-    size = F.greatest(F.lit(1), F.bround(F.col("person_months") / 4).cast("int"))
-    scaled = F.greatest(F.lit(1), F.least(F.lit(cap), F.bround(cap * F.col("person_months") / top).cast("int")))
-    return effort.select("request_id", "discipline", size.alias("people"), scaled.alias("scaled"))
+def team_sizes(effort: DataFrame) -> DataFrame:
+    """(request_id, discipline, people): a quarter of the months, at least one."""
+    return effort.select("request_id", "discipline", F.greatest(F.lit(1), F.bround(F.col("person_months") / 4).cast("int")).alias("people"))
+
 
+def normalized_team(effort: DataFrame, team: DataFrame, unknown: int = 5, most: int = 10) -> DataFrame:
+    """(request_id, discipline, people) of a suggested team (request_id, discipline,
+    people), in proportion to effort: the discipline with most effort (ties: the first by
+    name) keeps its people, held to 1..``most`` (``unknown`` if not suggested), the others
+    get its number times their share of its effort, at least one.  A request without
+    effort keeps its team."""
+    order = Window.partitionBy("request_id").orderBy(F.desc("person_months"), "discipline")
+    top = effort.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("request_id", F.col("discipline").alias("_top"), F.col("person_months").alias("_most"))
+    lead = top.join(team.select("request_id", F.col("discipline").alias("_top"), F.col("people").alias("_people")), ["request_id", "_top"], "left")
+    lead = lead.select("request_id", "_top", "_most", F.greatest(F.lit(1), F.least(F.coalesce("_people", F.lit(unknown)), F.lit(most))).alias("_lead"))
+    rows = team.join(lead, "request_id", "left").join(effort.select("request_id", "discipline", "person_months"), ["request_id", "discipline"], "left")
+    scaled = F.greatest(F.lit(1), F.bround(F.col("_lead") * F.coalesce("person_months", F.lit(0.0)) / F.col("_most")).cast("int"))
+    people = F.when(F.coalesce(F.col("_most") > 0, F.lit(False)), F.when(F.col("discipline") == F.col("_top"), F.col("_lead")).otherwise(scaled)).otherwise(F.col("people"))
+    return rows.select("request_id", "discipline", people.cast("int").alias("people"))
 
-#: weights of document detail, requirement clarity, domain history, scope coverage, tier
+
+#: weights of input tier, document detail, requirement clarity, domain history, scope
+#: coverage, and what a tier counts (fixed values)
 CONFIDENCE_WEIGHTS = (0.30, 0.25, 0.20, 0.15, 0.10)
+TIER_POINTS = (25.0, 45.0, 62.5, 77.5)
 
 
-def confidence(detail: Column, clarity: Column, history: Column, coverage: Column, tier: Column) -> Column:
-    """Weighted mean of factors held to 0..100; a tier counts with its midpoint."""
+def confidence(tier: Column, detail: Column, clarity: Column, history: Column, coverage: Column) -> Column:
+    """Weighted mean of factors held to 0..100; a tier counts with the middle of its range."""
     held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(c.cast("double"), F.lit(0.0))))
-    middle = F.when(tier == 0, 25.0).when(tier == 1, 50.0).when(tier == 2, 70.0).otherwise(87.5)
-    parts = [held(detail), held(clarity), held(history), held(coverage), middle]
+    points = F.element_at(F.array(*map(F.lit, TIER_POINTS)), tier.cast("int") + 1)
+    parts = [points, held(detail), held(clarity), held(history), held(coverage)]
     total = sum((w * p for w, p in zip(CONFIDENCE_WEIGHTS[1:], parts[1:], strict=True)), CONFIDENCE_WEIGHTS[0] * parts[0])
-    return F.round(total, 2)
+    return F.round(total, 4)
+
+
+def domain_history(estimates: DataFrame) -> DataFrame:
+    """``estimates`` (domain, stream, created_at and others) with earlier, how many of the
+    same domain and stream came before (ties in time don't), and its points."""
+    before = Window.partitionBy("domain", "stream").orderBy("created_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("domain", "stream", "created_at")
+    rows = estimates.withColumn("earlier", F.count("*").over(before) - F.count("*").over(same))
+    return rows.withColumn("points", domain_history_score(F.col("earlier")))
 
 
 def domain_history_score(earlier: Column) -> Column:
@@ -141,8 +197,9 @@ def vendor_compare(proposals: DataFrame) -> DataFrame:
 
 
 def rank_vendors(scored: DataFrame) -> DataFrame:
-    """Composite of quality, cost and delivery, 40/35/25, not under 0; ties by proposal."""
-    total = F.greatest(F.lit(0.0), F.round(0.40 * F.col("quality") + 0.35 * F.col("cost") + 0.25 * F.col("delivery"), 4))
+    """Composite of quality, cost and delivery, 40/35/25, not under 0, to one place; ties by
+    proposal."""
+    total = F.greatest(F.lit(0.0), F.round(0.40 * F.col("quality") + 0.35 * F.col("cost") + 0.25 * F.col("delivery"), 1))
     rows = scored.withColumn("composite", total)
     return rows.select("request_id", "proposal_id", "composite", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("composite"), "proposal_id")).alias("rank"))
 

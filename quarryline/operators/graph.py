@@ -103,8 +103,13 @@ def impact(depends_on: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
     and how many distinct epics and tickets concern any of them."""
     turned = depends_on.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     hit = reach(turned, hops=hops)
-    work = hit.join(links.select(F.col("service").alias("node"), "ticket", "kind"), "node", "left")
-    return work.groupBy(F.col("root").alias("service")).agg(F.countDistinct("node").alias("affected"), F.countDistinct(F.when(F.col("kind") == "epic", F.col("ticket"))).alias("epics"), F.countDistinct(F.when(F.col("kind") == "ticket", F.col("ticket"))).alias("tickets"))
+    # a node once for each root, and a piece of work once for each node and each root
+    affected = hit.groupBy(F.col("root").alias("service")).agg(F.count("*").alias("affected"))
+    work = links.select(F.col("service").alias("node"), "ticket", "kind").where("ticket is not null").distinct()
+    met = hit.select("root", "node").join(work, "node").select(F.col("root").alias("service"), "ticket", "kind").distinct()
+    counts = met.groupBy("service").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("epic", "epics"), ("ticket", "tickets"))])
+    zero = F.lit(0).cast("long")
+    return affected.join(counts, "service", "left").select("service", "affected", F.coalesce("epics", zero).alias("epics"), F.coalesce("tickets", zero).alias("tickets"))
 
 
 def context(depends_on: DataFrame, publishes: DataFrame, subscribes: DataFrame) -> DataFrame:

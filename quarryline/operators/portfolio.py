@@ -84,13 +84,14 @@ def hierarchy_counts(projects: DataFrame, cps: DataFrame, mps: DataFrame) -> Dat
 
 def budget_ledger(budgets: DataFrame, transactions: DataFrame) -> DataFrame:
     """Committed (orders and change requests), spent (less refunds), remaining, used
-    percent, status (above 80 percent Yellow, above 100 Red), over_budget."""
+    percent, status (spent above 80 percent Yellow, above 100 Red, not rounded), over_budget."""
     amount = lambda *kinds: F.sum(F.when(F.col("transaction_type").isin(*kinds), F.col("amount")).otherwise(0.0))
     sums = transactions.groupBy("project_id").agg(amount("PO", "CR").alias("committed"), (amount("Spend") - amount("Refund")).alias("spent"))
     rows = budgets.join(sums, "project_id", "left").select("project_id", "approved_budget", F.round(F.coalesce("committed", F.lit(0.0)), 2).alias("committed"), F.round(F.coalesce("spent", F.lit(0.0)), 2).alias("spent"))
     used = F.when(F.col("approved_budget") > 0, F.round(100 * F.col("spent") / F.col("approved_budget"), 2)).otherwise(F.lit(0.0))
     rows = rows.withColumn("used_percent", used)
-    status = F.when(F.col("used_percent") > 100, "Red").when(F.col("used_percent") > 80, "Yellow").otherwise("Green")
+    budget = F.col("approved_budget")
+    status = F.when((budget > 0) & (F.col("spent") > budget), "Red").when((budget > 0) & (F.col("spent") > 0.8 * budget), "Yellow").otherwise("Green")
     return rows.select("*", F.round(F.col("approved_budget") - F.col("committed"), 2).alias("remaining"), status.alias("budget_rag"), ((F.col("spent") > F.col("approved_budget")) & (F.col("approved_budget") > 0)).alias("over_budget"))
 
 

@@ -23,24 +23,24 @@ def metadata_filter(rows: DataFrame, equal: dict[str, str]) -> DataFrame:
     return out
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "display_text") -> DataFrame:
-    """(term, id, tf, dl): term counts with the chunk's length."""
-    tokens = chunks.select(F.col(id_col).alias("id"), tokenize(F.coalesce(text_col, F.lit(""))).alias("tokens"))
-    return tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-
-
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, id_col: str = "chunk_id", text_col: str = "display_text", keep: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score): Okapi BM25 with repeated query words counted each
     time, negative idf replaced by a quarter of the mean idf, ties by id.  A hit shares a
-    word with the query.  ``keep`` (id) restricts hits after corpus statistics."""
-    posted = postings(chunks, id_col, text_col)
-    stats = chunks.select(F.size(tokenize(F.coalesce(text_col, F.lit("")))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avgdl"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.ln(F.col("docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    word with the query.  ``keep`` (id) restricts hits after corpus statistics.
+
+    One pass counts the chunks of every word (a null word counts all chunks and their
+    lengths); only words that a question asks for are counted within chunks."""
+    tokens = chunks.select(F.col(id_col).alias("id"), tokenize(F.coalesce(text_col, F.lit(""))).alias("tokens"))
+    words = F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string"))))
+    counts = tokens.select(F.size("tokens").alias("dl"), words.alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
+    stats = counts.where("term is null").select(F.col("df").alias("docs"), (F.col("words") / F.col("df")).alias("avgdl"))
+    raw = counts.where("term is not null").crossJoin(F.broadcast(stats)).withColumn("idf", F.ln(F.col("docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokenize("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    idf = raw.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
+    wanted = asked.select("term").distinct()
+    idf = raw.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean))
     idf = idf.select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    posted = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     met = posted.join(idf, "term").join(asked, "term")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qf") * weight), 6).alias("score"))

@@ -57,9 +57,9 @@ VIEWS: dict[str, str] = {
     "ledger": "SELECT o_orderpriority AS repo, o_orderstatus AS class, CASE WHEN o_orderkey % 1000 = 5 THEN 'failed' WHEN o_orderkey % 3 = 0 THEN 'scanned' ELSE 'extracted' END AS status, concat('l', CAST(o_custkey % 6 AS VARCHAR(20))) AS language FROM orders",
     "branches": "SELECT DISTINCT CAST(s_suppkey AS VARCHAR(20)) AS dealer, CAST(n_nationkey AS VARCHAR(20)) AS branch, n_name AS state, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "invoices": "SELECT concat(CAST(s_suppkey AS VARCHAR(20)), '_', CAST(s_nationkey AS VARCHAR(20))) AS dealer_branch, count(*) AS invoices FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey",
-    "request_systems": "SELECT DISTINCT l_orderkey AS request_id, CASE CAST(l_suppkey % 24 AS INT) WHEN 0 THEN 'MDP' WHEN 1 THEN 'UMS' WHEN 2 THEN 'IDP' WHEN 3 THEN 'CNS' WHEN 4 THEN 'SAP' ELSE concat('S', CAST(l_suppkey % 24 AS VARCHAR(20))) END AS system FROM lineitem",
-    "system_domains": "SELECT DISTINCT concat('S', CAST(s_suppkey % 24 AS VARCHAR(20))) AS system, CASE CAST(s_suppkey % 24 % 4 AS INT) WHEN 0 THEN 'CP' WHEN 1 THEN 'D2C' ELSE 'other' END AS domain FROM supplier",
-    "system_links": "SELECT DISTINCT concat('S', CAST(s_suppkey % 24 AS VARCHAR(20))) AS src, CASE WHEN s_suppkey % 24 % 7 = 0 THEN 'SAP' ELSE 'MDP' END AS dst FROM supplier",
+    "request_systems": "SELECT DISTINCT l_orderkey AS request_id, CASE CAST(l_suppkey % 24 AS INT) WHEN 0 THEN 'HUB1' WHEN 1 THEN 'HUB2' WHEN 2 THEN 'HUB3' WHEN 3 THEN 'HUB4' WHEN 4 THEN 'ERP' ELSE concat('S', CAST(l_suppkey % 24 AS VARCHAR(20))) END AS system FROM lineitem",
+    "system_domains": "SELECT DISTINCT concat('S', CAST(s_suppkey % 24 AS VARCHAR(20))) AS system, CASE CAST(s_suppkey % 24 % 4 AS INT) WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'other' END AS domain FROM supplier",
+    "system_links": "SELECT DISTINCT concat('S', CAST(s_suppkey % 24 AS VARCHAR(20))) AS src, CASE WHEN s_suppkey % 24 % 7 = 0 THEN 'ERP' ELSE 'HUB1' END AS dst FROM supplier",
     "document_kinds": "SELECT l_orderkey AS project_id, CASE CAST(l_partkey % 5 AS INT) WHEN 0 THEN 'brd' WHEN 1 THEN 'prd' WHEN 2 THEN 'hld' WHEN 3 THEN 'dependent_docs' ELSE 'other' END AS doc_kind FROM lineitem",
     "scope_items": "SELECT p_size AS doc_id, p_partkey AS id, p_name AS name FROM part",
     "scope_efforts": "SELECT p_size AS doc_id, concat(min(p_name), ' ', max(p_name)) AS effort_text FROM part GROUP BY p_size",
@@ -76,6 +76,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
     text = VIEWS[name].replace('"table"', "`table`")
     used = {t: table(spark, folder, t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
+    text = text.replace("{", "{{").replace("}", "}}") if used else text
     return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], text), **used)
 
 

@@ -54,7 +54,7 @@ _LEDGER = """SELECT b.project_id, b.approved_budget, round(coalesce(sum(CASE WHE
   FROM budgets b LEFT JOIN transactions t ON b.project_id = t.project_id GROUP BY b.project_id, b.approved_budget"""
 
 
-@job(f"SELECT *, round(approved_budget - committed, 2) AS remaining, CASE WHEN used_percent > 100 THEN 'Red' WHEN used_percent > 80 THEN 'Yellow' ELSE 'Green' END AS budget_rag, spent > approved_budget AND approved_budget > 0 AS over_budget FROM (SELECT *, CASE WHEN approved_budget > 0 THEN round(100 * spent / approved_budget, 2) ELSE 0.0 END AS used_percent FROM ({_LEDGER}))", ("budgets", "transactions"))
+@job(f"SELECT *, round(approved_budget - committed, 2) AS remaining, CASE WHEN approved_budget > 0 AND spent > approved_budget THEN 'Red' WHEN approved_budget > 0 AND spent > 0.8::DOUBLE * approved_budget THEN 'Yellow' ELSE 'Green' END AS budget_rag, spent > approved_budget AND approved_budget > 0 AS over_budget FROM (SELECT *, CASE WHEN approved_budget > 0 THEN round(100 * spent / approved_budget, 2) ELSE 0.0 END AS used_percent FROM ({_LEDGER}))", ("budgets", "transactions"))
 def budget_ledger(budgets, transactions):
     return pf.budget_ledger(budgets, transactions)
 
@@ -188,7 +188,7 @@ def vendor_compare(proposals):
     return es.vendor_compare(proposals)
 
 
-@job("SELECT request_id, proposal_id, composite, CAST(row_number() OVER (PARTITION BY request_id ORDER BY composite DESC, proposal_id) AS INTEGER) AS rank FROM (SELECT *, greatest(0.0::DOUBLE, round(0.40::DOUBLE * quality + 0.35::DOUBLE * cost + 0.25::DOUBLE * delivery, 4)) AS composite FROM proposals)", ("proposals",))
+@job("SELECT request_id, proposal_id, composite, CAST(row_number() OVER (PARTITION BY request_id ORDER BY composite DESC, proposal_id) AS INTEGER) AS rank FROM (SELECT *, greatest(0.0::DOUBLE, round(0.40::DOUBLE * quality + 0.35::DOUBLE * cost + 0.25::DOUBLE * delivery, 1)) AS composite FROM proposals)", ("proposals",))
 def rank_vendors(proposals):
     return es.rank_vendors(proposals)
 

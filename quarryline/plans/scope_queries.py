@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 from ..operators import scope_views as sc
 from .queries import job
 
-_HUBS = {"MDP": 0.25, "UMS": 0.15, "IDP": 0.2, "CNS": 0.1}
-_SUM = " + ".join(["CASE WHEN cp AND d2c THEN 0.2::DOUBLE ELSE 0 END", *[f"CASE WHEN {k.lower()} THEN {v}::DOUBLE ELSE 0 END" for k, v in _HUBS.items()], "CASE WHEN sap THEN 0.3::DOUBLE ELSE 0 END"])
+_HUBS = {"HUB1": 0.25, "HUB2": 0.15, "HUB3": 0.2, "HUB4": 0.1}
+_SUM = " + ".join(["CASE WHEN in_north AND in_south THEN 0.2::DOUBLE ELSE 0 END", *[f"CASE WHEN {k.lower()} THEN {v}::DOUBLE ELSE 0 END" for k, v in _HUBS.items()], "CASE WHEN erp THEN 0.3::DOUBLE ELSE 0 END"])
 
 
 @job(
-    f"""SELECT request_id, cp AND d2c AS is_cross_domain, least(round({_SUM}, 4), 0.6::DOUBLE) AS overhead FROM (SELECT request_id, coalesce(bool_or(domain = 'CP'), false) AS cp, coalesce(bool_or(domain = 'D2C'), false) AS d2c,
-    {", ".join(f"bool_or(system = '{k}') AS {k.lower()}" for k in _HUBS)}, bool_or(system IN (SELECT src FROM system_links WHERE dst = 'SAP' UNION SELECT dst FROM system_links WHERE dst = 'SAP')) AS sap
+    f"""SELECT request_id, in_north AND in_south AS is_cross_domain, least(round({_SUM}, 4), 0.6::DOUBLE) AS overhead FROM (SELECT request_id, coalesce(bool_or(domain = 'north'), false) AS in_north, coalesce(bool_or(domain = 'south'), false) AS in_south,
+    {", ".join(f"bool_or(system = '{k}') AS {k.lower()}" for k in _HUBS)}, bool_or(system IN (SELECT src FROM system_links WHERE dst = 'ERP' UNION SELECT dst FROM system_links WHERE dst = 'ERP')) AS erp
     FROM request_systems LEFT JOIN system_domains USING (system) GROUP BY request_id)""",
     ("request_systems", "system_domains", "system_links"),
 )
 def cross_domain(requests, systems, links):
-    return sc.cross_domain(requests, systems, links, ("CP", "D2C"), 0.2, _HUBS, {"SAP": 0.3})
+    return sc.cross_domain(requests, systems, links, ("north", "south"), 0.2, _HUBS, {"ERP": 0.3})
 
 
 @job(

@@ -9,10 +9,10 @@ def rows(df):
 
 def test_scope(spark):
     d = spark.createDataFrame
-    requests = d([(1, "A"), (1, "B"), (2, "A"), (2, "MDP"), (3, "?"), (4, "C"), (4, "A"), (4, "B"), (4, "MDP")], "request_id long, system string")
-    systems = d([("A", "CP"), ("B", "D2C")], "system string, domain string")
-    links = d([("C", "SAP"), ("C", "SAP")], "src string, dst string")
-    got = sc.cross_domain(requests, systems, links, ("CP", "D2C"), 0.2, {"MDP": 0.25}, {"SAP": 0.3})
+    requests = d([(1, "A"), (1, "B"), (2, "A"), (2, "HUB1"), (3, "?"), (4, "C"), (4, "A"), (4, "B"), (4, "HUB1")], "request_id long, system string")
+    systems = d([("A", "north"), ("B", "south")], "system string, domain string")
+    links = d([("C", "ERP"), ("C", "ERP")], "src string, dst string")
+    got = sc.cross_domain(requests, systems, links, ("north", "south"), 0.2, {"HUB1": 0.25}, {"ERP": 0.3})
     assert rows(got) == [(1, True, 0.2), (2, False, 0.25), (3, False, 0.0), (4, True, 0.6)]
     kinds = d([(1, "brd"), (2, "brd"), (2, "prd"), (3, "prd"), (3, "hld"), (4, "prd"), (4, "hld"), (4, "dependent_docs"), (5, None)], "project_id long, doc_kind string")
     assert rows(sc.input_tier(kinds)) == [(1, 0, False), (2, 1, True), (3, 2, False), (4, 3, False), (5, 0, False)]
