@@ -3,15 +3,22 @@
 Rows are points over metadata: source, language and size.  A node of the tree with
 k shards is split along its widest dimension at the weighted quantile that gives
 the halves floor(k/2) and ceil(k/2) shares of its bytes, until every leaf is one
-shard.  All nodes of a level are split in the same jobs.
-
-The quantile is exact to about a millionth of a tied value: positions are 60-bit
-integers (20 bits of the coordinate, 40 of the text's hash, so that equal metadata
-can be cut anywhere), and four rounds of 1024-bin histograms find the cut; a round
-moves at most 1024 sums for each node, whatever the number of rows.
-
-Equal texts are one point, so they stay in one shard; a group of copies with more
-than ``1 / SPLIT`` of a shard's bytes is first dealt into that many pieces by doc_id.
+shard.
+
+*Cells.*  Rows are summed once to cells: equal coordinates (2**10 of sources, 2**6 of
+languages, half octaves of sizes), and of coordinates that hold much, equal parts by the
+text's hash, so that no cell holds more than a ``CELLS``-th of all bytes (or a 16th of a
+shard).  There are at most 2**22 coordinates and twice that many parts however many rows
+there are, mostly some ten thousand cells; the quantiles of all nodes of a level are
+running sums over them.
+
+*Copies.*  Equal texts are one point, whatever their metadata, so they stay in one
+shard.  Only a group with more bytes than an even shard, which therefore fits none, is
+cut, by the hash of its rows, into pieces of about a quarter of a shard.
+
+*Large points* (above a sixteenth of a shard, so at most some twenty for each shard) are
+dealt to the two sides first, in the order of the dimension; the cut through the cells
+then makes up for what they leave uneven.
 """
 
 from __future__ import annotations
@@ -24,14 +31,18 @@ from .shared import Stored
 SHARDS = 40
 #: what a row takes besides its text
 ROW_BYTES = 16
-#: a group of copies that exceeds this part of a shard is cut up
-SPLIT = 64
-BINS_LOG2 = 10
-ROUNDS = 4
+#: a point above this part of a shard is large; a group that is cut has so many pieces a shard
+LARGE, PIECES = 16, 4
+#: bits of the coordinates, and of the hash that cuts equal ones
+SOURCE, LANG, SIZE, TIE = 10, 6, 6, 40
+#: cells that all bytes would fill, at least, and for each shard
+CELLS, SHARD_CELLS = 1 << 14, 16
+#: groups of more rows than this, or than a 100 000th of all rows, are sent to the tasks
+HOT_ROWS, MOST_HOT = 1000, 100_000
 #: rows that are numbered in one task
 NUMBERED = 50_000
-DIMENSIONS = ("by_source", "by_lang", "by_size")
-_UNIT = 1 << 20
+DIMENSIONS = {"by_source": SOURCE, "by_lang": LANG, "by_size": SIZE}
+CELL = ("large", *DIMENSIONS, "part")
 
 
 def _slim(docs: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -39,58 +50,73 @@ def _slim(docs: DataFrame, order: tuple[str, ...]) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     source = F.col("source") if "source" in docs.columns else F.lit(None)
+    size = (F.octet_length(body) + ROW_BYTES).cast("long")
+    octaves = F.least(F.lit((1 << SIZE) - 1), (F.log2(size.cast("double")) * 2).cast("int"))
     return docs.select(
         "doc_id",
         *order,
-        (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
+        size.alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"),
         F.xxhash64("doc_id", lang.cast("string"), source.cast("string")).alias("row_hash"),
-        *[F.shiftrightunsigned(F.xxhash64(c.cast("string")), 44).alias(n) for c, n in ((source, "by_source"), (lang, "by_lang"))],
+        F.shiftrightunsigned(F.xxhash64(source.cast("string")), 64 - SOURCE).cast("int").alias("by_source"),
+        F.shiftrightunsigned(F.xxhash64(lang.cast("string")), 64 - LANG).cast("int").alias("by_lang"),
+        octaves.alias("by_size"),
     )
 
 
-def _points(rows: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
-    """(rows with the piece of their group of copies, points with their weights)."""
-    most = max(1.0, share / SPLIT)
-    # groups above the bound: fewer than SPLIT for each shard
-    large = rows.groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most)
-    large = large.select("h", F.ceil(F.col("bytes") / most).cast("long").alias("pieces"))
-    rows = rows.join(large, "h", "left").withColumn("piece", F.coalesce(F.expr("pmod(row_hash, pieces)"), F.lit(0)))
-    points = rows.groupBy("h", "piece").agg(F.sum("size").alias("bytes"), F.min("by_source").alias("by_source"), F.min("by_lang").alias("by_lang"), F.max("size").alias("one"))
-    by_size = F.least(F.lit(_UNIT - 1), (F.log2(F.col("one").cast("double")) * (_UNIT / 40)).cast("long"))
-    tie = F.shiftrightunsigned(F.xxhash64("h", "piece"), 24)
-    return rows.drop("pieces"), points.select("h", "piece", "bytes", "by_source", "by_lang", by_size.alias("by_size"), tie.alias("tie"))
-
-
-def _split(points: DataFrame) -> DataFrame:
-    """One level: every node with more than one shard in two."""
-    several = points.where("k > 1")
-    spans = several.groupBy("node").agg(*[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS])
-    widest = F.greatest(*DIMENSIONS)
-    choice = spans.select("node", F.when(F.col("by_source") == widest, 0).when(F.col("by_lang") == widest, 1).otherwise(2).alias("axis"))
-    value = F.when(F.col("axis") == 0, F.col("by_source")).when(F.col("axis") == 1, F.col("by_lang")).otherwise(F.col("by_size"))
-    placed = several.join(choice, "node").select("node", "k", "bytes", (F.shiftleft(value, 40) + F.col("tie")).alias("pos"), "h", "piece", "base")
-    low = placed.groupBy("node").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"), F.sum("bytes").alias("total"), F.first("k").alias("k"))
-    cut = low.select("node", "lo", "hi", F.lit(0).cast("long").alias("below"), (F.col("total") * F.floor(F.col("k") / 2) / F.col("k")).alias("goal"))
-    order = Window.partitionBy("node").orderBy("bin")
-    for _ in range(ROUNDS):
-        width = F.greatest(F.lit(1).cast("long"), F.shiftrightunsigned(F.col("hi") - F.col("lo") - 1, BINS_LOG2) + 1)
-        near = placed.select("node", "pos", "bytes").join(cut, "node").where("pos >= lo and pos < hi")
-        bins = near.select("node", "lo", "hi", "below", "goal", "bytes", width.alias("width"), ((F.col("pos") - F.col("lo")) / width).cast("long").alias("bin"))
-        bins = bins.groupBy("node", "lo", "below", "goal", "width", "bin").agg(F.sum("bytes").alias("bytes"))
-        sums = bins.withColumn("upto", F.sum("bytes").over(order) + F.col("below"))
-        # the bin in which the goal is reached; what lies before it is below the cut
-        hit = sums.where("upto >= goal").groupBy("node").agg(F.min_by(F.struct("lo", "width", "bin", "goal", (F.col("upto") - F.col("bytes")).alias("below")), "bin").alias("b"))
-        start = F.col("b.lo") + F.col("b.bin") * F.col("b.width")
-        cut = hit.select("node", start.alias("lo"), (start + F.col("b.width")).alias("hi"), F.col("b.below").alias("below"), F.col("b.goal").alias("goal"))
-    # the last bin goes to the side that it leaves nearer to the goal
-    rest = placed.join(cut, "node").where("pos >= lo and pos < hi").groupBy("node").agg(F.sum("bytes").alias("last"))
-    at = cut.join(rest, "node", "left").select("node", F.when(F.col("below") + F.coalesce("last", F.lit(0)) - F.col("goal") < F.col("goal") - F.col("below"), F.col("hi")).otherwise(F.col("lo")).alias("cut"))
-    left = F.floor(F.col("k") / 2).cast("int")
-    sided = placed.join(at, "node").withColumn("up", F.col("pos") >= F.col("cut"))
-    halves = sided.select("h", "piece", "bytes", (F.col("node") * 2 + F.col("up").cast("int")).cast("long").alias("node"), F.when(F.col("up"), F.col("k") - left).otherwise(left).alias("k"), F.when(F.col("up"), F.col("base") + left).otherwise(F.col("base")).alias("base"))
-    return halves
+def _located(slim: DataFrame, groups: DataFrame, count: int, share: float) -> DataFrame:
+    """The rows at their group's coordinates.  ``groups`` has the texts that repeat; those
+    of very many rows, and those to be cut, are few (``MOST_HOT`` and one a shard) and are
+    sent to the tasks, so that no text brings many rows to one."""
+    known = (F.col("bytes") > share) | (F.col("copies") > max(HOT_ROWS, count // MOST_HOT))
+    met = slim.join(F.broadcast(groups.where(known)), "h", "left")
+    rest = slim.join(F.broadcast(groups.where(known).select("h")), "h", "left_anti").join(groups.where(~known), "h", "left")
+    rows = met.where("copies is not null").unionByName(rest)
+    whole = F.coalesce("bytes", "size")
+    pieces = F.when(whole > share, F.when(F.col("copies") > 1, F.ceil(whole * PIECES / share)).otherwise(1)).otherwise(1)
+    rows = rows.withColumns({"by_source": F.coalesce("one_source", "by_source"), "by_lang": F.coalesce("one_lang", "by_lang"), "large": whole > share / LARGE, "pieces": pieces.cast("long")})
+    tie = F.shiftrightunsigned(F.xxhash64("h", F.expr("pmod(row_hash, pieces)")), 64 - TIE)
+    return rows.withColumn("tie", tie).drop("one_source", "one_lang", "bytes", "copies", "pieces")
+
+
+def _parted(located: DataFrame, bound: float) -> DataFrame:
+    """The rows with the part of their coordinates that names their cell: a large point is
+    its own, other coordinates are parted by hash if they hold more than ``bound``."""
+    full = located.where("not large").groupBy(*DIMENSIONS).agg((F.sum("size") / bound).alias("full"))
+    full = full.where("full > 1").withColumn("parts", F.ceil("full").cast("long")).drop("full")
+    met = located.join(F.broadcast(full), [*DIMENSIONS], "left")
+    part = F.shiftright(F.col("tie") * F.coalesce("parts", F.lit(1)), TIE)
+    return met.withColumn("part", F.when(F.col("large"), F.col("tie")).otherwise(part)).drop("tie", "parts")
+
+
+def _tree(cells: DataFrame, shards: int) -> DataFrame:
+    """The cells (with their bytes) with the shard of the leaf that each falls into."""
+    node, beside = Window.partitionBy("node"), Window.partitionBy("node", "large").orderBy("pos")
+    tie = F.shiftrightunsigned(F.xxhash64(*CELL), 64 - TIE)
+    now = cells.select("*", tie.alias("tie"), F.lit(1).cast("long").alias("node"), F.lit(shards).alias("k"), F.lit(0).alias("shard"))
+    span = lambda d, bits: (F.max(d).over(node) - F.min(d).over(node)) * (1 << 20 - bits)
+    half = F.floor(F.col("k") / 2).cast("int")
+    most = shards
+    while most > 1:
+        spans = now.select("*", *[span(d, bits).alias(f"span_{d}") for d, bits in DIMENSIONS.items()], F.sum("bytes").over(node).alias("total"), F.sum(F.expr("if(large, bytes, 0)")).over(node).alias("heavy"))
+        widest = F.greatest(*[f"span_{d}" for d in DIMENSIONS])
+        value = F.when(F.col("span_by_source") == widest, F.col("by_source")).when(F.col("span_by_lang") == widest, F.col("by_lang")).otherwise(F.col("by_size"))
+        goal = F.col("total") * half / F.col("k")
+        placed = spans.select(*now.columns, "total", "heavy", goal.alias("goal"), (F.shiftleft(value.cast("long"), TIE) + F.col("tie")).alias("pos"))
+        run = placed.withColumn("upto", F.sum("bytes").over(beside))
+        # a beginning of the large points that leaves the goal in the cells' reach, near to their own share
+        beyond = F.expr("greatest(0D, upto - goal, goal - (total - heavy) - upto)")
+        off = F.abs(F.col("upto") - F.col("heavy") * half / F.col("k"))
+        mine = F.when(F.col("large"), F.struct(beyond.alias("beyond"), off.alias("off"), F.col("pos").alias("pos"), F.col("upto").cast("double").alias("taken")))
+        none = F.struct(F.expr("greatest(0D, goal - (total - heavy))").alias("beyond"), (F.col("heavy") * half / F.col("k")).cast("double").alias("off"), F.lit(-1).cast("long").alias("pos"), F.lit(0.0).alias("taken"))
+        best = run.withColumn("held", F.least(F.coalesce(F.min(mine).over(node), none), none))
+        up = F.when(F.col("large"), F.col("pos") > F.col("held.pos")).otherwise(F.col("upto") - F.col("bytes") / 2 > F.col("goal") - F.col("held.taken"))
+        sided = best.withColumn("up", (F.col("k") > 1) & up)
+        step = {"node": F.expr("if(k > 1, node * 2 + cast(up as int), node)"), "shard": F.col("shard") + F.when(F.col("up"), half).otherwise(0), "k": F.when(F.col("up"), F.col("k") - half).otherwise(F.greatest(half, F.lit(1)))}
+        now = sided.select(*[step[c].alias(c) if c in step else c for c in now.columns])
+        most -= most // 2
+    return now.select(*CELL, "shard")
 
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
@@ -101,41 +127,39 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None =
     ``order``: columns of ``docs`` whose order the slots of a shard follow; the first
     holds whole numbers from 0 on, none of them of very many rows.
     ``target_bytes``: take as many shards as leave each at most about that much.
-    A null text counts as empty; null metadata is a value of its own.  Rows equal in
-    every column stay together, so they can't be cut; an empty table gives no rows.
-    Other columns of ``docs`` aren't read."""
+    A null text counts as empty; null metadata is a value of its own.  Equal texts share
+    a shard unless together they exceed an even one.  Rows equal in doc_id, lang, source
+    and text can't be told apart and are never cut, and neither is one long text; an
+    empty table gives no rows.  Other columns of ``docs`` aren't read, and may have any
+    name."""
     slim = Stored(_slim(docs, order))
-    total, count = slim.read().agg(F.sum("size"), F.count("*")).first()
+    last = F.max(order[0]) if order else F.lit(0)
+    total, count, last = slim.read().agg(F.sum("size"), F.count("*"), last).first()
     if target_bytes:
         shards = max(1, -(-(total or 0) // target_bytes))
-    rows, points = _points(slim.read(), (total or 0) / shards)
-    rows = Stored(rows)
-    now = Stored(points.withColumns({"node": F.lit(1).cast("long"), "k": F.lit(shards), "base": F.lit(0)}))
-    most = shards
-    while most > 1:
-        coords = now.read().drop("node", "k", "base", "bytes")
-        parts = _split(now.read())
-        ended = now.read().where("k = 1")
-        step = Stored(parts.join(coords, ["h", "piece"]).select(*ended.columns).unionByName(ended))
-        now.discard()
-        now, most = step, most - most // 2
-    leaves = now.read().select("h", "piece", F.col("base").cast("int").alias("shard"))
-    placed = rows.read().join(leaves, ["h", "piece"])
-    return _numbered(placed, max(1, int((count or 0) // (shards * NUMBERED))), order)
-
-
-def _numbered(placed: DataFrame, buckets: int, order: tuple[str, ...] = ()) -> DataFrame:
+    copies = slim.read().groupBy("h").agg(F.count("*").alias("copies"), F.sum("size").alias("bytes"), F.min("by_source").alias("one_source"), F.min("by_lang").alias("one_lang"))
+    groups = Stored(copies.where("copies > 1"))
+    located = Stored(_located(slim.read(), groups.read(), count, (total or 0) / shards))
+    bound = (total or 0) / max(CELLS, SHARD_CELLS * shards)
+    parted = _parted(located.read(), max(1.0, bound))
+    leaves = Stored(_tree(parted.groupBy(*CELL).agg(F.sum("size").alias("bytes")), shards))
+    # no cell holds much, so none is a hot key
+    placed = parted.join(leaves.read(), [*CELL])
+    buckets = max(1, int((count or 0) // (shards * NUMBERED)))
+    # buckets are ranges of the first column that gives the order
+    bucket = F.expr(f"cast(`{order[0]}` as decimal(20)) * {buckets} div {(last or 0) + 1}") if order else F.expr(f"pmod(row_hash, {buckets})")
+    table = Stored(placed.select("doc_id", *order, "size", "text_crc32", "h", "row_hash", "shard", bucket.alias("bucket")))
+    for done in (slim, groups, located, leaves):
+        done.discard()
+    return _numbered(table.read(), order)
+
+
+def _numbered(table: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Gapless slots: shards are numbered in buckets, each from where the last ended."""
-    if order:  # buckets are ranges of the first column
-        last = placed.agg(F.max(order[0])).first()[0] or 0
-        bucket = F.expr(f"cast(`{order[0]}` as decimal(20)) * {buckets} div {last + 1}")
-    else:
-        bucket = F.expr(f"pmod(h, {buckets})")
-    table = Stored(placed.withColumn("bucket", bucket))
-    sizes = table.read().groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
+    sizes = table.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     before = sizes.withColumn("before", F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows"))
     inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(*order, "h", "doc_id", "row_hash"))
-    numbered = table.read().withColumn("inside", inside).join(before.select("shard", "bucket", "before"), ["shard", "bucket"])
+    numbered = table.withColumn("inside", inside).join(before.select("shard", "bucket", "before"), ["shard", "bucket"])
     return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("inside") - 1).alias("slot"), "row_hash", "h")
 
 
