@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: bytes of texts that reach a Python worker at once, unless the session says otherwise
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)
 _FALLBACK: dict[str, str] = {}
 
 

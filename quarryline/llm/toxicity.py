@@ -89,7 +89,7 @@ class Decoder:
 
     def __call__(self, word: str) -> str:
         if word not in self.known:
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             self.known[word] = self._decode(word)
         return self.known[word]
