@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -60,37 +58,32 @@ def unit(vector):
     return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
 
 
-#: questions that are sent to all tasks at once
-QUESTIONS = 4096
+#: questions, and vectors, that meet in one group
+QUESTIONS, VECTORS = 4096, 8192
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
     """(query_id, rank, id, score): cosine of queries (query_id, vector) with vectors
-    (id, vector), ties by id.  Questions are sent to the tasks in blocks of a fixed
-    number, and each task keeps its own k best of a block."""
-    spark = queries.sparkSession
-    blocks = max(1, -(-queries.count() // QUESTIONS))
-    out = None
-    for b in range(blocks):
-        rows = queries.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {b}")).select("query_id", unit(F.col("vector")).alias("v")).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["v"] for r in rows])))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for batch in batches:
-                if len(batch):
-                    scores = np.round(np.stack(batch["v"].to_numpy()) @ q.T, 6)
-                    names = batch["id"].to_numpy()
-                    for j, query in enumerate(ids):
-                        top = np.lexsort((names, -scores[:, j]))[:k]
-                        yield pd.DataFrame({"query_id": query, "id": names[top], "score": scores[top, j]})
-
-        kinds = dict(vectors.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
-        part = vectors.select("id", unit(F.col("vector")).alias("v")).mapInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
-        out = part if out is None else out.unionByName(part)
-    return _top(out, k) if out is not None else queries.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    (id, vector), ties by id.  Both are dealt into parts of a few thousand by hash, every
+    block of questions meets every part of the vectors in a group of its own, and only the
+    k best of each meeting go on."""
+    blocks, parts = max(1, -(-queries.count() // QUESTIONS)), max(1, -(-vectors.count() // VECTORS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", unit(F.col("vector")).alias("v"), F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block"), every(parts).alias("part"))
+    c = vectors.select("id", unit(F.col("vector")).alias("v"), every(blocks).alias("block"), F.expr(f"cast(pmod(xxhash64(id), {parts}) as int)").alias("part"))
+
+    def best(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(known):
+            return pd.DataFrame({"query_id": asked["query_id"][:0], "id": known["id"][:0], "score": pd.Series([], dtype=float)})
+        names = known["id"].to_numpy()
+        scores = np.round(np.stack(known["v"].to_numpy()) @ np.stack(asked["v"].to_numpy()).T, 6)
+        tops = [np.lexsort((names, -scores[:, j]))[:k] for j in range(len(asked))]
+        n = [len(t) for t in tops]
+        return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), n), "id": names[np.concatenate(tops)], "score": np.concatenate([scores[t, j] for j, t in enumerate(tops)])})
+
+    kinds = dict(vectors.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    met = q.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return _top(met, k)
 
 
 def rrf(ranked: DataFrame, k: int = 60, limit: int = 30) -> DataFrame:
@@ -139,7 +132,7 @@ def exact_duplicates(chunks: DataFrame) -> DataFrame:
     return chunks.join(least, "text_hash").select("chunk_id", "canonical_id", (F.col("chunk_id") != F.col("canonical_id")).alias("is_duplicate"))
 
 
-def near_duplicates(chunks: DataFrame, threshold: float = 0.95, hyperplanes: int = 0) -> DataFrame:
+def near_duplicates(chunks: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(id, other, score): within a repo, each vector's closest other above the threshold.
 
     A repo is dealt into blocks of rows by id; every pair of blocks of one repo is met in

@@ -113,7 +113,7 @@ def extract_owners(files: DataFrame) -> DataFrame:
     after the pattern of a line; comments go, repeats count once."""
     line = F.explode(F.split("text", r"\r\n|[\r\n]"))
     tokens = F.split(F.trim(F.regexp_replace(F.regexp_replace("_line", r"#.*$", ""), r"\s+", " ")), " ")
-    owners = files.select("repo_id", line.alias("_line")).select("repo_id", F.explode(F.slice(tokens, 2, 1 << 20)).alias("_o"))
+    owners = files.select("repo_id", line.alias("_line")).select("repo_id", F.explode(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))).alias("_o"))
     names = owners.where(F.col("_o").startswith("@") & (F.length("_o") > 1)).select("repo_id", F.regexp_replace("_o", "^@+", "").alias("name")).distinct()
     return names.select("repo_id", F.lit("OWNED_BY").alias("rel_type"), F.concat(F.lit("team:"), "name").alias("team_id"), "name")
 

@@ -1,0 +1,347 @@
+"""Registered queries of single rules: filters, hosts, contracts, rankings, texts, estimates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import estimation as es
+from ..operators import graph as gr
+from ..operators import portfolio as pf
+from ..operators import resolution as rs
+from ..operators import retrieval as rt
+from ..operators import scope_views as sc
+from ..operators import service_views as sv
+from ..streaming import events as ev
+from .bindings import VIEWS
+from .queries import job
+
+VIEWS |= {
+    "entities": "SELECT o_orderkey AS source_id, CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'Ticket' WHEN 1 THEN 'Page' ELSE 'Odd' END AS label, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS title, o_orderstatus AS status, CASE WHEN o_orderkey % 6 = 0 THEN '1996-01-01' ELSE NULL END AS deleted_at, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(30)) AS updated_at FROM orders",
+    "needed_fields": "SELECT 'Ticket' AS label, 'title' AS property UNION ALL SELECT 'Page', 'title' UNION ALL SELECT 'Page', 'status'",
+    "entity_edges": "SELECT l_orderkey AS source_id, CASE WHEN l_linenumber % 2 = 0 THEN 'LINKS' ELSE 'BLOCKS' END AS rel_type, l_orderkey + l_linenumber AS target_id FROM lineitem",
+    "old_edges": "SELECT DISTINCT l_orderkey AS source_id, 'LINKS' AS rel_type, l_orderkey + 2 AS target_id FROM lineitem",
+    "claims": "SELECT CAST(l_partkey AS INT) AS ordinal, CASE WHEN l_linenumber = 1 THEN concat(' S', CAST(l_suppkey % 30 AS VARCHAR(20))) ELSE concat('s', CAST(l_suppkey % 30 AS VARCHAR(20))) END AS src, concat('S', CAST(l_partkey % 40 AS VARCHAR(20))) AS dst, CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 'high' WHEN 1 THEN 'odd' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM lineitem",
+    "known_names": "SELECT DISTINCT concat('s', CAST(s_suppkey % 35 AS VARCHAR(20))) AS name FROM supplier",
+    "host_calls": "SELECT event_id AS call_id, CASE WHEN user_id % 6 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'api.example.org' ELSE 'www.example.net' END AS host, CASE WHEN event_id % 5 = 0 THEN concat('/', event_type, '/$', '{x}') ELSE concat('/', event_type, '/items') END AS path FROM events",
+    "host_prefixes": "SELECT DISTINCT 'api.example.org' AS host, concat('/', event_type) AS prefix, concat('svc-', event_type) AS sid FROM events UNION SELECT 'api.example.org', '', 'svc-any' FROM region UNION SELECT DISTINCT 'www.example.net', '/click', concat('svc', CAST(user_id % 2 AS VARCHAR(20))) FROM events",
+    "host_patterns": "SELECT CAST(1 AS INT) AS ordinal, 'first' AS system, 'api.*' AS pattern FROM region UNION SELECT 2, 'second', '*.example.org' FROM region UNION SELECT 3, 'third', 'www.example.net' FROM region",
+    "origin_routes": "SELECT p_partkey AS route_id, concat('s', CAST(p_size % 5 AS VARCHAR(20))) AS sid, 'GET' AS method, concat('/Items/', CASE WHEN p_partkey % 2 = 0 THEN '{id}' ELSE ':key' END, '/', CAST(p_size AS VARCHAR(20)), 'x') AS path, CASE WHEN p_partkey % 3 = 0 THEN 'code' ELSE 'contract' END AS origin FROM part",
+    "caller_fields": "SELECT DISTINCT o_orderkey AS edge_id, CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'Name' WHEN 1 THEN 'name' WHEN 2 THEN 'extra' ELSE 'id' END AS field FROM orders",
+    "callee_fields": "SELECT o_orderkey AS edge_id, CASE WHEN o_orderkey % 2 = 0 THEN 'name' ELSE 'total' END AS field, o_custkey % 3 = 0 AS required FROM orders UNION ALL SELECT o_orderkey, 'id', true FROM orders",
+    "context_services": "SELECT user_id % 60 AS query_id, concat('s', CAST(event_id % 9 AS VARCHAR(20))) AS sid, CAST(event_id % 5 AS INT) AS place FROM events",
+    "top_services": "SELECT DISTINCT user_id % 60 AS query_id, concat('s', CAST(event_id % 4 AS VARCHAR(20))) AS sid FROM events",
+    "service_hits": "SELECT user_id % 60 AS query_id, concat('s', CAST(event_id % 9 AS VARCHAR(20))) AS sid, event_id AS chunk_id, CAST(event_id % 100 AS DOUBLE) / 100 AS score FROM events",
+    "alias_rows": "SELECT concat('a', CAST(p_size AS VARCHAR(20))) AS alias, concat('s', CAST(p_partkey % 7 AS VARCHAR(20))) AS sid, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, p_brand AS source FROM part",
+    "manual_aliases": "SELECT DISTINCT concat('a', CAST(p_size * 10 AS VARCHAR(20))) AS alias, 's9' AS sid FROM part",
+    "raw_nodes": "SELECT CAST(l_linenumber AS INT) AS ordinal, 'N' AS label, l_partkey % 500 AS id, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE max(l_returnflag) END AS flag, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_linenumber, l_partkey % 500",
+    "reranked": "SELECT user_id % 40 AS query_id, event_id AS id, CAST(event_id % 50 AS INT) AS rank, CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 37 AS DOUBLE) END AS rerank_score FROM events",
+    "option_scores": "SELECT o_custkey % 90 AS evaluation_id, o_orderkey % 7 AS option_id, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'fit' WHEN 1 THEN 'risk' ELSE 'cost' END AS dimension, CAST(max(o_custkey % 11) AS DOUBLE) AS score FROM orders GROUP BY o_custkey % 90, o_orderkey % 7, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'fit' WHEN 1 THEN 'risk' ELSE 'cost' END",
+    "option_weights": "SELECT 'fit' AS dimension, CAST(0.5 AS DOUBLE) AS weight UNION ALL SELECT 'risk', CAST(0.3 AS DOUBLE) UNION ALL SELECT 'cost', CAST(0.2 AS DOUBLE)",
+    "codes": "SELECT DISTINCT concat('CP', CAST(o_custkey % 130 AS VARCHAR(20)), '-', CAST(o_custkey % 12 AS VARCHAR(20))) AS code, o_custkey % 130 AS a, o_custkey % 12 AS b FROM orders",
+    "answers": "SELECT event_id AS id, concat('See [ref:', CAST(user_id % 9 AS VARCHAR(20)), '] and [ref:3], ', event_type, ' of [ref:', CAST(user_id % 9 AS VARCHAR(20)), '].') AS answer, split(concat(upper(event_type), ',missing,see'), ',') AS expected, user_id % 9 AS r FROM events",
+    "asked_texts": "SELECT event_id AS id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN concat('What depends on ', event_type, '?') WHEN 1 THEN concat('Describe the end-to-end journey of ', event_type) WHEN 2 THEN concat('Which API has ', event_type, '?') ELSE concat('Hello ', event_type) END AS question, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'structural' WHEN 1 THEN 'flow' WHEN 2 THEN 'single-service' ELSE 'general' END AS kind FROM events",
+    "identifiers": "SELECT DISTINCT concat('get', upper(substr(event_type, 1, 1)), substr(event_type, 2), 'HTTPClient_v2-x') AS name, concat('get ', event_type, ' http client v2 x') AS words FROM events",
+    "repo_names": "SELECT DISTINCT concat('Repo ', CAST(p_size AS VARCHAR(20))) AS repo FROM part UNION SELECT DISTINCT concat('repo-', CAST(p_size * 2 AS VARCHAR(20))) FROM part",
+    "setting_lines": "SELECT event_id AS id, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN concat('db.password = ', event_type) WHEN 1 THEN concat('API_KEY:', event_type) ELSE concat('name=', event_type) END AS line, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'db.password = ***' WHEN 1 THEN 'API_KEY:***' ELSE concat('name=', event_type) END AS masked, event_id % 3 < 2 AS secret FROM events",
+    "setting_files": "SELECT DISTINCT concat('src/application-', event_type, '.yml') AS path, event_type AS environment FROM events UNION SELECT DISTINCT concat('src/', event_type, '/appsettings.json'), 'default' FROM events",
+    "owner_files": "SELECT CAST(c_custkey AS VARCHAR(20)) AS repo_id, concat('# @no one', chr(10), '*.md @org/team', CAST(c_nationkey AS VARCHAR(20)), ' @b # @c', chr(10), '@first @b', chr(10), 'x y') AS text, c_nationkey AS n FROM customer",
+    "parts_of_requests": "SELECT o_orderkey AS request_id, concat('p', CAST(o_custkey % 6 AS VARCHAR(20))) AS part FROM orders UNION ALL SELECT o_orderkey, concat('p', CAST(o_custkey % 4 AS VARCHAR(20))) FROM orders",
+    "part_costs": "SELECT DISTINCT concat('p', CAST(s_suppkey % 5 AS VARCHAR(20))) AS part, CAST(s_suppkey % 5 AS DOUBLE) * 1.5 AS cost FROM supplier",
+    "efforts": "SELECT o_orderkey AS request_id, CAST(o_custkey % 50 AS DOUBLE) / 4 AS base, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE CAST(2 AS DOUBLE) END AS surcharge, CAST(1.25 AS DOUBLE) AS overhead, CAST(0.5 AS DOUBLE) AS scope_factor, CAST(0.2 AS DOUBLE) AS band FROM orders",
+    "breakdown": "SELECT l_orderkey AS request_id, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'backend' WHEN 1 THEN 'qa' ELSE 'devops' END AS discipline, sum(l_quantity) AS person_days FROM lineitem GROUP BY l_orderkey, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'backend' WHEN 1 THEN 'qa' ELSE 'devops' END",
+    "share_rules": "SELECT 'qa' AS discipline, CAST(0.25 AS DOUBLE) AS min_share, CAST(0.5 AS DOUBLE) AS expected_share UNION ALL SELECT 'devops', CAST(0.125 AS DOUBLE), CAST(0.25 AS DOUBLE)",
+    "teams": "SELECT DISTINCT o_orderkey AS request_id, 'backend' AS discipline, CASE WHEN o_custkey % 2 = 0 THEN 'fast' ELSE 'slow' END AS variant, CAST(o_custkey % 4 AS INT) AS people FROM orders",
+    "resources": "SELECT l_orderkey AS request_id, concat('r', CAST(l_partkey % 8 AS VARCHAR(20))) AS resource, CAST(l_linenumber AS DOUBLE) AS quantity FROM lineitem",
+    "resource_prices": "SELECT DISTINCT concat('r', CAST(p_size % 7 AS VARCHAR(20))) AS resource, CAST(p_size % 7 AS DOUBLE) * 2.5 AS price FROM part",
+    "deployments": "SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(1 AS DOUBLE) + CAST(o_custkey % 3 AS DOUBLE) / 2 ELSE NULL END AS multiplier, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey % 4 AS INT) ELSE NULL END AS environments FROM orders",
+    "priced_options": "SELECT s_suppkey AS option_id, round(s_acctbal, 2) AS one_time, CAST(s_suppkey % 4 AS INT) AS users, s_suppkey % 30 + 1 AS y1, s_suppkey % 20 + 2 AS y2 FROM supplier",
+    "evaluated": "SELECT o_custkey % 200 AS evaluation_id, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_orderkey % 60 END AS option_id FROM orders",
+    "dimension_scores": "SELECT DISTINCT o_orderkey % 40 AS option_id, o_custkey % 9 AS dimension FROM orders",
+    "option_costs": "SELECT DISTINCT o_orderkey % 50 AS option_id FROM orders",
+    "feed": "SELECT event_id, ts AS received_at, event_type AS event, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'no json' WHEN 1 THEN '{\"x\": 1}' ELSE concat('{\"id\": ', CAST(user_id AS VARCHAR(20)), '}') END AS payload FROM events",
+    "authored_pairs": "SELECT doc_id AS id, doc_id + 3 AS other FROM documents UNION ALL SELECT doc_id + 3, doc_id FROM documents",
+    "authored_types": "SELECT doc_id AS id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'wiki' WHEN 1 THEN 'docs' WHEN 2 THEN 'ticket' ELSE 'other' END AS doc_type FROM documents",
+    "flow_paths": "SELECT l_orderkey * 10 + l_linenumber AS id, split(concat('s', CAST(l_suppkey % 9 AS VARCHAR(20)), ',t', CAST(l_partkey % 9 AS VARCHAR(20))), ',') AS path, CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END AS confidence FROM lineitem",
+    "found_notes": "SELECT p_partkey AS id, 'scan' AS source FROM part UNION ALL SELECT p_partkey * 7, 'note' FROM part",
+    "needles": "SELECT source AS text, min(substr(text, 1, 12)) AS needle FROM documents WHERE source IS NOT NULL GROUP BY source",
+    "named_docs": "SELECT source AS repo, text FROM documents",
+    "ranked": "SELECT doc_id AS id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS r FROM documents",
+    "fused": "SELECT item_id AS query_id, CAST(1 AS INT) AS rank, item_id AS id FROM benchmark",
+}
+_LEVEL = "CASE {} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'manual' THEN 3 END"
+
+# filters and entities
+
+
+@job("SELECT source_id FROM entities WHERE deleted_at IS NULL", ("entities",))
+def live_only(entities):
+    return gr.live_only(entities).select("source_id")
+
+
+@job("SELECT chunk_id FROM chunks WHERE chunk_id % 5 > 0 AND doc_type = 'en'", ("chunks",))
+def metadata_filter(chunks):
+    return rt.metadata_filter(chunks.withColumn("is_duplicate", F.when(F.col("chunk_id") % 5 == 0, True)), {"doc_type": "en"}).select("chunk_id")
+
+
+@job("SELECT source_id, CASE label WHEN 'Odd' THEN 'unknown label' WHEN 'Ticket' THEN CASE WHEN coalesce(title, '') = '' THEN 'missing title' END ELSE CASE WHEN coalesce(title, '') = '' THEN 'missing title' END END AS reject_reason FROM entities", ("entities", "needed_fields"))
+def validate_entities(entities, needed):
+    rows = entities.withColumn("properties", F.create_map(F.lit("title"), "title", F.lit("status"), "status"))
+    return gr.validate_entities(rows, needed).select("source_id", "reject_reason")
+
+
+@job("SELECT source_id, coalesce(CAST(updated_at AS TIMESTAMP) < TIMESTAMP '1996-12-02 00:00:00', true) AS stale FROM entities", ("entities",))
+def is_stale(entities):
+    return entities.select("source_id", gr.is_stale(F.col("updated_at"), F.lit("1997-01-01").cast("timestamp"), 24 * 30).alias("stale"))
+
+
+@job("SELECT e.source_id, e.rel_type, e.target_id, CASE WHEN NOT EXISTS (SELECT 1 FROM entities x WHERE x.source_id = e.source_id) OR NOT EXISTS (SELECT 1 FROM entities x WHERE x.source_id = e.target_id) THEN 'REJECTED' WHEN EXISTS (SELECT 1 FROM old_edges o WHERE o.source_id = e.source_id AND o.rel_type = e.rel_type AND o.target_id = e.target_id) THEN 'SKIPPED' ELSE 'CREATED' END AS decision FROM entity_edges e", ("entity_edges", "entities", "old_edges"))
+def upsert_edges_checked(edges, entities, old):
+    return gr.upsert_edges_checked(edges, entities, old)
+
+
+@job("SELECT source_id, CASE WHEN source_id IN (SELECT target_id FROM old_edges) THEN coalesce(deleted_at, '1999-01-01') ELSE deleted_at END AS deleted_at FROM entities", ("entities", "old_edges"))
+def soft_delete(entities, old):
+    return gr.soft_delete(entities, old.select(F.col("target_id").alias("source_id")), F.lit("1999-01-01")).select("source_id", "deleted_at")
+
+
+@job("SELECT 'node' AS kind, label AS name, count(*) AS n FROM entities GROUP BY label UNION ALL SELECT 'edge', rel_type, count(*) FROM entity_edges GROUP BY rel_type", ("entities", "entity_edges"))
+def graph_counts(entities, edges):
+    return gr.graph_counts(entities, edges)
+
+
+@job("SELECT label, id, arg_min(flag, ordinal) FILTER (flag IS NOT NULL) AS flag, arg_min(shipped, ordinal) AS shipped FROM raw_nodes GROUP BY label, id", ("raw_nodes",))
+def merge_nodes(nodes):
+    return gr.merge_nodes(nodes, ["flag", "shipped"])
+
+
+@job(
+    """, a AS (SELECT src AS service, string_agg(DISTINCT dst, ',' ORDER BY dst) AS dependencies FROM depends_on GROUP BY 1), b AS (SELECT dst AS service, string_agg(DISTINCT src, ',' ORDER BY src) AS dependents FROM depends_on GROUP BY 1),
+    c AS (SELECT sid AS service, string_agg(DISTINCT topic, ',' ORDER BY topic) AS published FROM publishers GROUP BY 1), d AS (SELECT sid AS service, string_agg(DISTINCT topic, ',' ORDER BY topic) AS subscribed FROM subscribers GROUP BY 1)
+    SELECT service, dependencies, dependents, published, subscribed FROM a FULL JOIN b USING (service) FULL JOIN c USING (service) FULL JOIN d USING (service)""",
+    ("depends_on", "publishers", "subscribers"),
+)
+def context(depends_on, publishers, subscribers):
+    named = lambda df: df.select(F.col("sid").alias("service"), "topic")
+    got = gr.context(depends_on, named(publishers), named(subscribers))
+    return got.select("service", *[F.array_join(c, ",").alias(c) for c in got.columns if c != "service"])
+
+
+@job(", s AS (SELECT src, dst FROM depends_on UNION SELECT dst, src FROM depends_on), h1 AS (SELECT src AS root, dst AS node, 1 AS hop FROM s), h2 AS (SELECT DISTINCT h1.root, s.dst AS node, 2 AS hop FROM h1 JOIN s ON s.src = h1.node) SELECT root, node, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY root, node", ("depends_on",))
+def neighborhood(depends_on):
+    return gr.reach(depends_on, hops=2, undirected=True)
+
+
+@job(f"SELECT service, CAST(rank AS INTEGER) AS rank, id FROM (SELECT service, id, row_number() OVER (PARTITION BY service ORDER BY {_LEVEL.format('confidence')} DESC, n DESC, id) AS rank FROM (SELECT id, confidence, len(path) AS n, unnest(path) AS service FROM flow_paths)) WHERE rank <= 25", ("flow_paths",))
+def flows_for_service(flows):
+    return gr.flows_for_service(flows)
+
+
+@job("SELECT id, string_agg(part, ',' ORDER BY i) AS missing FROM (SELECT id, unnest([CASE WHEN vendor IS NULL THEN 'who' END, CASE WHEN lob IS NULL THEN 'what' END]) AS part, unnest([1, 2]) AS i FROM projects WHERE rag_status IN ('Yellow', 'Red')) WHERE part IS NOT NULL GROUP BY id", ("projects",))
+def rag_context_missing(projects):
+    missing = pf.rag_context_missing(F.col("rag_status"), {"who": F.col("vendor"), "what": F.col("lob")})
+    return projects.select("id", F.array_join(missing, ",").alias("missing")).where("missing != ''")
+
+
+@job("SELECT source_id, CASE label WHEN 'Ticket' THEN nullif(trim(concat_ws(' ', nullif(title, ''), status)), '') WHEN 'Page' THEN nullif(coalesce(title, ''), '') END AS text FROM entities", ("entities",))
+def embed_text(entities):
+    return entities.select("source_id", sv.embed_text(F.col("label"), {"Ticket": ["title", "status"], "Page": ["title"]}).alias("text"))
+
+
+@job("SELECT source_id, label, title, NULL AS status FROM entities UNION ALL SELECT source_id, NULL, NULL, status FROM entity_batch", ("entities", "entity_batch"))
+def merge_batches(entities, batch):
+    return sv.merge_batches(entities.select("source_id", "label", "title"), batch.select("source_id", "status")).select("source_id", "label", "title", "status")
+
+
+# calls, hosts, contracts
+
+@job(f"SELECT src, dst, confidence FROM (SELECT a.name AS src, b.name AS dst, arg_min(CASE WHEN confidence = 'odd' THEN 'low' ELSE confidence END, ordinal) AS confidence FROM (SELECT DISTINCT ON (s, d, ordinal) lower(trim(src)) AS s, lower(trim(dst)) AS d, ordinal, confidence FROM claims ORDER BY s, d, ordinal, {_LEVEL.format('confidence')}) JOIN known_names a ON a.name = s JOIN known_names b ON b.name = d WHERE s != d GROUP BY ALL)", ("claims", "known_names"))
+def known_only(claims, known):
+    # one claim for each ordinal and pair, so that the first is defined
+    first = claims.groupBy("ordinal", F.lower(F.trim("src")).alias("src"), F.lower(F.trim("dst")).alias("dst")).agg(F.min_by("confidence", F.coalesce(F.expr(_LEVEL.format("confidence")), F.lit(9))).alias("confidence"))
+    return rs.known_only(first, known)
+
+
+@job(
+    """, m AS (SELECT call_id, sid, length(prefix) AS n FROM host_calls c JOIN host_prefixes h ON h.host = c.host WHERE starts_with(path, prefix) AND (length(path) = length(prefix) OR prefix = '' OR substr(path, length(prefix) + 1, 1) = '/')), l AS (SELECT *, max(n) OVER (PARTITION BY call_id) AS longest FROM m)
+    SELECT call_id, min(sid) AS sid FROM l WHERE n = longest GROUP BY call_id HAVING count(DISTINCT sid) = 1""",
+    ("host_calls", "host_prefixes"),
+)
+def resolve_host(calls, hosts):
+    return rs.resolve_host(calls, hosts)
+
+
+@job("SELECT call_id, CASE WHEN host LIKE 'api.%' THEN 'first' ELSE 'third' END AS system FROM host_calls WHERE host IS NOT NULL", ("host_calls", "host_patterns"))
+def external_by_host(calls, systems):
+    return rs.external_by_host(calls, systems)
+
+
+@job("SELECT call_id, CASE WHEN host IS NULL THEN 'no_base_url' WHEN contains(path, chr(36) || '{') THEN 'dynamic_url' WHEN host LIKE '%example.org' THEN 'no_route_match' ELSE 'unknown_host' END AS reason FROM host_calls WHERE host IS NULL OR path NOT LIKE '%/items'", ("host_calls",))
+def unresolved_calls(calls):
+    return rs.unresolved_calls(calls, calls.where("host is not null and path like '%/items'"), ["example.org"])
+
+
+@job(", p AS (SELECT *, regexp_replace(lower(path), '([{]id[}]|:key)', '{}') AS k FROM origin_routes) SELECT route_id, origin FROM p WHERE origin = 'code' OR NOT EXISTS (SELECT 1 FROM p c WHERE c.origin = 'code' AND c.sid = p.sid AND c.method = p.method AND c.k = p.k)", ("origin_routes",))
+def contract_twin_filter(routes):
+    return rs.contract_twin_filter(routes).select("route_id", "origin")
+
+
+@job("SELECT edge_id, field, problem FROM (SELECT coalesce(a.edge_id, b.edge_id) AS edge_id, coalesce(a.field, b.field) AS field, CASE WHEN b.field IS NULL THEN 'extra' WHEN a.field IS NULL AND b.required THEN 'missing_required' WHEN a.field != b.field THEN 'name_case' END AS problem FROM caller_fields a FULL JOIN callee_fields b ON b.edge_id = a.edge_id AND lower(b.field) = lower(a.field)) WHERE problem IS NOT NULL", ("caller_fields", "callee_fields"))
+def contract_diff(caller, callee):
+    return rs.contract_diff(caller, callee)
+
+
+_ALIASES = f""", given AS (SELECT alias, sid, confidence, source FROM alias_rows WHERE alias NOT IN (SELECT alias FROM manual_aliases) UNION ALL SELECT alias, sid, 'manual', 'manual' FROM manual_aliases),
+    best AS (SELECT alias, sid, max({_LEVEL.format('confidence')}) AS level, list_slice(list_sort(list(DISTINCT source)), 1, 8) AS sources FROM given GROUP BY alias, sid), whole AS (SELECT *, count(*) OVER (PARTITION BY alias) > 1 AS ambiguous, CASE level WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'manual' END AS confidence FROM best)"""
+
+
+@job(_ALIASES + " SELECT alias, sid, confidence, array_to_string(sources, ',') AS sources, ambiguous FROM whole", ("alias_rows", "manual_aliases"))
+def alias_table(candidates, manual):
+    return rs.alias_table(candidates, manual).withColumn("sources", F.array_join("sources", ","))
+
+
+@job(_ALIASES + " SELECT sid, CAST(rank AS INTEGER) AS rank, alias FROM (SELECT sid, alias, row_number() OVER (PARTITION BY sid ORDER BY level DESC, ambiguous, len(sources) DESC, alias) AS rank FROM whole) WHERE rank <= 15", ("alias_rows", "manual_aliases"))
+def alias_ranking(candidates, manual):
+    return rs.alias_ranking(rs.alias_table(candidates, manual)).select("sid", "rank", "alias")
+
+
+@job("SELECT id, source FROM found_notes WHERE source = 'note' OR id NOT IN (SELECT id FROM found_notes WHERE source = 'note')", ("found_notes",))
+def overlay_notes(rows):
+    notes = rows.where("source = 'note'").withColumn("corroborates", F.col("id"))
+    return rs.overlay_notes(rows.where("source != 'note'").select("id", "source"), notes)
+
+
+@job("SELECT b.text AS repo, CAST(1 AS BIGINT) AS items, CAST(max(CASE WHEN contains(lower(n.text), lower(b.needle)) THEN 1 ELSE 0 END) AS BIGINT) AS mentioned, 100.0::DOUBLE * max(CASE WHEN contains(lower(n.text), lower(b.needle)) THEN 1 ELSE 0 END) AS percent FROM needles b JOIN named_docs n ON n.repo = b.text GROUP BY b.text", ("needles", "named_docs"))
+def required_mentions(needles, docs):
+    return rs.required_mentions(needles.select(F.col("text").alias("repo"), F.lit(1).alias("id"), F.array("needle").alias("needles")), docs)
+
+
+# rankings
+
+@job("SELECT query_id, sid, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id, max(score) AS score FROM service_hits h JOIN (SELECT query_id, sid FROM (SELECT query_id, sid, row_number() OVER (PARTITION BY query_id ORDER BY min(place), sid) AS n FROM context_services c WHERE NOT EXISTS (SELECT 1 FROM top_services t WHERE t.query_id = c.query_id AND t.sid = c.sid) GROUP BY query_id, sid) WHERE n <= 3) USING (query_id, sid) GROUP BY query_id, sid HAVING max(score) > 0.7", ("context_services", "top_services", "service_hits"))
+def gap_retrieval(context, top, hits):
+    return sc.gap_retrieval(context, top, hits)
+
+
+@job("SELECT query_id, id, CAST(new_rank AS INTEGER) AS new_rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, rank, id) AS new_rank FROM reranked) WHERE new_rank <= 5", ("reranked",))
+def rerank_topk(candidates):
+    return rt.rerank_topk(candidates).select("query_id", "id", "new_rank")
+
+
+@job("SELECT evaluation_id, option_id, total, CAST(rank() OVER (PARTITION BY evaluation_id ORDER BY total DESC) AS INTEGER) AS rank FROM (SELECT evaluation_id, option_id, round(sum(score * weight), 4) AS total FROM option_scores JOIN option_weights USING (dimension) GROUP BY ALL HAVING count(DISTINCT dimension) = 3)", ("option_scores", "option_weights"))
+def rank_options(scores, weights):
+    return es.rank_options(scores, weights)
+
+
+@job("SELECT evaluation_id, CASE WHEN count(option_id) = 0 THEN 'Draft' WHEN bool_and(option_id IS NULL OR (coalesce(d, 0) >= 8 AND c IS NOT NULL)) THEN 'Scoring_Complete' ELSE 'In_Progress' END AS status FROM evaluated LEFT JOIN (SELECT option_id, count(DISTINCT dimension) AS d FROM dimension_scores GROUP BY 1) USING (option_id) LEFT JOIN (SELECT option_id, 1 AS c FROM option_costs) USING (option_id) GROUP BY evaluation_id", ("evaluated", "dimension_scores", "option_costs"))
+def evaluation_status(options, scores, costs):
+    return es.evaluation_status(options, scores, costs)
+
+
+@job("SELECT code, CAST(row_number() OVER (ORDER BY a, b) AS INTEGER) AS place FROM codes", ("codes",))
+def natural_sort(codes):
+    # a listing: its codes are as many as a report shows
+    return codes.select("code", F.row_number().over(Window.orderBy(tx.natural_key(F.col("code")))).alias("place"))
+
+
+@job("SELECT CASE WHEN wins THEN other ELSE id END AS duplicate_id, CASE WHEN wins THEN id ELSE other END AS canonical_id FROM (SELECT p.id, p.other, a.r > b.r OR a.r = b.r AND p.id < p.other AS wins FROM authored_pairs p JOIN ranked a ON a.id = p.id JOIN ranked b ON b.id = p.other) GROUP BY ALL", ("authored_pairs", "authored_types", "ranked"))
+def resolve_canonical(pairs, types, ranked):
+    return rt.resolve_canonical(pairs, types)
+
+
+@job("SELECT query_id, rank, f.id, display_text FROM fused f LEFT JOIN chunks ON chunk_id = f.id", ("fused", "chunks"))
+def hydrate(fused, chunks):
+    sides = chunks.select(F.col("chunk_id").alias("id"), "display_text")
+    return rt.hydrate(fused, chunks.where("doc_type = 'en'").select(F.col("chunk_id").alias("id"), "display_text"), sides)
+
+
+# texts
+
+@job("SELECT id, array_to_string(list_sort(list_distinct([r, 3])), ',') AS refs FROM (SELECT id, r FROM answers WHERE r != 3) UNION ALL SELECT id, '3' FROM answers WHERE r = 3", ("answers",))
+def citations(answers):
+    return answers.select("id", F.array_join(F.transform(F.array_sort(tx.citations(F.col("answer"))), lambda x: x.cast("string")), ",").alias("refs"))
+
+
+@job("SELECT id, 2.0::DOUBLE / 3 AS score FROM answers", ("answers",))
+def keyword_score(answers):
+    return answers.select("id", tx.keyword_score(F.col("answer"), F.col("expected")).alias("score"))
+
+
+@job("SELECT id, kind FROM asked_texts", ("asked_texts",))
+def query_type(texts):
+    return texts.select("id", tx.query_type(F.col("question")).alias("kind"))
+
+
+@job("SELECT name, words FROM identifiers", ("identifiers",))
+def split_identifier(names):
+    return names.select("name", F.array_join(tx.split_identifier(F.col("name")), " ").alias("words"))
+
+
+@job(", s AS (SELECT repo, replace(lower(repo), ' ', '-') AS slug FROM repo_names) SELECT repo, CASE WHEN count(*) OVER (PARTITION BY slug) > 1 AND repo != slug THEN slug || '-' || substr(sha1(repo), 1, 6) ELSE slug END AS sid FROM s", ("repo_names",))
+def service_ids(repos):
+    return rs.service_ids(repos)
+
+
+@job("SELECT id, masked AS line, secret FROM setting_lines", ("setting_lines",))
+def redact(lines):
+    return lines.select("id", tx.redact(F.col("line")).alias("line"), tx.is_secret_name(F.regexp_extract("line", r"^([\w.]+)", 1)).alias("secret"))
+
+
+@job("SELECT path, environment FROM setting_files", ("setting_files",))
+def config_environment(files):
+    return files.select("path", tx.config_environment(F.col("path")).alias("environment"))
+
+
+@job("SELECT repo_id, 'OWNED_BY' AS rel_type, 'team:' || name AS team_id, name FROM (SELECT repo_id, 'org/team' || CAST(n AS VARCHAR) AS name FROM owner_files UNION ALL SELECT repo_id, 'b' FROM owner_files)", ("owner_files",))
+def extract_owners(files):
+    return sc.extract_owners(files)
+
+
+@job("SELECT id, actual_end - planned_end AS days FROM projects", ("projects",))
+def slippage(projects):
+    return projects.select("id", tx.slippage(F.col("planned_end"), F.col("actual_end")).cast("long").alias("days"))
+
+
+# estimates
+
+@job("SELECT request_id, sum(coalesce(cost, 0.0)) AS surcharge FROM parts_of_requests LEFT JOIN part_costs USING (part) GROUP BY request_id", ("parts_of_requests", "part_costs"))
+def surcharges(parts, costs):
+    return es.surcharges(parts, costs)
+
+
+@job("SELECT request_id, t AS total_days, round(t * 0.8::DOUBLE, 2) AS low, round(t * 1.2::DOUBLE, 2) AS high FROM (SELECT request_id, round(greatest((base + coalesce(surcharge, 0.0)) * overhead * scope_factor * 1.05::DOUBLE, 0.5::DOUBLE), 2) AS t FROM efforts)", ("efforts",))
+def estimate(efforts):
+    return es.estimate(efforts)
+
+
+@job("SELECT request_id, discipline, person_days, round(CASE WHEN total >= 20 AND person_days < min_share * total THEN expected_share * total ELSE person_days END, 2) AS corrected_days FROM (SELECT *, sum(person_days) OVER (PARTITION BY request_id) AS total FROM breakdown) LEFT JOIN share_rules USING (discipline)", ("breakdown", "share_rules"))
+def distribution_correction(breakdown, rules):
+    return es.distribution_correction(breakdown, rules)
+
+
+@job("SELECT request_id, variant, round(greatest(max(m), 0.1::DOUBLE), 2) AS months, arg_max(discipline, (m, discipline)) AS critical_discipline FROM (SELECT b.request_id, b.discipline, coalesce(variant, 'default') AS variant, person_days / greatest(coalesce(people, 1), 1) AS m FROM breakdown b LEFT JOIN teams t ON t.request_id = b.request_id AND t.discipline = b.discipline) GROUP BY ALL", ("breakdown", "teams"))
+def duration(breakdown, teams):
+    return es.duration(breakdown.withColumnRenamed("person_days", "person_months"), teams)
+
+
+@job("SELECT request_id, round(base * coalesce(m, 1.0), 2) AS production, round(base * coalesce(m, 1.0) * coalesce(e, 1), 2) AS all_environments FROM (SELECT request_id, sum(quantity * coalesce(price, 0.0)) AS base FROM resources LEFT JOIN resource_prices USING (resource) GROUP BY 1) LEFT JOIN (SELECT request_id, max(multiplier) AS m, max(environments) AS e FROM deployments GROUP BY 1) USING (request_id)", ("resources", "resource_prices", "deployments"))
+def cloud_cost(resources, prices, deployments):
+    return es.cloud_cost(resources, prices, deployments)
+
+
+@job("SELECT option_id, round(one_time + y1 + 4 * y2, 2) AS total, round((y1 + 4 * y2) / 5::DOUBLE, 2) AS running_per_year, CASE WHEN users > 0 THEN round((one_time + y1 + 4 * y2) / users, 2) END AS per_user FROM priced_options", ("priced_options",))
+def tco(options):
+    return es.tco(options.withColumn("yearly", F.array(F.col("y1").cast("double"), F.col("y2").cast("double"))))
+
+
+# feeds
+
+@job("SELECT event_id, CASE WHEN event NOT IN ('click', 'view') THEN 'ignored' WHEN event_id % 4 = 0 THEN 'dead_letter' WHEN event_id % 4 = 1 THEN 'warning' ELSE 'upsert' END AS outcome FROM feed", ("feed",))
+def route_events(feed):
+    return ev.route_events(feed, "id long", ["click", "view"]).select("event_id", "outcome")
+
+
+@job("SELECT event, max(received_at) AS received_at FROM feed GROUP BY event", ("feed",))
+def last_of_batch(feed):
+    return ev.last_of_batch(feed, "event", "received_at").select("event", "received_at")

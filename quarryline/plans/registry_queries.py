@@ -29,7 +29,7 @@ VIEWS |= {
     "topic_forms": "SELECT DISTINCT concat('sit-', event_type, '.STG') AS topic, event_type AS form FROM events UNION SELECT DISTINCT concat('perf_local.', upper(event_type), '-prd'), event_type FROM events UNION SELECT DISTINCT concat('develop-', 'prod'), 'prod' FROM events UNION SELECT DISTINCT concat('devices.', event_type), concat('devices.', event_type) FROM events",
     # registries
     "infra_items": "SELECT concat('s', CAST(p_partkey % 30 AS VARCHAR(20))) AS sid, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'k8s-service' WHEN 1 THEN 'compose-service' WHEN 2 THEN 'k8s-ingress' ELSE 'pipeline' END AS infra_kind, concat('App', CAST(p_size AS VARCHAR(20))) AS name, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE concat('ns', CAST(p_size % 3 AS VARCHAR(20))) END AS namespace, split(concat('h', CAST(p_size AS VARCHAR(20)), '.example.org,', CASE WHEN p_size % 5 = 0 THEN '$(host)' ELSE 'www.example.org' END), ',') AS hosts, split(concat('/V', CAST(p_size % 3 AS VARCHAR(20)), '/,/Items/{id}'), ',') AS paths, split(concat('webAppName=web', CAST(p_size AS VARCHAR(20)), ',slot=x'), ',') AS targets FROM part",
-    "found_items": "SELECT concat('i', CAST(l_partkey % 400 AS VARCHAR(20))) AS id, CASE WHEN l_linenumber % 3 = 0 THEN 'contract' ELSE 'code' END AS source, CASE WHEN l_linenumber % 2 = 0 THEN 'runtime' ELSE 'tests_target' END AS role, CASE WHEN l_suppkey % 7 = 0 THEN '' WHEN l_suppkey % 7 < 5 THEN 'GET' ELSE 'POST' END AS method, concat('/v', CAST(l_linenumber % 2 AS VARCHAR(20))) AS path, CASE WHEN l_quantity > 49 THEN 'medium' ELSE 'high' END AS confidence FROM lineitem WHERE l_linenumber < 5",
+    "found_items": "SELECT concat('i', CAST(l_partkey % 400 AS VARCHAR(20))) AS id, CASE WHEN l_linenumber % 3 = 0 THEN 'contract' ELSE 'code' END AS source, CASE WHEN l_linenumber % 2 = 0 THEN 'runtime' ELSE 'tests_target' END AS role, CASE WHEN l_suppkey % 7 = 0 THEN '' WHEN l_suppkey % 7 < 5 THEN 'GET' ELSE 'POST' END AS method, concat('/v', CAST(l_linenumber % 2 AS VARCHAR(20))) AS path, CASE WHEN l_quantity > 49 THEN 'medium' ELSE 'high' END AS confidence FROM lineitem",
     "services": "SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS source_id, s_name AS name, split(concat('Svc', CAST(s_nationkey AS VARCHAR(20)), ',SVC', CAST(s_nationkey AS VARCHAR(20)), ',,x', CAST(s_suppkey % 5 AS VARCHAR(20))), ',') AS aliases, CASE WHEN s_suppkey % 10 = 0 THEN 'gone' ELSE NULL END AS deleted_at FROM supplier",
     "linked_aliases": "SELECT concat('X', CAST(c_custkey % 7 AS VARCHAR(20))) AS alias, concat('s', CAST(c_custkey % 90 AS VARCHAR(20))) AS source_id, CASE WHEN c_custkey % 11 = 0 THEN 'gone' ELSE NULL END AS deleted_at FROM customer",
     "open_items": "SELECT event_id AS id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'outbound_http' WHEN 1 THEN 'messaging' WHEN 2 THEN 'inbound_http' ELSE 'table' END AS kind, concat('f', CAST(user_id AS VARCHAR(20))) AS file, CASE WHEN event_id % 3 = 0 THEN 'unknown' WHEN event_id % 3 = 1 THEN 'config' ELSE NULL END AS base_url_source, CASE WHEN user_id % 2 = 0 THEN 'POST' WHEN user_id % 5 = 0 THEN NULL ELSE 'GET' END AS method, concat('/', event_type) AS path, CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'literal' END AS name_from, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS entity, CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'p' END AS payload, CASE WHEN event_id % 3 = 1 THEN NULL ELSE 'r' END AS request, CASE WHEN event_id % 5 = 2 THEN '' ELSE 's' END AS response_schema FROM events",
