@@ -277,14 +277,17 @@ class Markers:
         distinct = np.bincount(row1, weights=first, minlength=n)
         top = np.zeros(n)
         np.maximum.at(top, rows, weight)
-        size = np.log1p(length[:n])
-        return np.column_stack([np.log1p(total), np.log1p(distinct), top, np.log1p(total) - size, (top > 0).astype(float)])
+        # without markers all are 0, however short the text
+        dense = np.log1p(100 * total / (length[:n] + 20))
+        return np.column_stack([np.log1p(total), np.log1p(distinct), top, dense, (top > 0).astype(float)])
 
 
 class Regression:
-    """Logistic regression by Newton's steps, ridge 1."""
+    """Logistic regression by Newton's steps, with a small ridge.  Inputs beyond those that
+    it was fitted on count as the last of those."""
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Regression:
+        self.least, self.most = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(x.shape[1]), np.zeros(x.shape[1]))
         self.mean, self.scale = x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), (x.std(axis=0) if len(x) else np.zeros(x.shape[1])) + 1e-6
         z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
         self.w = np.zeros(z.shape[1])
@@ -296,7 +299,7 @@ class Regression:
         return self
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        z = self.w[0] + ((x - self.mean) / self.scale) @ self.w[1:]
+        z = self.w[0] + ((np.clip(x, self.least, self.most) - self.mean) / self.scale) @ self.w[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
