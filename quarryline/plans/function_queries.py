@@ -56,7 +56,7 @@ VIEWS |= {
     "resources": "SELECT l_orderkey AS request_id, concat('r', CAST(l_partkey % 8 AS VARCHAR(20))) AS resource, CAST(l_linenumber AS DOUBLE) AS quantity FROM lineitem",
     "resource_prices": "SELECT DISTINCT concat('r', CAST(p_size % 7 AS VARCHAR(20))) AS resource, CAST(p_size % 7 AS DOUBLE) * 2.5 AS price FROM part",
     "deployments": "SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(1 AS DOUBLE) + CAST(o_custkey % 3 AS DOUBLE) / 2 ELSE NULL END AS multiplier, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey % 4 AS INT) ELSE NULL END AS environments FROM orders",
-    "priced_options": "SELECT s_suppkey AS option_id, round(s_acctbal, 2) AS one_time, CAST(s_suppkey % 4 AS INT) AS users, s_suppkey % 30 + 1 AS y1, s_suppkey % 20 + 2 AS y2 FROM supplier",
+    "priced_options": "SELECT s_suppkey AS option_id, round(s_acctbal, 2) AS one_time, CAST(CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 5 END AS INT) AS users, s_suppkey % 30 + 1 AS y1, s_suppkey % 20 + 2 AS y2 FROM supplier",
     "evaluated": "SELECT o_custkey % 200 AS evaluation_id, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_orderkey % 60 END AS option_id FROM orders",
     "dimension_scores": "SELECT DISTINCT o_orderkey % 40 AS option_id, o_custkey % 9 AS dimension FROM orders",
     "option_costs": "SELECT DISTINCT o_orderkey % 50 AS option_id FROM orders",

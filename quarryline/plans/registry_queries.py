@@ -16,7 +16,7 @@ from .queries import _BM25, job
 
 VIEWS |= {
     # estimation
-    "factor_rows": "SELECT o_orderkey AS request_id, CAST(o_orderkey % 4 AS INT) AS tier, o_totalprice / 2000 - 20 AS detail, CAST(o_custkey % 130 - 10 AS DOUBLE) AS clarity, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) END AS history, CAST(o_custkey % 101 AS DOUBLE) AS coverage FROM orders",
+    "factor_rows": "SELECT o_orderkey AS request_id, CAST(o_orderkey % 4 AS INT) AS tier, o_totalprice / CAST(1999.7 AS DOUBLE) - 20 AS detail, CAST(o_custkey % 130 - 10 AS DOUBLE) AS clarity, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) END AS history, CAST(o_custkey % 101 AS DOUBLE) AS coverage FROM orders",
     "request_flags": "SELECT o_orderkey AS request_id, CAST(o_custkey % 14 AS INT) AS team_size, o_orderkey % 3 = 0 AS cross_domain, CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE NULL END AS familiarity, CASE WHEN o_custkey % 4 = 0 THEN 'large' ELSE 'small' END AS volume, o_orderkey % 4 = 1 AS multi_region, CAST(o_custkey % 13 AS INT) AS regions, o_orderkey % 7 = 0 AS security, o_custkey % 5 = 0 AS legacy FROM orders",
     "factor_table": "SELECT 'familiarity' AS factor, 'high' AS level, CAST(1.25 AS DOUBLE) AS multiplier UNION ALL SELECT 'volume', 'large', CAST(1.1 AS DOUBLE) UNION ALL SELECT 'legacy', 'heavy', CAST(1.4 AS DOUBLE)",
     "sized_requests": "SELECT o_orderkey AS request_id, o_totalprice / 3000 AS effort, CASE o_orderstatus WHEN 'F' THEN 'Enhancement' WHEN 'O' THEN 'New Module' ELSE 'Other' END AS scope, o_orderkey % 6 = 0 AS security FROM orders",
@@ -38,7 +38,7 @@ VIEWS |= {
     "external_registry": "SELECT DISTINCT CAST(1 AS INT) AS ordinal, 'first' AS system, 'host' AS matched_by, concat('*.', min(event_type), '.example.net') AS pattern FROM events UNION ALL SELECT DISTINCT 2, 'second', 'host', concat('api.', max(event_type), '.*') FROM events UNION ALL SELECT DISTINCT 3, 'third', 'host', '*.example.???' FROM events UNION ALL SELECT DISTINCT 4, 'fourth', 'package', concat('com.', max(event_type), '*') FROM events",
     "settings": "SELECT concat('App-', event_type, ':Url') AS key, CASE WHEN user_id % 2 = 0 THEN 'default' ELSE 'uat' END AS env, concat('sub', CAST(user_id % 3 AS VARCHAR(20))) AS subproject, CASE WHEN event_type = 'click' THEN concat('https://c', CAST(min(user_id) AS VARCHAR(20))) ELSE concat('x/$', '{app_click.url}/$', '{none:y}') END AS value, 'property' AS source, 'f' AS file, CAST(min(user_id) AS INT) AS line FROM events GROUP BY concat('App-', event_type, ':Url'), CASE WHEN user_id % 2 = 0 THEN 'default' ELSE 'uat' END, concat('sub', CAST(user_id % 3 AS VARCHAR(20))), event_type",
     # linking
-    "terms": "SELECT DISTINCT term, sid, confidence, canonical FROM (SELECT translate(lower(concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2))), '.,;:!?', '') AS term, concat('s', CAST(item_id % 9 AS VARCHAR(20))) AS sid, CASE WHEN item_id % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, item_id % 5 = 0 AS canonical FROM benchmark UNION ALL SELECT translate(lower(split_part(text, ' ', 3)), '.,;:!?', ''), concat('s', CAST(item_id % 9 AS VARCHAR(20))), 'medium', item_id % 13 = 0 FROM benchmark) t WHERE term NOT LIKE ' %' AND term NOT LIKE '% ' AND term != ''",
+    "terms": "SELECT DISTINCT term, sid, confidence, canonical FROM (SELECT translate(lower(concat(split_part(replace(text, chr(10), ' '), ' ', 1), ' ', split_part(replace(text, chr(10), ' '), ' ', 2))), '.,;:!?', '') AS term, concat('s', CAST(item_id % 9 AS VARCHAR(20))) AS sid, CASE WHEN item_id % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, item_id % 5 = 0 AS canonical FROM benchmark UNION ALL SELECT translate(lower(split_part(replace(text, chr(10), ' '), ' ', 3)), '.,;:!?', ''), concat('s', CAST(item_id % 9 AS VARCHAR(20))), 'medium', item_id % 13 = 0 FROM benchmark) t WHERE term NOT LIKE ' %' AND term NOT LIKE '% ' AND term != ''",
     "named_texts": "SELECT doc_id AS id, text FROM documents",
     "described": "SELECT concat('c', CAST(p_partkey AS VARCHAR(20))) AS chunk_id, concat('s', CAST(p_size % 4 AS VARCHAR(20))) AS sid, concat('# Calls', chr(10), CASE WHEN p_size % 2 = 0 THEN '## ' ELSE '| ' END, 'GET /Items/{id}', chr(10), '| `POST` | /orders |', chr(10), 'on `dev.orders-', CAST(p_size % 3 AS VARCHAR(20)), '` and `none`') AS text FROM part",
     "described_endpoints": "SELECT DISTINCT concat('e', CAST(p_size % 4 AS VARCHAR(20)), '-get') AS entity, concat('s', CAST(p_size % 4 AS VARCHAR(20))) AS sid, 'get' AS method, '/items/:key' AS path FROM part UNION SELECT DISTINCT concat('e', CAST(p_size % 4 AS VARCHAR(20)), '-post'), concat('s', CAST(p_size % 4 AS VARCHAR(20))), 'POST', '/orders' FROM part",
