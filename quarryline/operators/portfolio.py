@@ -182,3 +182,18 @@ def dealer_facts(branches: DataFrame, invoices: DataFrame) -> DataFrame:
     keyed = invoices.select(F.split("dealer_branch", "_")[0].alias("dealer"), F.split("dealer_branch", "_")[1].alias("branch"), "invoices")
     rows = branches.join(keyed, ["dealer", "branch"], "left").withColumn("invoices", F.coalesce("invoices", F.lit(0).cast("long")))
     return rows.rollup("region", "state").agg(F.sum("invoices").alias("invoices"), F.count("*").alias("branches"))
+
+
+def portfolio_report(mps: DataFrame, cps: DataFrame, projects: DataFrame, milestones: DataFrame, dependencies: DataFrame, budgets: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of a portfolio report: overview (the dashboard's counts), hierarchy (programmes
+    and their projects), projects (with their path), execution (milestones that ended late)
+    and budget (a ledger, see ``budget_ledger``)."""
+    counts = hierarchy_counts(projects, cps, mps).join(mps.select("id", "name", "rag_status"), "id")
+    late = F.datediff("actual_end", "planned_end")
+    return {
+        "overview": dashboard(projects, dependencies, budgets),
+        "hierarchy": counts.select("id", "name", "rag_status", "cp_count", "project_count"),
+        "projects": project_paths(projects, cps, mps).join(projects.select("id", "rag_status", "vendor", "planned_end"), "id"),
+        "execution": milestones.withColumn("days_late", late).where("days_late > 0").select("id", "project_id", "planned_end", "actual_end", "days_late", "rag_status"),
+        "budget": budgets,
+    }

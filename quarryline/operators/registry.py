@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_key, norm_path, split_identifier
+from ..functions.text import canonical_key, is_secret, norm_path, split_identifier
 
 #: settings of a deployment that name a host (fixed values)
 APP_NAMES = ("webappname", "appname", "functionappname")
@@ -190,3 +190,17 @@ def resolve_config(asked: DataFrame, definitions: DataFrame) -> DataFrame:
         rows = rows.withColumn("_t", text).withColumn("_f", F.coalesce("_value", default))
         rows = rows.select("key", "env", "subproject", F.when(F.col("_n").isNull(), F.col("value")).otherwise(F.when(F.col("_f").isNotNull(), filled)).alias("value"))
     return rows.select("key", "env", "subproject", F.when(~F.col("value").rlike(hole), F.col("value")).alias("value"))
+
+
+def service_config_keys(settings: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, sid, key, environments, secret): the settings of a service that is asked for by
+    id, name or alias (names: name, sid), never their values.  settings: sid, key, env,
+    value."""
+    keys = settings.groupBy("sid", "key").agg(F.sort_array(F.collect_set("env")).alias("environments"), F.bool_or(is_secret(F.col("key"), F.col("value"))).alias("secret"))
+    return names.select("name", "sid").distinct().join(keys, "sid").select("name", "sid", "key", "environments", "secret")
+
+
+def scan_secrets(lines: DataFrame) -> DataFrame:
+    """(file, line, key): settings (file, line, key, value) that look like secrets, without
+    their values."""
+    return lines.where(is_secret(F.col("key"), F.col("value"))).select("file", "line", "key")
