@@ -62,11 +62,12 @@ def unit(vector):
 QUESTIONS, VECTORS = 4096, 8192
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, keep: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score): cosine of queries (query_id, vector) with vectors
-    (id, vector), ties by id.  Both are dealt into parts of a few thousand by hash, every
+    (id, vector), of those in ``keep`` (id) if given, ties by id.  Both are dealt into parts of a few thousand by hash, every
     block of questions meets every part of the vectors in a group of its own, and only the
     k best of each meeting go on."""
+    vectors = vectors if keep is None else vectors.join(keep.select("id").distinct(), "id", "left_semi")
     blocks, parts = max(1, -(-queries.count() // QUESTIONS)), max(1, -(-vectors.count() // VECTORS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select("query_id", unit(F.col("vector")).alias("v"), F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block"), every(parts).alias("part"))
@@ -93,12 +94,13 @@ def rrf(ranked: DataFrame, k: int = 60, limit: int = 30) -> DataFrame:
     return _top(first.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (k + F.col("r"))), 9).alias("score")), limit)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = 30, id_col: str = "chunk_id", text_col: str = "display_text", question_vectors: DataFrame | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = 30, id_col: str = "chunk_id", text_col: str = "display_text", question_vectors: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
     """BM25 and, where there are vectors, cosine rankings fused by reciprocal ranks.  The
-    questions' vectors are those of ``queries``, or of a table (query_id, vector)."""
-    lists = bm25_topk(queries, chunks, k, id_col, text_col).select("query_id", F.lit("sparse").alias("list"), "id", "rank")
+    questions' vectors are those of ``queries``, or of a table (query_id, vector); ``keep``
+    (id) restricts both lists, after the corpus statistics."""
+    lists = bm25_topk(queries, chunks, k, id_col, text_col, keep).select("query_id", F.lit("sparse").alias("list"), "id", "rank")
     if vectors is not None:
-        lists = lists.unionByName(dense_topk(queries if question_vectors is None else question_vectors, vectors, k).select("query_id", F.lit("dense").alias("list"), "id", "rank"))
+        lists = lists.unionByName(dense_topk(queries if question_vectors is None else question_vectors, vectors, k, keep).select("query_id", F.lit("dense").alias("list"), "id", "rank"))
     return rrf(lists, limit=k)
 
 

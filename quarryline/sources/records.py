@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from ..operators.graph import apply_upsert
+
 CORRUPT = "_corrupt_record"
 
 
@@ -87,3 +89,30 @@ def load_bulk(rows: DataFrame, parents: DataFrame, existing: DataFrame) -> tuple
     reason = F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "missing name").when(F.col("_p").isNull(), "unknown parent")
     told = met.withColumn("reason", reason).drop("_p")
     return told.where("reason is null").drop("reason"), told.where("reason is not null").select("row", "code", "reason")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a versioned table, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in files.listStatus(folder)] if files.exists(folder) else []
+    done = [x for x in found if x.getName().startswith("version=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(x.getName().partition("=")[2]) for x in done)
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last finished version of a table that ``upsert_entities`` writes; None before the first."""
+    have = versions(spark, path)
+    return spark.read.parquet(f"{path}/version={have[-1]}") if have else None
+
+
+def upsert_entities(batch: DataFrame, path: str, version: int) -> None:
+    """Merge a batch into a table by ``apply_upsert`` and write it as a version of its own, so
+    that readers see a whole one.  A version that is there already isn't written again: a
+    batch that is tried twice counts once.  Fit for ``foreachBatch`` with its batch id."""
+    spark = batch.sparkSession
+    have = versions(spark, path)
+    if version in have:
+        return
+    old = spark.read.parquet(f"{path}/version={have[-1]}") if have else batch.where("false")
+    apply_upsert(old, batch).write.mode("overwrite").parquet(f"{path}/version={version}")

@@ -65,6 +65,35 @@ def rate_limit(requests: DataFrame, most: int = 10, seconds: int = 60) -> DataFr
     return rows.transformWithStateInPandas(statefulProcessor=_Limit(most, seconds), outputStructType="user_id long, event_id long, ts timestamp, accepted boolean", outputMode="Append", timeMode="None")
 
 
+class _LastStatus(StatefulProcessor):
+    """The last status of each entity."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.last.exists()
+        status = self.last.get()[0] if known else None
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+        out = []
+        for ts, new in zip(batch["ts"], batch["status"], strict=True):
+            if known and new != status:
+                out.append((key[0], ts, status, new))
+            known, status = True, new
+        self.last.update((status,))
+        yield pd.DataFrame(out, columns=["entity", "ts", "previous", "new"])
+
+    def close(self) -> None:
+        pass
+
+
+def status_changes(stream: DataFrame) -> DataFrame:
+    """(entity, ts, previous, new) whenever a status (entity, ts, seq, status) differs from
+    the entity's last one; the first one is no change.  Needs the RocksDB state store."""
+    rows = stream.select("entity", "ts", "seq", "status").groupBy("entity")
+    return rows.transformWithStateInPandas(statefulProcessor=_LastStatus(), outputStructType="entity string, ts timestamp, previous string, new string", outputMode="Append", timeMode="None")
+
+
 def rate_limit_batch(requests: DataFrame, most: int = 10, seconds: int = 60) -> DataFrame:
     """The same over a finished table.  Acceptance depends on the requests accepted before,
     so a user's requests stream through one task in order of time; only the times accepted
