@@ -2,10 +2,10 @@
 
 Every component is a list of the candidates, sorted; for a query, a component's list
 is read from the end that its sign favours.  Lists are read side by side, each entry
-once and in order, to depths that grow by half; an entry that has been read adds its product
-to its candidate.  A candidate's score lies between two bounds: a value not yet read is
-no better than the last one read from its list and no worse than the list's end.  A
-candidate whose upper bound is under the k-th lower bound, read or not, can't qualify.
+once and in order, an eighth, a half, two thirds, then all of them; an entry that has been
+read adds its product to its candidate.  A candidate's score lies between two bounds: a
+value not yet read is no better than the last one read from its list and no worse than
+the list's end.  A candidate whose upper bound is under the k-th lower bound, read or not, can't qualify.
 Reading stops when few are left, and their scores are resolved.
 
 Candidates and queries are packed into blocks, and every block of queries meets every
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 K = 5
 SCALE = 256
 CANDIDATES = 4096
-QUERIES = 2048
-#: the first depth that lists are read to, as a part of their length
-FIRST_DEPTH = 64
+QUERIES = 1024
+#: blocks of candidates that a block of queries meets in one task, and blocks of queries that it remembers
+TOGETHER, REMEMBERED = 4, 8
+#: depths that lists are read to before candidates are looked at, as parts of their length
+DEPTHS = (1 / 8, 1 / 2, 2 / 3, 1)
 _PACKED = "block long, ids binary, width int, kind string, cells binary"
 
 
@@ -94,37 +96,42 @@ class Lists:
         used = np.flatnonzero(q)
         weight, rows = q[used], used + width * (q[used] < 0)
         worst = weight * self.values[rows, -1]
-        score, floor = np.zeros(n), np.full(n, worst.sum())
-        depth, maybe = 0, other
-        while depth < n:
-            start, depth = depth, min(n, max(depth * 3 // 2, n // FIRST_DEPTH, k))
+        # the k-th best score of earlier blocks is a lower bound already; without one, candidates' own are needed
+        own_floor = np.full(n, worst.sum()) if np.isinf(least) else None
+        score, maybe, depth = np.zeros(n), other, 0
+        for part in DEPTHS:
+            start, depth = depth, max(min(n, k), int(n * part))
             ids, products = self.order[rows, start:depth].ravel(), self.values[rows, start:depth] * weight[:, None]
             self.read += len(ids)
             score += np.bincount(ids, products.ravel(), n)
-            floor += np.bincount(ids, (products - worst[:, None]).ravel(), n)
-            # what is unread of a list is no better than what was read last
-            last = weight * self.values[rows, depth - 1]
-            passed = np.bincount(self.order[rows, :depth].ravel(), np.repeat(last, depth), n)
-            roof = score + last.sum() - passed
-            lows = floor[other]
+            roof, floor = score, score
+            if depth < n:
+                # what is unread of a list is no better than what was read last, and no worse than its end
+                last = weight * self.values[rows, depth - 1]
+                roof = score + last.sum() - np.bincount(self.order[rows, :depth].ravel(), np.repeat(last, depth), n)
+                if own_floor is not None:
+                    own_floor -= np.bincount(ids, np.repeat(worst, depth - start), n)
+                    floor = score + own_floor
+            lows = floor[other] if own_floor is not None or depth == n else score[:0]
             reach = max(least, np.partition(lows, len(lows) - k)[len(lows) - k] if len(lows) >= k else -np.inf)
             # scores outside of long are held at its ends, so they tie there
             reach = -np.inf if reach <= -(2.0**63) else min(reach, 2.0**63 - 1)
             maybe = other & (roof >= reach - slack)
-            if maybe.sum() <= max(4 * k, n // FIRST_DEPTH):
+            if maybe.sum() <= max(4 * k, n // 64):
                 break
         return np.flatnonzero(maybe)
 
 
 def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, reached = b"", {}
+        met: dict[bytes, dict] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 ids, x = _unpack(row["ids"], row["width"], row["kind"], row["cells"])
                 qids, q = _unpack(row["qids"], row["qwidth"], row["qkind"], row["qcells"])
-                if row["qids"] != asked:
-                    asked, reached = row["qids"], {}
+                if row["qids"] not in met and len(met) >= REMEMBERED:
+                    met.pop(next(iter(met)))
+                reached = met.setdefault(row["qids"], {})
                 width = max(x.shape[1], q.shape[1])
                 x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
                 lists, out = Lists(ids, x), []
@@ -162,7 +169,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
     packed = rows.select(F.lit(0).cast("long").alias("block"), "vec_id", "v").mapInArrow(_pack(CANDIDATES), _PACKED)
     # a block of candidates is copied once for some thousand queries, a block of queries
     # once for some thousand candidates
-    groups = max(1, rows.count() // CANDIDATES)
+    groups = max(1, rows.count() // (TOGETHER * CANDIDATES))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     dealt = packed.withColumn("block", every(blocks)).withColumn("part", F.expr(f"pmod(xxhash64(ids), {groups})"))
     met = dealt.join(queries.withColumn("part", every(groups)), ["block", "part"])
