@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, hmm_lm, html_extract, mixing, ngram_join, periodic, phrases, quality, sharding, topk, toxicity
+from . import chat, decontaminate, hmm_lm, html_extract, mixing, ngram_join, periodic, phrases, quality, setsketch, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.dedup_digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -67,5 +71,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_toxicity, op4_topk, op5_chat, op6_ngram_join, op7_decontamination, op8_html, op9_quality, op10_hmm_lm, op12_phrases, op13_periodic, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_toxicity, op4_topk, op5_chat, op6_ngram_join, op7_decontamination, op8_html, op9_quality, op10_hmm_lm, op11_setsketch, op12_phrases, op13_periodic, pipeline)}
 SQL: dict[str, str] = {"op4_topk": topk.SQL, "op5_chat": chat.SQL, "op12_phrases": phrases.SQL}
