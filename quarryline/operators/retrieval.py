@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -134,31 +136,88 @@ def exact_duplicates(chunks: DataFrame) -> DataFrame:
     return chunks.join(least, "text_hash").select("chunk_id", "canonical_id", (F.col("chunk_id") != F.col("canonical_id")).alias("is_duplicate"))
 
 
-def near_duplicates(chunks: DataFrame, threshold: float = 0.95) -> DataFrame:
+#: rows of one group, and rows of a repo up to which every pair is compared
+GROUP_ROWS, EXACT_ROWS = 1024, 16 * 1024
+#: tables of random hyperplanes for larger repos, neighbouring buckets probed in each, and bits at most
+TABLES, PROBES, MOST_BITS = 4, 3, 24
+
+
+def _closest(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Each row's closest other row of the group above the threshold.  Rows that are all of one
+    block, or both visitors of a bucket, meet elsewhere."""
+    group = group.sort_values("id", kind="stable").reset_index(drop=True)
+    v, ids, own, home = np.stack(group["v"].to_numpy()), group["id"].to_numpy(), group["own"].to_numpy(), group["home"].to_numpy()
+    scores = v @ v.T
+    scores[ids[:, None] == ids[None, :]] = -2
+    if len(set(own)) > 1:
+        scores[own[:, None] == own[None, :]] = -2
+    scores[~(home[:, None] | home[None, :])] = -2
+    best = scores.argmax(axis=1)
+    value = np.round(scores[np.arange(len(ids)), best], 6)
+    keep = value > threshold
+    return pd.DataFrame({"id": ids[keep], "other": ids[best[keep]], "score": value[keep]})
+
+
+def _in_blocks(rows: DataFrame, keys: list[str], threshold: float, kind: str) -> DataFrame:
+    """(id, other, score) from rows (keys, id, v, home): the rows of equal keys are dealt into
+    blocks by id, and every pair of blocks is one bounded group."""
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("blocks"))
+    dealt = rows.join(counts, keys).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*keys, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "v", "home")
+    return dealt.groupBy(*keys, "x", "y").applyInPandas(lambda g: _closest(g, threshold), f"id {kind}, other {kind}, score double")
+
+
+def _buckets(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (repo_name, id, v, bits) in the bucket of their signs against the first ``bits``
+    hyperplanes of each table (home), and as visitors in the buckets that differ in one of the
+    ``PROBES`` signs that were nearest to change."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            v, bits = np.stack(batch["v"].to_numpy()), batch["bits"].to_numpy()
+            out = []
+            for t in range(TABLES):
+                planes = np.random.default_rng(1 + t).standard_normal((v.shape[1], MOST_BITS))
+                margin = v @ planes
+                used = np.arange(MOST_BITS) < bits[:, None]
+                weight = np.where(used, 1 << np.arange(MOST_BITS), 0)
+                code = ((margin > 0) * weight).sum(axis=1)
+                near = np.argsort(np.where(used, np.abs(margin), np.inf), axis=1, kind="stable")[:, :PROBES]
+                out.append(batch.assign(bucket=code * TABLES + t, home=True))
+                for p in range(PROBES):
+                    some = bits > p
+                    moved = code ^ np.take_along_axis(weight, near[:, p : p + 1], axis=1)[:, 0]
+                    out.append(batch.assign(bucket=moved * TABLES + t, home=False)[some])
+            yield pd.concat(out)[["repo_name", "bucket", "id", "v", "home"]]
+
+    repo = dict(rows.dtypes)["repo_name"]
+    return rows.mapInPandas(run, f"repo_name {repo}, bucket bigint, id {kind}, v array<double>, home boolean")
+
+
+def near_duplicates(chunks: DataFrame, threshold: float = 0.95, exact: bool = False, exact_rows: int = EXACT_ROWS, bucket_rows: int = GROUP_ROWS // 2) -> DataFrame:
     """(id, other, score): within a repo, each vector's closest other above the threshold.
 
-    A repo is dealt into blocks of rows by id; every pair of blocks of one repo is met in
-    one group, so groups are bounded and no pair is missed."""
-    size = 1024
-    counts = chunks.groupBy("repo_name").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    rows = chunks.join(counts, "repo_name").select("repo_name", F.col("chunk_id").alias("id"), unit(F.col("vector")).alias("v"), "blocks")
-    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("repo_name", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "v")
+    Repos of at most ``exact_rows`` (all of them, if ``exact``) are dealt into blocks of rows by
+    id; every pair of blocks is met in one bounded group, so no pair is missed.  Of a larger
+    repo, equal vectors are each other's closest; one of each goes into buckets of about
+    ``bucket_rows`` by random hyperplanes, with probes of neighbouring buckets: a row is copied
+    so often whatever its repo's size.  A pair just above a threshold of 0.95 is met with a
+    probability of over 0.95 up to some ten million rows of a repo, closer pairs more surely."""
     kind = dict(chunks.dtypes)["chunk_id"]
-
-    def closest(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", kind="stable").reset_index(drop=True)
-        v, ids, own = np.stack(group["v"].to_numpy()), group["id"].to_numpy(), group["own"].to_numpy()
-        scores = v @ v.T
-        np.fill_diagonal(scores, -2)
-        if len(set(own)) > 1:
-            scores[own[:, None] == own[None, :]] = -2
-        best = scores.argmax(axis=1)
-        value = np.round(scores[np.arange(len(ids)), best], 6)
-        keep = value > threshold
-        return pd.DataFrame({"id": ids[keep], "other": ids[best[keep]], "score": value[keep]})
-
-    found = rows.groupBy("repo_name", "x", "y").applyInPandas(closest, f"id {kind}, other {kind}, score double")
+    counts = chunks.groupBy("repo_name").agg(F.count("*").alias("_n"))
+    rows = chunks.select("repo_name", F.col("chunk_id").alias("id"), unit(F.col("vector")).alias("v")).join(counts, "repo_name")
+    few = rows if exact else rows.where(F.col("_n") <= exact_rows)
+    found = _in_blocks(few.select("repo_name", "id", "v", F.lit(True).alias("home")), ["repo_name"], threshold, kind)
+    if not exact:
+        many = rows.where(F.col("_n") > exact_rows).withColumn("_same", F.xxhash64("v"))
+        group = Window.partitionBy("repo_name", "_same", "v")
+        told = many.withColumn("_first", F.min("id").over(group)).withColumn("_second", F.nth_value("id", 2).over(group.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        equal = told.where("_second is not null").select("id", F.when(F.col("id") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("other"), F.lit(1.0).alias("score")).where(F.col("score") > threshold)
+        bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(1), F.ceil(F.log2(F.col("_n") / bucket_rows)))).cast("int").alias("bits")
+        met = _in_blocks(_buckets(told.where("id = _first").select("repo_name", "id", "v", bits), kind), ["repo_name", "bucket"], threshold, kind)
+        found = found.unionByName(equal).unionByName(met)
     order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 

@@ -253,6 +253,18 @@ def near_duplicates(spark, folder):
     return rt.near_duplicates(rows, 0.3)
 
 
+@job(""" WITH v AS (SELECT vec_id AS id, vec_id % 2 AS repo, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT -1 - vec_id, vec_id % 2, list_transform(embedding::DOUBLE[], lambda x, i: x * CASE WHEN (i + vec_id) % 16 = 0 THEN 0.8::DOUBLE ELSE 1 END) FROM embeddings),
+ s AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.repo = b.repo AND a.id != b.id)
+ SELECT id, other, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS n FROM s WHERE score > 0.95) WHERE n = 1""")
+def near_duplicates_hashed(spark, folder):
+    """The same by buckets, as for large repos: each vector and an edited copy of it."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 2).alias("repo_name"), F.col("embedding").cast("array<double>").alias("vector"))
+    edited = F.transform("vector", lambda x, i: x * F.when((i + 1 + F.col("chunk_id")) % 16 == 0, 0.8).otherwise(1.0))
+    copies = rows.withColumn("vector", edited).withColumn("chunk_id", -1 - F.col("chunk_id"))
+    both = rows.unionByName(copies)
+    return rt.near_duplicates(both, exact_rows=0, bucket_rows=64)
+
+
 # graph
 
 @job("SELECT b.source_id, CASE WHEN t.source_id IS NULL THEN 'CREATED' WHEN t.text_hash = b.text_hash THEN 'SKIPPED' ELSE 'UPDATED' END AS decision FROM entity_batch b LEFT JOIN entity_target t ON t.source_id = b.source_id", ("entity_target", "entity_batch"))
