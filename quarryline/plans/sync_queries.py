@@ -1,4 +1,4 @@
-"""Registered queries of the stored graph: a feed merged in two batches, and full re-reads."""
+"""Registered queries of feeds: a stored graph merged in two batches, full re-reads, kept answers."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import new_folder
+from ..streaming import events as ev
 from ..streaming import sync
 from .bindings import VIEWS
 from .queries import job
@@ -94,3 +95,17 @@ def full_sync(feed, repos, wiki):
     for token in ("wiki-1", "wiki-2", "wiki-2"):
         sync.full_sync(graph, pages, None, ["Page"], token, F.lit("2024-02-01"))
     return graph.log().where("token like 'wiki%'").select("token", "created", "updated", "skipped", "deleted", (F.col("tables") == F.col("n")).alias("new_tables"))
+
+
+VIEWS["asked"] = """SELECT event_id AS query_id, ts, concat(event_type, ' ', CAST(CAST(floor(value / 20) AS INT) AS VARCHAR(20))) AS query,
+ CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '{"lang": "en", "top": {"k": 3, "by": "x"}}' WHEN 1 THEN '{ "top":{"by":"x","k":3}, "lang":"en" }' WHEN 2 THEN '{}' WHEN 3 THEN NULL ELSE concat('{"lang": "', event_type, '"}') END AS filters FROM events"""
+
+
+@job(
+    f"""WITH RECURSIVE asked AS ({VIEWS["asked"]}), keyed AS (SELECT query_id, ts, concat(query, '|', coalesce(filters->>'$.lang', ''), '|', coalesce(filters->>'$.top.k', '')) AS k FROM asked),
+ misses AS (SELECT k, min(ts) AS at_time FROM keyed GROUP BY k UNION ALL SELECT k, at_time FROM (SELECT m.k, min(q.ts) AS at_time FROM misses m JOIN keyed q ON q.k = m.k AND q.ts >= m.at_time + INTERVAL 12 HOUR GROUP BY m.k))
+ SELECT query_id, NOT (m.k IS NOT NULL AND row_number() OVER (PARTITION BY q.k, ts ORDER BY query_id) = 1) AS hit FROM keyed q LEFT JOIN misses m ON m.k = q.k AND m.at_time = q.ts""",
+    ("asked",),
+)
+def cache_hits(asked):
+    return ev.cache_hits(asked.withColumn("query_key", ev.query_key(F.col("query"), F.col("filters"))), 12 * 3600).select("query_id", "hit")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -130,6 +132,92 @@ def rate_limit_batch(requests: DataFrame, most: int = 10, seconds: int = 60) ->
     return ordered.select("user_id", "s").mapInArrow(fold, f"user_id {kind.simpleString()}, accepted long, refused long")
 
 
+def query_key(query: Column, filters: Column) -> Column:
+    """A hash of a question and its filters (a JSON object as text): the order of keys and white
+    space don't matter at any depth; null and what isn't JSON are no filters."""
+    canonical = F.coalesce(F.to_json(F.try_parse_json(filters)), F.lit("{}"))
+    return F.sha2(F.concat(F.coalesce(query, F.lit("")), F.lit("\0"), canonical), 256)
+
+
+class _Kept(StatefulProcessor):
+    """Since when an answer is kept; a timer drops it after its time to live."""
+
+    def __init__(self, seconds: float):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.since = handle, handle.getValueState("since", "t double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        since = self.since.get()[0] if self.since.exists() else None
+        batch = pd.concat([r[["ts", "query_id"]] for r in rows]).sort_values(["ts", "query_id"], kind="stable")
+        # Python's timestamp() of a time without a zone would be the machine's own
+        at = batch["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6
+        hit, last = _hits(at, since, self.seconds)
+        if last is not None and last != since:
+            self.since.update((last,))
+            self.handle.registerTimer(int((last + self.seconds) * 1000))
+        yield pd.DataFrame({"query_key": key[0], "query_id": batch["query_id"].to_numpy(), "ts": batch["ts"].to_numpy(), "hit": hit})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.since.exists() and expiredTimerInfo.getExpiryTimeInMs() >= int((self.since.get()[0] + self.seconds) * 1000):
+            self.since.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _hits(at: np.ndarray, since: float | None, seconds: float) -> tuple[np.ndarray, float | None]:
+    """Which of one key's times, in order, find an answer that is younger than its time to live
+    and since when the last one is kept: each miss stores one anew, a hit doesn't renew it."""
+    hit = np.ones(len(at), bool)
+    i = 0 if since is None else int(np.searchsorted(at, since + seconds, "left"))
+    while i < len(at):
+        hit[i], since = False, float(at[i])
+        i = max(i + 1, int(np.searchsorted(at, since + seconds, "left")))
+    return hit, since
+
+
+def cache_hits(queries: DataFrame, seconds: float = 3600) -> DataFrame:
+    """(query_key, query_id, ts, hit): whether the same question with the same filters was
+    answered less than ``seconds`` before (``queries``: query_id, query_key, ts); an answer's
+    time runs from the miss that stored it.  Of equal times the smallest query_id comes
+    first; a null time never hits and stores nothing.
+
+    A key's questions stream through one task in order of time, and only since when its answer
+    is kept is held: each depends on the miss before it."""
+    key, number = (queries.schema[c].dataType.simpleString() for c in ("query_key", "query_id"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, now, since = False, None, None
+        for batch in batches:
+            keys = batch.column(0)
+            ends = pc.run_end_encode(keys)
+            hit, begin = np.zeros(batch.num_rows, bool), 0
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            for value, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True):
+                if not started or value != now:
+                    started, now, since = True, value, None
+                part = at[begin:end]
+                known = ~np.isnan(part)
+                hit[begin:end][known], since = _hits(part[known], since, seconds)
+                begin = end
+            yield pa.RecordBatch.from_arrays([keys, batch.column(1), batch.column(3), pa.array(hit)], names=["query_key", "query_id", "ts", "hit"])
+
+    times = queries.select("query_key", "query_id", (F.unix_micros("ts") / 1e6).alias("s"), "ts")
+    ordered = times.repartition("query_key").sortWithinPartitions("query_key", "s", "query_id")
+    return ordered.mapInArrow(fold, f"query_key {key}, query_id {number}, ts timestamp, hit boolean").select("query_key", "query_id", "ts", "hit")
+
+
+def cache_hits_stream(queries: DataFrame, seconds: float = 3600, delay: str = "1 hour") -> DataFrame:
+    """The same over a stream; what came later than ``delay`` is dropped, and an answer's state
+    goes with a timer once the watermark has passed its time to live.  Needs the RocksDB state
+    store."""
+    rows = queries.select("query_key", "query_id", "ts").withWatermark("ts", delay).groupBy("query_key")
+    return rows.transformWithStateInPandas(statefulProcessor=_Kept(seconds), outputStructType="query_key string, query_id long, ts timestamp, hit boolean", outputMode="Append", timeMode="EventTime")
+
+
 def dedup_within(queries: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The first of equal queries within a time to live (streams)."""
     return queries.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["query_hash"])
