@@ -8,8 +8,8 @@
    shuffle of sums from each task, and those that are frequent set bits in a filter of fixed
    size.  Collisions and a full filter only let more candidates in.
 3. *Counts.*  Candidates are dealt into blocks of bounded size.  A block is a double-array
-   trie (next state: base[state] + code, valid if its check is the state) that is sent to
-   all tasks; numpy advances the states of all positions together, a level at a time, and
+   trie (next state: base[state] + sign, valid if its check is the state; a sign is a byte
+   of a word's code) that is sent to all tasks; numpy advances the states of all positions together, a level at a time, and
    counts accepting states with ``bincount``.  Tasks' counts are summed in slices.
 
 Then every candidate is cut in two in each place, scored against its parts' counts in whole
@@ -38,17 +38,19 @@ ABSORB_PERCENT = 100
 #: phrases reported for each language
 TOP = 2000
 #: candidates of one trie, and frequent words of one table of codes, at most
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 CODES = 1 << 20
 #: positions of one row of codes, and cells after them: no phrase may have more words
 CELLS = 1 << 20
 AHEAD = 16
 #: counts of one row between tasks
 SLICE = 4096
-#: rows that a task holds before it sums them
-HELD = 1 << 20
+#: rows of words that a task holds before it sums them, hashes likewise, and rows of one batch
+HELD = 1 << 18
+HASHES = 1 << 20
+BATCH_ROWS = 1 << 16
 #: slots of a trie for each of its nodes: placing is quick in a table that is mostly free
-ROOM = 8
+ROOM = 6
 
 U = np.uint64
 _BREAK = np.zeros(256, bool)
@@ -112,10 +114,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = summed()
             held, size = table.to_batches(), len(table)
             if size > HELD // 2:
-                yield from held
+                yield from table.to_batches(BATCH_ROWS)
                 held, size = [], 0
     if held:
-        yield from summed().to_batches()
+        yield from summed().to_batches(BATCH_ROWS)
 
 
 # --- codes -----------------------------------------------------------------------------
@@ -226,78 +228,73 @@ def _with_codes(codes):
 
 
 class Trie:
-    """A double array over the paths (n, k) of codes, which are distinct; 0 is the root."""
+    """A double array over the paths (n, k) of codes, which are distinct; state 0 is the root.
+    A code is followed a byte at a time, the highest first, so no state has more than 256
+    next ones; a path's last state holds minus its place in ``paths`` less one as its base."""
 
     def __init__(self, paths: np.ndarray):
-        n, self.depth = paths.shape
+        self.depth = paths.shape[1]
         self.paths = paths = paths[np.lexsort(paths.T[::-1])]
-        new = np.zeros((n, self.depth), bool)  # whether a row is the first with its first l + 1 codes
-        for k in range(self.depth):
-            new[:, k] = np.concatenate([[True], paths[1:, k] != paths[:-1, k]])
-            if k:
-                new[:, k] |= new[:, k - 1]
+        self.bytes = max(1, -(-int(paths.max()).bit_length() // 8))
+        signs = np.stack([paths[:, k] >> (8 * j) & 255 for k in range(self.depth) for j in reversed(range(self.bytes))], axis=1)
+        new = np.ones(signs.shape, bool)  # whether a row is the first with its first l + 1 bytes
+        new[1:] = np.logical_or.accumulate(signs[1:] != signs[:-1], axis=1)
         numbered = np.cumsum(new, axis=0) - 1
-        nodes = [int(x) + 1 for x in numbered[-1]]
-        first = np.concatenate([[1], 1 + np.cumsum(nodes)])  # node 0 is the root
-        code = np.concatenate([paths[new[:, k], k] for k in range(self.depth)]).astype(np.int64)
-        parent = np.concatenate([np.zeros(nodes[0], np.int64)] + [first[k - 1] + numbered[new[:, k], k - 1] for k in range(1, self.depth)])
-        self._place(code, parent, int(first[-1]))
-        leaf = self.slot[first[self.depth - 1] : first[self.depth]]
-        self.leaf = np.full(len(self.base), -1, np.int32)
-        self.leaf[leaf] = np.arange(n, dtype=np.int32)
-        del self.slot
-
-    def _place(self, code: np.ndarray, parent: np.ndarray, nodes: int) -> None:
-        """A base for every node with children so that all children have slots of their own:
-        those with most children first, all of a kind at random and those that collide again."""
+        first = np.concatenate([[1], 1 + np.cumsum(numbered[-1] + 1)])  # node 0 is the root
+        sign = np.concatenate([signs[new[:, k], k] for k in range(signs.shape[1])]).astype(np.int64)
+        parent = np.concatenate([np.zeros(numbered[-1][0] + 1, np.int64)] + [first[k - 1] + numbered[new[:, k], k - 1] for k in range(1, signs.shape[1])])
+        slot = self._place(sign, parent, int(first[-1]))
+        self.base[slot[first[-2] : first[-1]]] = -1 - np.arange(len(paths), dtype=np.int32)
+
+    def _place(self, sign: np.ndarray, parent: np.ndarray, nodes: int) -> np.ndarray:
+        """Slots of the nodes.  Every node with children gets a base so that all of them have
+        slots of their own: those with most children first, all of a kind at random together and
+        those that collide again; a table in which too many do is doubled."""
         rng = np.random.default_rng(nodes)
-        order = np.argsort(parent, kind="stable")  # children by parent: nodes are numbered by level and path
-        code, parent = code[order], parent[order]
-        owner, begin, count = np.unique(parent, return_index=True, return_counts=True)
-        self.top = int(code.max())
-        spread = ROOM * nodes
-        free = np.ones(spread + self.top + 1, bool)
+        owner, begin, count = np.unique(parent, return_index=True, return_counts=True)  # nodes are numbered by level and path
+        spread = ROOM * nodes + 512
+        free, claim = np.ones(spread + 256, bool), np.zeros(spread + 256, np.int64)
         free[0] = False
         base_of = np.zeros(nodes, np.int64)
-        high, kinds = int(count.max()), []
+        high = 256
         while high:
-            kinds.append(np.flatnonzero((count <= high) & (count > high // 4)))
-            high //= 4
-        claim = np.full(len(free), -1, np.int64)
-        for kind in kinds:
-            left = kind
+            left = np.flatnonzero((count <= high) & (count > high // 2))
+            tries = 0
             while len(left):
-                if count[left[0]] > 1024:  # one by one: many of these would collide with each other
-                    now, rest = left[:1], left[1:]
-                else:
-                    now, rest = left, left[:0]
-                base = rng.integers(0, spread, len(now))
-                size = count[now]
-                at = np.repeat(begin[now] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-                slot, by = np.repeat(base, size) + code[at], np.repeat(np.arange(len(now)), size)
+                tries += 1
+                if not tries % 500:
+                    free, claim, spread = np.concatenate([free, np.ones(spread, bool)]), np.zeros(len(free) + spread, np.int64), 2 * spread
+                size = count[left]
+                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+                at = np.repeat(begin[left] - starts, size) + np.arange(int(size.sum()))
+                base = rng.integers(1, spread, len(left))
+                slot, by = np.repeat(base, size) + sign[at], np.repeat(np.arange(len(left)), size)
                 claim[slot] = by
-                fits = np.logical_and.reduceat((claim[slot] == by) & free[slot], np.concatenate([[0], np.cumsum(size)[:-1]]))
-                base_of[owner[now[fits]]] = base[fits]
+                fits = np.logical_and.reduceat((claim[slot] == by) & free[slot], starts)
+                base_of[owner[left[fits]]] = base[fits]
                 free[slot[fits[by]]] = False
-                left = np.concatenate([now[~fits], rest])
-        self.slot = np.zeros(nodes, np.int64)
-        self.slot[order + 1] = base_of[parent] + code
+                left = left[~fits]
+            high //= 2
+        slot = np.concatenate([[0], base_of[parent] + sign])
         self.base, self.check = np.zeros(len(free), np.int32), np.full(len(free), -1, np.int32)
-        self.base[self.slot] = base_of
-        self.check[self.slot[order + 1]] = self.slot[parent]
+        self.base[slot] = base_of
+        self.check[slot[1:]] = slot[parent]
+        return slot
 
     def walk(self, cells: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions below ``starts`` that reach a leaf, and their leaves.  ``cells`` ends
-        in ``depth`` zeros."""
+        """Positions below ``starts`` where a path begins, and which.  ``cells`` ends in
+        ``depth`` zeros."""
         at = np.flatnonzero(cells[:starts])
         state = np.zeros(len(at), np.int32)
         for k in range(self.depth):
             code = cells[at + k]
-            code = np.where(code <= self.top, code, 0)  # the others are no child of any node
-            to = self.base[state] + code
-            ok = (code > 0) & (self.check[to] == state)
-            at, state = at[ok], to[ok]
-        return at, self.leaf[state]
+            some = (code > 0) & (code < 1 << 8 * self.bytes)
+            at, state, code = at[some], state[some], code[some]
+            for j in reversed(range(self.bytes)):
+                to = self.base[state] + (code >> 8 * j & 255)
+                ok = self.check[to] == state
+                at, state, code = at[ok], to[ok], code[ok]
+        return at, -1 - self.base[state]
 
 
 def _cells(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[np.ndarray, int]]:
@@ -338,12 +335,13 @@ def _hash_counts(trie, phrases, size: int, kind: str):
         def out() -> Iterator[pa.RecordBatch]:
             if held:
                 key, seen = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"rh": pa.array(key), "seen": pa.array(seen)})
+                for k in range(0, len(key), BATCH_ROWS):
+                    yield pa.RecordBatch.from_pydict({"rh": pa.array(key[k : k + BATCH_ROWS]), "seen": pa.array(seen[k : k + BATCH_ROWS])})
 
         for cells, starts in _cells(batches, kind):
             held.append(_longer(cells, starts, trie, phrases, size)[1])
             size_held += len(held[-1])
-            if size_held > 4 * HELD:
+            if size_held > HASHES:
                 yield from out()
                 held, size_held = [], 0
         yield from out()
@@ -362,7 +360,7 @@ def _sequences(trie, phrases, often, size: int, kind: str):
             key, place = np.unique(key[some], return_index=True)
             new = ~np.isin(key, known, assume_unique=True)
             at = at[some][place[new]]
-            known = np.union1d(known, key) if len(known) < HELD else key
+            known = np.union1d(known, key) if len(known) < HASHES else key
             path = pa.array(np.stack([cells[at + k] for k in range(size + 1)], axis=1).ravel())
             yield pa.RecordBatch.from_pydict({"path": pa.ListArray.from_arrays(pa.array(np.arange(0, len(path) + 1, size + 1), pa.int32()), path)})
 
