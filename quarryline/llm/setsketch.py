@@ -20,9 +20,9 @@ symmetric difference, then rule out most pairs just below the threshold.
 *Verify.*  The sets of candidates are made again from their texts and intersected.
 
 No list is expanded into all pairs: first each member tries the member of its lists that it
-meets most often; then, with components known, only members of different components are
-compared, in bounded blocks of a list whose sizes allow a link at all, for two rounds with
-each one's likeliest candidate alone.
+meets most often.  Then only members of different groups are compared, in bounded blocks of
+a list whose sizes allow a link at all: once with each one's likeliest candidate alone, and,
+with components known, with all candidates.
 """
 
 from __future__ import annotations
@@ -46,11 +46,14 @@ REGISTERS, BAND = 200, 5
 #: base of the scale and rate of the values: bytes hold sets of 1 to 10^8
 BASE, RATE, TOP = 1.1, 20.0, 255
 UNLIKELY = 18.0
+#: equal registers that two sets which link have at least (fewer once in more than 10^12 times)
+LEAST_SAME = 130
 #: similarities that are tried, from below any that could be taken for the threshold
 GRID = np.linspace(0.4, 1.0, 121)
 #: members of a list that are compared in one task
 BLOCK = 2048
-CLOSEST_ROUNDS = 2
+#: steps from a member to the first of its group that are followed: 2 to this power
+JUMPS = 3
 
 U = np.uint64
 _FACTOR = tb.mix(np.arange(1, REGISTERS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -100,7 +103,7 @@ def candidates(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> tu
     """Which pairs of sketches may link, and their likeliest similarities."""
     same = (x == y).sum(axis=1)
     ok = np.minimum(m, n) * 100 >= PERCENT * np.maximum(m, n)
-    at = np.flatnonzero(ok & (same >= REGISTERS * GRID[0]))
+    at = np.flatnonzero(ok & (same >= LEAST_SAME))
     keep, best = np.zeros(len(x), bool), np.zeros(len(x))
     for k in range(0, len(at), 1 << 14):
         part = at[k : k + (1 << 14)]
@@ -128,6 +131,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield batch.slice(lo, hi - lo), [tb.shingle_set(hashes, every, first[i], first[i + 1], WORDS) for i in range(hi - lo)]
 
 
+PAIRS = "u long, v long, s long, t long"
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, sets in _sets(batches):
         regs = sketches(sets)
@@ -152,14 +158,14 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (u, v, m, n, x, y, a, b) with sketches and bitmaps, those that may link."""
+    """Of pairs (u, v, s, t, m, n, x, y, a, b) with sketches and bitmaps, those that may link."""
     for batch in batches:
         m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
         keep, _ = candidates(_registers(batch.column("x")), _registers(batch.column("y")), m, n)
         a, b = batch.column("a"), batch.column("b")
         for i in np.flatnonzero(keep).tolist():
             keep[i] = _could_link(a[i].as_py(), b[i].as_py(), int(m[i]), int(n[i]))
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
+        yield batch.select(["u", "v", "s", "t"]).filter(pa.array(keep))
 
 
 def _keep_sets(wanted):
@@ -188,17 +194,18 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
 
-def _verified(pairs: Stored, classes: Stored, docs: DataFrame) -> Stored:
-    """The pairs that link, from sets that are made again of one row's text for each class."""
-    needed = pairs.read().select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    bits = _row_filter(needed.join(classes.read().select("node", "rh"), "node"))
+def _verified(pairs: DataFrame, docs: DataFrame) -> Stored:
+    """Of pairs (u, v, s, t), with hashes of a row of each class, those that link: their sets are
+    made again of the rows' texts."""
+    pairs = Stored(pairs).read()
+    bits = _row_filter(pairs.select(F.explode(F.array("s", "t")).alias("rh")))
     if not bits.any():
-        return pairs
+        return Stored(pairs.select("u", "v"))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
     sets = _hashed_texts(docs).mapInArrow(_keep_sets(sent), "node long, s binary").groupBy("node").agg(F.max("s").alias("s"))
     a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
     # v is the one that many may have in common: it is met while rows are short
-    links = Stored(pairs.read().join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long"))
+    links = Stored(pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long"))
     sent.destroy()
     return links
 
@@ -206,7 +213,7 @@ def _verified(pairs: Stored, classes: Stored, docs: DataFrame) -> Stored:
 def _compared(table: pa.Table, closest: bool) -> pa.RecordBatch | None:
     """Candidates among the members of whole blocks, which stand together: all blocks are gone
     through at once, each member against the one next to it, then the second next and so on."""
-    c = {k: table.column(k).to_numpy() for k in ("token", "band", "x", "y", "node", "n", "component", "side", "home")}
+    c = {k: table.column(k).to_numpy() for k in ("token", "band", "x", "y", "node", "rh", "n", "component", "side", "home")}
     regs, maps = _registers(table.column("regs").combine_chunks()), table.column("bits").combine_chunks()
     edge = np.zeros(len(regs), bool)
     edge[0] = True
@@ -222,7 +229,7 @@ def _compared(table: pa.Table, closest: bool) -> pa.RecordBatch | None:
         at = i[meet]
         if len(at):
             keep, best = candidates(regs[at], regs[at + step], c["n"][at], c["n"][at + step])
-            for k in np.flatnonzero(keep).tolist():
+            for k in [] if closest else np.flatnonzero(keep).tolist():
                 p = int(at[k])
                 keep[k] = _could_link(maps[p].as_py(), maps[p + step].as_py(), int(c["n"][p]), int(c["n"][p + step]))
             found.append((at[keep], at[keep] + step, 1 - best[keep]))
@@ -230,16 +237,19 @@ def _compared(table: pa.Table, closest: bool) -> pa.RecordBatch | None:
     if not found:
         return None
     i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
-    u, v, token = c["node"][i], c["node"][j], c["token"][i]
-    if closest:
-        u, v, apart, token = np.concatenate([u, v]), np.concatenate([v, u]), np.tile(apart, 2), np.tile(token, 2)
-        order = np.lexsort((v, apart, u))
-        order = order[np.concatenate([[True], u[order][1:] != u[order][:-1]])] if len(order) else order
-    else:
-        u, v = np.minimum(u, v), np.maximum(u, v)
-        order = np.lexsort((v, u))
-        order = order[np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])])] if len(order) else order
-    return pa.RecordBatch.from_pydict({"token": pa.array(token[order]), "u": pa.array(u[order]), "v": pa.array(v[order]), "apart": pa.array(apart[order])})
+    if closest:  # of each member, in both directions
+        i, j, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(apart, 2)
+        order = np.lexsort((c["node"][j], apart, c["node"][i]))
+        first = c["node"][i[order]]
+    else:  # of each pair, one way round
+        turned = c["node"][i] > c["node"][j]
+        i, j = np.where(turned, j, i), np.where(turned, i, j)
+        order = np.lexsort((c["node"][j], c["node"][i]))
+        first = np.stack([c["node"][i[order]], c["node"][j[order]]], axis=1)
+    new = np.ones(len(order), bool)
+    new[1:] = first[1:] != first[:-1] if closest else (first[1:] != first[:-1]).any(axis=1)
+    i, j, apart = i[order[new]], j[order[new]], apart[order[new]]
+    return pa.RecordBatch.from_pydict({"u": pa.array(c["node"][i]), "v": pa.array(c["node"][j]), "s": pa.array(c["rh"][i]), "t": pa.array(c["rh"][j]), "apart": pa.array(apart)})
 
 
 def _across(closest: bool):
@@ -281,7 +291,8 @@ def _across(closest: bool):
 
 
 def _crossing(lists: DataFrame, labels: DataFrame, classes: Stored, closest: bool) -> DataFrame:
-    """(token, u, v, apart): candidates between components, from lists that hold several.
+    """(u, v, s, t, apart): candidates between components, from lists that hold several, with
+    hashes of a row of each.
 
     Sizes that may link lie in one band or in two neighbouring ones: a member is at home in its
     own band and visits the next.  A long list is dealt into blocks by hash, and each block meets
@@ -293,9 +304,9 @@ def _crossing(lists: DataFrame, labels: DataFrame, classes: Stored, closest: boo
     dealt = put.join(some.select("token", "band", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("blocks")), ["token", "band"])
     dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("token", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "n", "component", (F.col("own") > F.col("other")).alias("side"), "home")
-    dealt = dealt.join(classes.read().select("node", "regs", "bits"), "node")
+    dealt = dealt.join(classes.read().select("node", "rh", "regs", "bits"), "node")
     ordered = dealt.repartition("token", "band", "x", "y").sortWithinPartitions("token", "band", "x", "y")
-    return ordered.mapInArrow(_across(closest), "token long, u long, v long, apart double")
+    return ordered.mapInArrow(_across(closest), PAIRS + ", apart double")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -317,21 +328,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = Stored(posted.mapInArrow(_lists, "token long, node long, n int, mate long"))
 
     mates = lists.read().where("mate != node").groupBy("node", "mate").agg(F.count("*").alias("k")).groupBy("node").agg(F.expr("max_by(mate, struct(k, mate))").alias("mate"))
-    u = classes.read().select(F.col("node").alias("u"), F.col("n").alias("m"), F.col("regs").alias("x"), F.col("bits").alias("a"))
-    v = classes.read().select(F.col("node").alias("v"), "n", F.col("regs").alias("y"), F.col("bits").alias("b"))
+    u = classes.read().select(F.col("node").alias("u"), F.col("rh").alias("s"), F.col("n").alias("m"), F.col("regs").alias("x"), F.col("bits").alias("a"))
+    v = classes.read().select(F.col("node").alias("v"), F.col("rh").alias("t"), "n", F.col("regs").alias("y"), F.col("bits").alias("b"))
     first = mates.select(F.col("node").alias("u"), F.col("mate").alias("v")).join(v, "v").join(u, "u")
-    links = _verified(Stored(first.mapInArrow(_plausible, "u long, v long")), classes, docs)
-    labels = components(links.read())
-    open_lists = lists.read()
-    for _ in range(CLOSEST_ROUNDS):
-        some = Stored(_crossing(open_lists, labels, classes, True))
-        pairs = some.read().groupBy("u").agg(F.expr("min_by(v, struct(apart, v))").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        more = _verified(Stored(pairs), classes, docs)
-        links = Stored(links.read().unionByName(more.read()))
-        labels = components(links.read())
-        open_lists = lists.read()
-    rest = _verified(Stored(_crossing(open_lists, labels, classes, False).select("u", "v").distinct()), classes, docs)
-    labels = components(links.read().unionByName(rest.read()))
+    links = _verified(first.mapInArrow(_plausible, PAIRS), docs)
+    # a mate stands before its member in (size, node): following them ends
+    lead = links.read().select(F.col("u").alias("node"), F.col("v").alias("component"))
+    for _ in range(JUMPS):
+        lead = lead.join(lead.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+        lead = Stored(lead).read()
+    some = _crossing(lists.read(), lead, classes, True).groupBy("u").agg(F.expr("min_by(struct(v, s, t), struct(apart, v))").alias("c")).select("u", "c.*")
+    more = _verified(some, docs)
+    labels = components(links.read().unionByName(more.read()))
+    rest = _verified(_crossing(lists.read(), labels, classes, False).select("u", "v", "s", "t").distinct(), docs)
+    labels = components(links.read().unionByName(more.read()).unionByName(rest.read()))
     lists.discard()
     named = classes.read().join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     group = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
