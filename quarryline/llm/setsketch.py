@@ -20,7 +20,7 @@ symmetric difference, then rule out most pairs just below the threshold.
 *Verify.*  The sets of candidates are made again from their texts and intersected.
 
 No list is expanded into all pairs: first each member tries the member of its lists that it
-meets most often.  Then only members of different groups are compared, in bounded blocks of
+meets most often and the one that leads most of its lists.  Then only members of different groups are compared, in bounded blocks of
 a list whose sizes allow a link at all: once with each one's likeliest candidate alone, and,
 with components known, with all candidates.
 """
@@ -210,17 +210,20 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> Stored:
     return links
 
 
+_KEYS = ("token", "band", "within", "x", "y")
+
+
 def _compared(table: pa.Table, closest: bool) -> pa.RecordBatch | None:
     """Candidates among the members of whole blocks, which stand together: all blocks are gone
     through at once, each member against the one next to it, then the second next and so on."""
-    c = {k: table.column(k).to_numpy() for k in ("token", "band", "x", "y", "node", "rh", "n", "component", "side", "home")}
-    regs, maps = _registers(table.column("regs").combine_chunks()), table.column("bits").combine_chunks()
+    c = {k: table.column(k).to_numpy() for k in (*_KEYS, "node", "rh", "n", "component", "side", "home")}
+    regs, maps = _registers(table.column("regs").combine_chunks()), None if closest else table.column("bits").combine_chunks()
     edge = np.zeros(len(regs), bool)
     edge[0] = True
-    for k in ("token", "band", "x", "y"):
+    for k in _KEYS:
         edge[1:] |= c[k][1:] != c[k][:-1]
     end = np.append(np.flatnonzero(edge)[1:], len(regs))[np.cumsum(edge) - 1]
-    two = c["x"] != c["y"]
+    two = ~c["within"] | (c["x"] != c["y"])
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     i, step = np.arange(len(regs)), 1
     while len(i := i[i + step < end[i]]):
@@ -253,19 +256,19 @@ def _compared(table: pa.Table, closest: bool) -> pa.RecordBatch | None:
 
 
 def _across(closest: bool):
-    """Candidates in blocks sorted by (token, band, x, y); a block is whole before it is compared."""
+    """Candidates in blocks sorted by ``_KEYS``; a block is whole before it is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def last_edge(batch: pa.RecordBatch) -> int:
             """Where the batch's last block begins."""
-            key = np.stack([batch.column(k).to_numpy() for k in ("token", "band", "x", "y")])
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in _KEYS])
             change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
             return int(change[-1]) + 1 if len(change) else 0
 
         def same_block(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
-            return all(a.column(k)[len(a) - 1].as_py() == b.column(k)[0].as_py() for k in ("token", "band", "x", "y"))
+            return all(a.column(k)[len(a) - 1].as_py() == b.column(k)[0].as_py() for k in _KEYS)
 
         for batch in batches:
             if not batch.num_rows:
@@ -290,22 +293,44 @@ def _across(closest: bool):
     return run
 
 
+def _mates(lists: DataFrame) -> DataFrame:
+    """Pairs (u, v) to try first, two for each member at most: v is the leader of most of u's
+    lists, or the first of about u's size in most of them.  The leader of a list is the member
+    whose lists are the longest together: the text that others are edited from has most bands
+    in common with them, though they may have few with each other."""
+    sizes = lists.groupBy("token").agg(F.count("*").alias("members"))
+    weight = lists.join(sizes, "token").groupBy("node").agg(F.sum("members").alias("weight"))
+    leaders = lists.join(weight, "node").groupBy("token").agg(F.expr("max_by(node, struct(weight, node))").alias("lead"))
+    both = lists.join(leaders, "token").select("node", F.explode(F.array("lead", "mate")).alias("v")).where("v != node")
+    counted = both.groupBy("node", "v").agg(F.count("*").alias("k"))
+    best = counted.join(weight.select(F.col("node").alias("v"), "weight"), "v").groupBy("node").agg(F.expr("max_by(v, struct(k, v))").alias("most"), F.expr("max_by(v, struct(weight, k, v))").alias("heaviest"))
+    return best.select(F.col("node").alias("u"), F.explode(F.array_distinct(F.array("most", "heaviest"))).alias("v"))
+
+
 def _crossing(lists: DataFrame, labels: DataFrame, classes: Stored, closest: bool) -> DataFrame:
     """(u, v, s, t, apart): candidates between components, from lists that hold several, with
     hashes of a row of each.
 
-    Sizes that may link lie in one band or in two neighbouring ones: a member is at home in its
-    own band and visits the next.  A long list is dealt into blocks by hash, and each block meets
-    itself and each other one."""
+    The component with most members in a list is its main one; all others' members are
+    compared with those of the main one and with each other.  Sizes that may link lie in one
+    band or in two neighbouring ones: members of the main component stay in their band, the
+    others visit both next ones.  Members are dealt into blocks by hash, and blocks of others
+    meet all: in a long list of one component and a few others, a member of the component is
+    in one block alone."""
     named = lists.select("token", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    main = named.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.expr("max_by(component, struct(c, component))").alias("main"), F.count("*").alias("parts")).where("parts > 1")
     own = F.floor(F.log("n") / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
-    put = named.withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", own + F.col("visit")).withColumn("home", F.col("visit") == 0)
-    some = put.groupBy("token", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.max("home").alias("any")).where("lo != hi and any")
-    dealt = put.join(some.select("token", "band", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("blocks")), ["token", "band"])
-    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("token", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "n", "component", (F.col("own") > F.col("other")).alias("side"), "home")
-    dealt = dealt.join(classes.read().select("node", "rh", "regs", "bits"), "node")
-    ordered = dealt.repartition("token", "band", "x", "y").sortWithinPartitions("token", "band", "x", "y")
+    put = named.join(main.select("token", "main"), "token").withColumn("other", F.col("component") != F.col("main"))
+    put = put.withColumn("step", F.explode(F.when(F.col("other"), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("band", own + F.col("step")).withColumn("home", F.col("step") == 0)
+    some = put.groupBy("token", "band").agg(F.count_if("other").alias("k"), F.count_if("home").alias("h"), F.count("*").alias("c")).where("k > 0 and h > 0 and c > 1")
+    some = some.select("token", "band", F.expr(f"cast(ceil(k / {BLOCK}) as int)").alias("others"), F.expr(f"cast(ceil((c - k) / {BLOCK}) as int)").alias("mains"))
+    dealt = put.join(some, ["token", "band"]).withColumn("own", F.expr("cast(pmod(xxhash64(node), if(other, others, mains)) as int)"))
+    block = "named_struct('within', {0}, 'x', {1}, 'y', {2}, 'side', {3})"
+    met = f"""if(other, concat(if(mains > 0, transform(sequence(0, mains - 1), j -> {block.format("false", "own", "j", "false")}), array()), transform(sequence(0, others - 1), j -> {block.format("true", "least(own, j)", "greatest(own, j)", "own > j")})),
+        transform(sequence(0, others - 1), i -> {block.format("false", "i", "own", "true")}))"""
+    dealt = dealt.withColumn("b", F.explode(F.expr(met))).select("token", "band", "b.*", "node", "n", "component", "home")
+    dealt = dealt.join(classes.read().select("node", "rh", "regs", *([] if closest else ["bits"])), "node")
+    ordered = dealt.repartition("token", "band", "within", "x", "y").sortWithinPartitions("token", "band", "within", "x", "y")
     return ordered.mapInArrow(_across(closest), PAIRS + ", apart double")
 
 
@@ -327,13 +352,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     posted = large.mapInArrow(_banded, "token long, node long, n int").repartition("token").sortWithinPartitions("token", "n", "node")
     lists = Stored(posted.mapInArrow(_lists, "token long, node long, n int, mate long"))
 
-    mates = lists.read().where("mate != node").groupBy("node", "mate").agg(F.count("*").alias("k")).groupBy("node").agg(F.expr("max_by(mate, struct(k, mate))").alias("mate"))
+    mates = _mates(lists.read())
     u = classes.read().select(F.col("node").alias("u"), F.col("rh").alias("s"), F.col("n").alias("m"), F.col("regs").alias("x"), F.col("bits").alias("a"))
     v = classes.read().select(F.col("node").alias("v"), F.col("rh").alias("t"), "n", F.col("regs").alias("y"), F.col("bits").alias("b"))
-    first = mates.select(F.col("node").alias("u"), F.col("mate").alias("v")).join(v, "v").join(u, "u")
+    first = mates.join(v, "v").join(u, "u")
     links = _verified(first.mapInArrow(_plausible, PAIRS), docs)
-    # a mate stands before its member in (size, node): following them ends
-    lead = links.read().select(F.col("u").alias("node"), F.col("v").alias("component"))
+    # labels of one group may differ, which only costs comparisons; equal ones are of one group
+    lead = Stored(links.read().groupBy(F.col("u").alias("node")).agg(F.max("v").alias("component"))).read()
     for _ in range(JUMPS):
         lead = lead.join(lead.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
         lead = Stored(lead).read()
