@@ -45,6 +45,8 @@ CELLS = 1 << 20
 AHEAD = 16
 #: counts of one row between tasks
 SLICE = 4096
+#: bits of a hash below those that tell its slice: 2048 slices
+HASH_SLICE_SHIFT = 53
 #: rows of words that a task holds before it sums them, hashes likewise, and rows of one batch
 HELD = 1 << 18
 HASHES = 1 << 20
@@ -350,19 +352,56 @@ def _hash_counts(trie, phrases, size: int, kind: str):
 
 
 def _sequences(trie, phrases, often, size: int, kind: str):
-    """The longer sequences whose hashes are frequent, without most repeats."""
+    """The longer sequences whose hashes are frequent, packed in slices of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, np.int64)
+        held = (np.zeros(0, np.int64), np.zeros((0, size + 1), np.int32))
         for cells, starts in _cells(batches, kind):
             at, key = _longer(cells, starts, trie, phrases, size)
-            some = _passes(often.value, key)
-            key, place = np.unique(key[some], return_index=True)
-            new = ~np.isin(key, known, assume_unique=True)
-            at = at[some][place[new]]
-            known = np.union1d(known, key) if len(known) < HASHES else key
-            path = pa.array(np.stack([cells[at + k] for k in range(size + 1)], axis=1).ravel())
-            yield pa.RecordBatch.from_pydict({"path": pa.ListArray.from_arrays(pa.array(np.arange(0, len(path) + 1, size + 1), pa.int32()), path)})
+            at, key = (x[_passes(often.value, key)] for x in (at, key))
+            held = _merged(held, (key, np.stack([cells[at + k] for k in range(size + 1)], axis=1)))
+            if len(held[0]) > HASHES:
+                yield from _packed(held)
+                held = (held[0][:0], held[1][:0])
+        yield from _packed(held)
+
+    return run
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of both, in order, with their sequences."""
+    key, at = np.unique(np.concatenate([a[0], b[0]]), return_index=True)
+    return key, np.concatenate([a[1], b[1]])[at]
+
+
+def _packed(found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    key, paths = found
+    part = key >> HASH_SLICE_SHIFT
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(key)]])
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if lo < hi:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([part[lo]], pa.int64()), "keys": pa.array([key[lo:hi].tobytes()], pa.binary()), "paths": pa.array([np.ascontiguousarray(paths[lo:hi]).tobytes()], pa.binary())})
+
+
+def _unpacked(size: int):
+    """Each sequence of the slices once.  Rows of a slice stand together."""
+
+    def paths(found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(found[0]), BATCH_ROWS):
+            part = found[1][k : k + BATCH_ROWS]
+            yield pa.RecordBatch.from_pydict({"path": pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, size + 1), pa.int32()), pa.array(part.ravel()))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                new = (np.frombuffer(batch.column(1)[i].as_buffer(), np.int64), np.frombuffer(batch.column(2)[i].as_buffer(), np.int32).reshape(-1, size + 1))
+                if part != now and held is not None:
+                    yield from paths(held)
+                    held = None
+                now, held = part, new if held is None else _merged(held, new)
+        if held is not None:
+            yield from paths(held)
 
     return run
 
@@ -426,8 +465,8 @@ def _frequent_phrases(coded: DataFrame, known: DataFrame | None, size: int, leas
     tries = [send(t) for t in _tries(known, size)] if known is not None else [None]
     sums = reduce(DataFrame.unionByName, [coded.mapInArrow(_hash_counts(t, phrases, size, kind), "rh bigint, seen bigint") for t in tries])
     often = send(_row_filter(sums.groupBy("rh").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least)))
-    found = reduce(DataFrame.unionByName, [coded.mapInArrow(_sequences(t, phrases, often, size, kind), "path array<int>") for t in tries])
-    candidates = Stored(found.distinct())
+    found = reduce(DataFrame.unionByName, [coded.mapInArrow(_sequences(t, phrases, often, size, kind), "slice long, keys binary, paths binary") for t in tries])
+    candidates = Stored(found.repartition("slice").sortWithinPartitions("slice").mapInArrow(_unpacked(size), "path array<int>"))
     for b in (*tries, phrases, often):
         if b is not None:
             b.destroy()
@@ -478,6 +517,7 @@ def collocations(docs: DataFrame, least: int = LEAST, words: int = WORDS, absorb
     counted whole.  Equal rows count as often as they stand there.  Ties in score go to the
     greater count, then to the smaller phrase by its bytes; ties of cuts to the first.  Other
     columns aren't read.  An empty table, and a language without frequent phrases, give no rows.
+    Words, and candidates until they are counted, are told apart by 64-bit hashes.
     """
     counted, named, total = count_phrases(docs, least, words)
     counted = Stored(counted).read()
