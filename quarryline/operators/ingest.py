@@ -26,6 +26,8 @@ FILE_RULES = (
     (r"\.py$", "source", "python"), (r"\.java$", "source", "java"), (r"\.kt$", "source", "kotlin"), (r"\.cs$", "source", "csharp"), (r"\.(ts|tsx)$", "source", "typescript"), (r"\.(js|jsx|mjs)$", "source", "javascript"), (r"\.go$", "source", "go"), (r"\.sql$", "source", "sql"),
 )
 LARGEST_FILE = 1_000_000
+#: lists within lists of a rich-text tree
+LEVELS = 16
 
 
 def html_to_text(html: Column) -> Column:
@@ -38,11 +40,22 @@ def html_to_text(html: Column) -> Column:
 
 
 def rich_text(tree: Column) -> Column:
-    """Texts of a nested rich-text tree (JSON), in document order, with spaces between; what
-    isn't JSON stays as it is."""
-    parts = F.regexp_extract_all(tree, F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
-    plain = F.from_json(F.concat(F.lit('["'), F.array_join(parts, '","'), F.lit('"]')), "array<string>")
-    return F.when(F.coalesce(tree, F.lit("")).rlike(r"^\s*[\[{]"), F.trim(F.array_join(F.when(F.size(parts) > 0, plain).otherwise(F.array().cast("array<string>")), " "))).otherwise(F.coalesce(tree, F.lit("")))
+    """Texts of a nested rich-text tree (JSON), in document order.  A node's text is its text; a
+    node without one is the texts of its content, and a list those of its members, with a
+    space between each two (empty ones too) and without white space at both ends.  Nothing
+    else of a node counts, its attributes neither.  What isn't a JSON object or list stays as
+    it is; null is empty.  Lists may lie ``LEVELS`` deep; what is deeper is left out."""
+    node = F.try_parse_json(tree)
+    return F.when(F.coalesce(tree, F.lit("")).rlike(r"^\s*[\[{]") & node.isNotNull(), _node_text(node, LEVELS)).otherwise(F.coalesce(tree, F.lit("")))
+
+
+def _node_text(node: Column, levels: int) -> Column:
+    part = lambda path, kind: F.try_variant_get(node, path, kind)
+    text = F.when(F.schema_of_variant(part("$.text", "variant")) == "STRING", part("$.text", "string"))
+    members = F.coalesce(part("$", "array<variant>"), F.when(text.isNull(), part("$.content", "array<variant>")))
+    inner = F.btrim(F.array_join(F.transform(members, lambda m: _node_text(m, levels - 1)), " "), F.lit(" \t\n\r\f\x0b")) if levels else F.lit("")
+    plain = F.when(part("$", "map<string,variant>").isNull(), part("$", "string"))
+    return F.coalesce(F.when(members.isNotNull(), inner), text, plain, F.lit(""))
 
 
 def classify_file(path: Column, size: Column) -> Column:

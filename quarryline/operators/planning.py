@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PHASE = r"(?i)^(?:#{1,6}\s+)?(?:Phase|Release)\s*[-–—]?\s*(\d+)(?:\s*[-–—:]\s*(.+?))?\s*$"
-ITEM = r"^\s*(?:[-*•]|\d+[.)])\s+(.+?)\s*$"
+from ..functions import phases as ph
+
 #: texts that stand for one to be written (fixed values)
 PLACEHOLDERS = r"(?i)\b(tbd|todo|tbc|to be (?:defined|determined|added|confirmed)|lorem ipsum|xxx+|placeholder)\b"
 LEAST_CHARS, NEAR_CHARS, NAME_CHARS = 20, 2000, 40
@@ -15,18 +18,39 @@ MOST_ADDED = 8
 COMPLEXITY = {"critical": "complex", "high": "medium", "medium": "simple", "low": "simple"}
 
 
+_PHASES = "ordinal int, name string, use_cases array<string>"
+
+
+def _phase_rows(docs: DataFrame, rows: Callable[[str | None], list[tuple]], columns: str) -> DataFrame:
+    """(doc_id, columns): the rows that a helper makes of each text."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(doc_id, *row) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True) for row in rows(text)]
+            yield pd.DataFrame(out, columns=["doc_id", *names], dtype=object)
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {columns}")
+
+
 def detect_phases(docs: DataFrame) -> DataFrame:
     """(doc_id, ordinal, name, use_cases): phase and release headings of documents (doc_id,
-    text), alone on a line, with their number and title, and the list items under each up
-    to the next one."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("at", "line"))
-    number, title = F.regexp_extract("line", PHASE, 1), F.regexp_extract("line", PHASE, 2)
-    name = F.when(number != "", F.concat(F.lit("Phase "), number, F.when(title != "", F.concat(F.lit(": "), title)).otherwise("")))
-    item = F.regexp_extract("line", ITEM, 1)
-    rows = lines.select("doc_id", "at", name.alias("name"), F.when(name.isNull() & (item != ""), item).alias("item"))
-    head = F.last(F.when(F.col("name").isNotNull(), F.col("at")), True).over(Window.partitionBy("doc_id").orderBy("at"))
-    under = rows.withColumn("head", head).where("head is not null").groupBy("doc_id", "head").agg(F.max("name").alias("name"), F.transform(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("at", "item")))), lambda x: x["item"]).alias("use_cases"))
-    return under.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("head")).alias("ordinal"), "name", "use_cases")
+    text), alone on a line, with their number and title, and what stands below each up to
+    the next one: UC numbers, or else list items."""
+    return _phase_rows(docs, lambda text: [(i, *p) for i, p in enumerate(ph.headed((text or "").splitlines(), ph.PHASE_WORDS, False), 1)], _PHASES)
+
+
+def phase_plan(docs: DataFrame) -> DataFrame:
+    """(doc_id, layout, warning, ordinal, name, use_cases): the phases of documents (doc_id,
+    text) by the first layout that they have: headings, a table with a column of phases, lines
+    that end in one, marks in brackets, milestones.  A document whose layouts disagree on the
+    number of phases has one row with a warning; one with fewer than two phases has none."""
+
+    def rows(text: str | None) -> list[tuple]:
+        layout, phases, warning = ph.plan(text)
+        return [(None, warning, 0, None, None)] if warning else [(layout, None, i, *p) for i, p in enumerate(phases, 1)]
+
+    return _phase_rows(docs, rows, f"layout string, warning string, {_PHASES}")
 
 
 def _base(name):
