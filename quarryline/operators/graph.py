@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import CONFIDENCE, named, rank
+from ..sources.stages import stored
 
 
 def live_only(df: DataFrame) -> DataFrame:
@@ -77,34 +78,38 @@ def soft_delete(entities: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("deleted_at", F.when(F.col("_gone") == 1, F.coalesce("deleted_at", now)).otherwise(F.col("deleted_at"))).drop("_gone")
 
 
-def reach(edges: DataFrame, roots: DataFrame | None = None, hops: int = 2, undirected: bool = False) -> DataFrame:
-    """(root, node, hop): what each root reaches over (src, dst) within so many hops, with
-    the fewest; a root reaches itself only through a cycle.  Each hop joins the nodes
-    first reached in the last one with the edges."""
+def reach(edges: DataFrame, roots: DataFrame | None = None, hops: int | None = 2, undirected: bool = False) -> DataFrame:
+    """(root, node, hop): what each root reaches over (src, dst) within so many hops (None: any
+    number), with the fewest; a root reaches itself only through a cycle.  Each hop joins the
+    nodes first reached in the last one with the edges; it is written before the next, so a
+    hop's plan doesn't grow with the ones before it, and an empty one is the last."""
     both = edges.select("src", "dst")
     if undirected:
         both = both.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = both.distinct()
-    start = (roots.select(F.col("node").alias("root")) if roots is not None else both.select(F.col("src").alias("root"))).distinct()
-    front = start.withColumn("at", F.col("root"))
-    found = None
-    for hop in range(1, hops + 1):
-        step = front.join(both, front["at"] == both["src"]).select("root", F.col("dst").alias("node")).distinct()
-        if found is not None:
-            step = step.join(found, ["root", "node"], "left_anti")
-        step = step.withColumn("hop", F.lit(hop))
+    both = stored(both.where("src is not null").distinct())
+    front = (roots.select(F.col("node").alias("root")) if roots is not None else both.select(F.col("src").alias("root"))).distinct().withColumn("node", F.col("root"))
+    found, hop = None, 0
+    while hops is None or hop < hops:
+        hop += 1
+        step = front.join(both.select(F.col("src").alias("node"), "dst"), "node").select("root", F.col("dst").alias("node")).distinct()
+        step = stored((step.join(found, ["root", "node"], "left_anti") if found is not None else step).withColumn("hop", F.lit(hop)))
         found = step if found is None else found.unionByName(step)
-        front = step.select("root", F.col("node").alias("at"))
+        if hop != hops and step.isEmpty():
+            break
+        front = step.select("root", "node")
     return found
 
 
-def impact(depends_on: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
+def impact(depends_on: DataFrame, links: DataFrame, hops: int | None = 2) -> DataFrame:
     """(service, affected, epics, tickets): who depends on a service within so many hops,
     and how many distinct epics and tickets concern any of them."""
-    turned = depends_on.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    hit = reach(turned, hops=hops)
-    work = hit.join(links.select(F.col("service").alias("node"), "ticket", "kind"), "node", "left")
-    return work.groupBy(F.col("root").alias("service")).agg(F.countDistinct("node").alias("affected"), F.countDistinct(F.when(F.col("kind") == "epic", F.col("ticket"))).alias("epics"), F.countDistinct(F.when(F.col("kind") == "ticket", F.col("ticket"))).alias("tickets"))
+    hit = reach(depends_on.select(F.col("dst").alias("src"), F.col("src").alias("dst")), hops=hops)
+    affected = hit.groupBy("root").agg(F.count("node").alias("affected"))
+    told = links.where("kind in ('epic', 'ticket')").select(F.col("service").alias("node"), "ticket", "kind").distinct()
+    work = hit.select("root", "node").join(told, "node").select("root", "kind", "ticket").distinct()
+    counts = work.groupBy("root").agg(F.count_if(F.col("ticket").isNotNull() & (F.col("kind") == "epic")).alias("epics"), F.count_if(F.col("ticket").isNotNull() & (F.col("kind") == "ticket")).alias("tickets"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return affected.join(counts, "root", "left").select(F.col("root").alias("service"), "affected", zero("epics"), zero("tickets"))
 
 
 def context(depends_on: DataFrame, publishes: DataFrame, subscribes: DataFrame) -> DataFrame:
@@ -139,20 +144,23 @@ def merge_nodes(nodes: DataFrame, properties: list[str]) -> DataFrame:
 
 def maximal_paths(edges: DataFrame, entries: DataFrame, max_depth: int = 5) -> DataFrame:
     """(path, length, truncated): all simple paths from entries (node) that can't be
-    extended, or that have max_depth nodes; one join for each length."""
-    hops = edges.select("src", "dst").where("src != dst").distinct()
-    now = entries.select(F.array("node").alias("path"), F.col("node").alias("at"))
-    done = None
-    for depth in range(1, max_depth):
-        grown = now.join(hops, now["at"] == hops["src"], "left").where(F.col("dst").isNull() | ~F.array_contains("path", F.col("dst")))
-        moved = grown.where("dst is not null").select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
-        ended = now.join(moved.select(F.slice("path", 1, depth).alias("path")).distinct(), "path", "left_anti").select("path", F.lit(False).alias("truncated"))
-        done = ended if done is None else done.unionByName(ended)
-        now = moved
-    more = now.join(hops, now["at"] == hops["src"]).where(~F.array_contains("path", F.col("dst"))).select("path").distinct()
-    last = now.join(more.withColumn("_more", F.lit(True)), "path", "left").select("path", F.coalesce("_more", F.lit(False)).alias("truncated"))
-    done = last if done is None else done.unionByName(last)
-    return done.where(F.size("path") > 1).select("path", F.size("path").alias("length"), "truncated")
+    extended, or that have max_depth nodes.  Paths of each length are written before they
+    are extended; none are the end."""
+    hops = stored(edges.select("src", "dst").where("src != dst").distinct())
+    now = stored(entries.select(F.array("node").alias("path"), F.col("node").alias("at")).distinct())
+    done = now.where("false").select("path", F.lit(False).alias("truncated"))
+    for depth in range(1, max_depth + 1):
+        longer = now.join(hops, now["at"] == hops["src"], "left").withColumn("goes", F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst")))
+        if depth == max_depth:
+            last = longer.groupBy("path").agg(F.bool_or("goes").alias("truncated"))
+            return done.unionByName(last).where(F.size("path") > 1).select("path", F.size("path").alias("length"), "truncated")
+        # a path that goes nowhere stays as it is, with a null next node
+        ends = longer.withColumn("any", F.bool_or("goes").over(Window.partitionBy("path"))).where("goes or not any")
+        step = stored(ends.select("path", F.when(F.col("goes"), F.col("dst")).alias("next")).distinct())
+        done = done.unionByName(step.where("next is null").select("path", F.lit(False).alias("truncated")))
+        now = step.where("next is not null").select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"))
+        if now.isEmpty():
+            return done.where(F.size("path") > 1).select("path", F.size("path").alias("length"), "truncated")
 
 
 def flows_for_service(flows: DataFrame, k: int = 25) -> DataFrame:

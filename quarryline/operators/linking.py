@@ -2,30 +2,95 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import CONFIDENCE, rank
 from ..functions.text import norm_path, norm_topic, tokenize
+from ..sources.stages import stored
 
-#: words of a term at most
-LONGEST = 4
+#: words of a term at most, and bytes of terms that are sent to every task
+LONGEST, SENT_BYTES = 4, 16 << 20
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, longest: int = LONGEST) -> DataFrame:
+def find_terms(texts: DataFrame, terms: DataFrame, longest: int = LONGEST, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """(id, term, count): how often texts (id, text) name terms (term, of at most ``longest``
     words), in any case, as whole words.  Read from the left, the longest term at a place
-    counts and what it covers is not looked at again.  Only places that name a term are
-    brought together, a text's in one row."""
-    wanted = terms.select("term", F.array_join(tokenize(F.col("term")), " ").alias("gram")).where("gram != ''").groupBy("gram").agg(F.min("term").alias("term"))
-    words = texts.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("w"))
-    grams = words.select("id", F.explode(F.flatten(F.transform("w", lambda _, i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.when(i + n <= F.size("w"), F.array_join(F.slice("w", i + 1, n), " ")).alias("gram")))))).alias("g")).select("id", "g.*")
-    met = grams.where("gram is not null").join(wanted, "gram")
-    places = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "n", "term"))).alias("p"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("terms"))
-    step = lambda s, p: F.when(p["at"] >= s["end"], F.struct((p["at"] + p["n"]).alias("end"), F.concat(s["terms"], F.array(p["term"])).alias("terms"))).otherwise(s)
-    kept = places.select("id", F.aggregate("p", start, step, lambda s: s["terms"]).alias("terms"))
-    return kept.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("count"))
+    counts and what it covers is not looked at again.  Terms of the same words count for the
+    smallest.  A text is the work of one task; rows of one id are added up.
+
+    Terms of up to ``sent_bytes`` together are sent to the tasks; more are joined by their
+    first words with the places where those stand."""
+    words = F.filter(tokenize(F.col("term")), lambda w: w != "")
+    wanted = terms.select("term", words.alias("w")).where(F.size("w").between(1, longest)).groupBy("w").agg(F.min("term").alias("term"))
+    wanted = stored(wanted.select(F.array_join("w", " ").alias("gram"), F.col("w")[0].alias("first"), F.size("w").alias("n"), "term"))
+    tokens = texts.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("w"))
+    size = wanted.agg(F.sum(F.octet_length("gram") + F.octet_length("term"))).first()[0] or 0
+    found = _by_sent_terms(tokens, wanted, longest) if size <= sent_bytes else _by_joined_terms(tokens, wanted)
+    return found.groupBy("id", "term").agg(F.sum("count").alias("count"))
+
+
+def _by_sent_terms(tokens: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
+    """(id, term, count) with all terms in every task; only words that begin a term are looked at."""
+    rows = wanted.toArrow().to_pylist()
+    sent = tokens.sparkSession.sparkContext.broadcast(({r["gram"]: r["term"] for r in rows}, {r["first"] for r in rows}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, firsts = sent.value
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            begins = np.flatnonzero(np.array([x in firsts for x in names], bool)[codes]) if len(names) else codes
+            of = np.searchsorted(ends, begins, "right")
+            counts: Counter[tuple[int, str]] = Counter()
+            free = 0
+            for at, row in zip(begins.tolist(), of.tolist(), strict=True):
+                if at < free:
+                    continue
+                here = [names[c] for c in codes[at : min(at + longest, int(ends[row]))]]
+                for n in range(len(here), 0, -1):
+                    term = grams.get(" ".join(here[:n]))
+                    if term is not None:
+                        counts[row, term] += 1
+                        free = at + n
+                        break
+            rows = pa.array([r for r, _ in counts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["id", "term", "count"])
+
+    return tokens.mapInArrow(run, f"id {dict(tokens.dtypes)['id']}, term string, count long")
+
+
+def _by_joined_terms(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, term, count) with terms joined to the places of their first words."""
+    numbered = stored(tokens.withColumn("row", F.monotonically_increasing_id()))
+    places = numbered.select("row", F.posexplode("w").alias("at", "first"))
+    begun = places.join(wanted.groupBy("first").agg(F.sort_array(F.collect_set("n"), asc=False).alias("sizes")), "first")
+    grams = begun.groupBy("row").agg(F.collect_list(F.struct("at", "sizes")).alias("b")).join(numbered, "row")
+    grams = grams.select("row", "id", "w", F.explode("b").alias("b")).select("row", "id", "b.at", F.explode("b.sizes").alias("n"), "w").where("at + n <= size(w)")
+    met = grams.select("row", "id", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("gram")).join(wanted.select("gram", "term"), "gram")
+    kind = dict(tokens.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free = None, 0
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (row, at, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
+                if row != now:
+                    now, free = row, 0
+                if at >= free:
+                    keep[i], free = True, at + n
+            yield batch.select([1, 4]).filter(pa.array(keep))
+
+    ordered = met.select("row", "id", "at", "n", "term").repartition("row").sortWithinPartitions("row", "at", F.desc("n"))
+    return ordered.mapInArrow(run, f"id {kind}, term string").groupBy("id", "term").agg(F.count("*").alias("count"))
 
 
 def resolve_entities(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -42,7 +107,7 @@ def _counted(docs: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]
     """(id, term, sid, tier, count) of terms that name a service, and (id, term, sid, count)
     of the candidates of those that don't."""
     whole = aliases.groupBy("term").agg((F.count_distinct("sid") > 1).alias("_many"), F.bool_or("canonical").alias("_known"))
-    rows = find_terms(docs, aliases).join(aliases, "term").join(whole, "term")
+    rows = stored(find_terms(docs, aliases)).join(aliases, "term").join(whole, "term")
     open_ = F.col("_many") & ~F.col("_known")
     tier = F.when(F.col("canonical") | (F.col("confidence") == "manual"), "high").when(F.col("_many"), "weak").when(F.col("term").contains(" ") & F.col("confidence").isin("high", "medium"), "medium").otherwise("weak")
     return rows.where(~open_).select("id", "term", "sid", tier.alias("tier"), "count"), rows.where(open_).select("id", "term", "sid", "count")
@@ -56,7 +121,10 @@ def link_documents(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     at least medium confidence is medium; two weak ones, one of several words, are low; less
     is no link.  A term of several services counts only for the one that the document
     links to already, if there is exactly one."""
-    sure, unsure = _counted(docs, aliases)
+    return _linked(*_counted(docs, aliases))
+
+
+def _linked(sure: DataFrame, unsure: DataFrame) -> DataFrame:
     weak = F.col("tier") == "weak"
     sums = sure.groupBy("id", "sid").agg(F.bool_or(F.col("tier") == "high").alias("_h"), F.bool_or(F.col("tier") == "medium").alias("_m"), F.count_distinct(F.when(weak, F.col("term"))).alias("_w"), F.bool_or(weak & F.col("term").contains(" ")).alias("_s"), F.collect_set("term").alias("_t"), F.sum("count").alias("_n"))
     level = F.when(F.col("_h"), "high").when(F.col("_m"), "medium").when((F.col("_w") >= 2) & F.col("_s"), "low")
@@ -70,8 +138,8 @@ def link_documents(docs: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def skipped_terms(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, term, candidates): terms of several services that no single link settles."""
-    _, unsure = _counted(docs, aliases)
-    links = link_documents(docs, aliases).select("id", "sid", F.lit(1).alias("_l"))
+    sure, unsure = _counted(docs, aliases)
+    links = _linked(sure, unsure).select("id", "sid", F.lit(1).alias("_l"))
     rows = unsure.join(links, ["id", "sid"], "left").groupBy("id", "term").agg(F.count("_l").alias("_k"), F.sort_array(F.collect_set("sid")).alias("candidates"))
     return rows.where("_k != 1").select("id", "term", "candidates")
 
