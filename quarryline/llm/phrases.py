@@ -439,7 +439,7 @@ def _tries(paths: DataFrame, size: int) -> Iterator[Trie]:
     """Tries of all ``paths``, each of at most ``BLOCK``."""
     blocks = max(1, -(-paths.count() * 5 // (4 * BLOCK)))
     dealt = paths.withColumn("block", F.expr(f"pmod(xxhash64(path), {blocks})"))
-    while dealt.groupBy("block").count().agg(F.max("count")).first()[0] > BLOCK:
+    while (dealt.groupBy("block").count().agg(F.max("count")).first()[0] or 0) > BLOCK:
         blocks *= 2
         dealt = paths.withColumn("block", F.expr(f"pmod(xxhash64(path), {blocks})"))
     for b in range(blocks):
@@ -461,8 +461,10 @@ def _frequent_phrases(coded: DataFrame, known: DataFrame | None, size: int, leas
     """(path, seen) of the phrases of ``size`` + 1 words, given those of ``size`` (None: words)."""
     spark = coded.sparkSession
     send = spark.sparkContext.broadcast
-    phrases = send(_row_filter(_hashes(known.select("path"), size))) if known is not None else None
     tries = [send(t) for t in _tries(known, size)] if known is not None else [None]
+    if not tries:
+        return []
+    phrases = send(_row_filter(_hashes(known.select("path"), size))) if known is not None else None
     sums = reduce(DataFrame.unionByName, [coded.mapInArrow(_hash_counts(t, phrases, size, kind), "rh bigint, seen bigint") for t in tries])
     often = send(_row_filter(sums.groupBy("rh").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least)))
     found = reduce(DataFrame.unionByName, [coded.mapInArrow(_sequences(t, phrases, often, size, kind), "slice long, keys binary, paths binary") for t in tries])
