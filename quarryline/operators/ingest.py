@@ -17,15 +17,6 @@ HTML_STEPS = (
     *((rf"(?i)<h{n}\b[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)), (r"(?i)<li\b[^>]*>", "\n- "), (_BLOCK, "\n"), (r"<[^>]*>", ""),
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"[ \t\r]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+", ""), (r"\s+$", ""),
 )
-#: ordered rules: (pattern of a path, class, language) (fixed values)
-FILE_RULES = (
-    (r"(^|/)(node_modules|vendor|dist|build|target|\.git)/", "generated", None), (r"\.(png|jpe?g|gif|ico|pdf|zip|jar|class|woff2?)$", "binary", None),
-    (r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock)$", "lock", None), (r"(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\.[a-z]+$", "test", None),
-    (r"(^|/)(package\.json|pom\.xml|build\.gradle|requirements\.txt|pyproject\.toml|[^/]+\.csproj)$", "manifest", None), (r"(^|/)(dockerfile|docker-compose[^/]*\.ya?ml)$|\.tf$", "infra", None),
-    (r"(^|/)(openapi|swagger)[^/]*\.(ya?ml|json)$|\.proto$", "contract", None), (r"\.(md|rst|adoc|txt)$", "doc", None), (r"\.(ya?ml|json|properties|toml|ini|env)$", "config", None),
-    (r"\.py$", "source", "python"), (r"\.java$", "source", "java"), (r"\.kt$", "source", "kotlin"), (r"\.cs$", "source", "csharp"), (r"\.(ts|tsx)$", "source", "typescript"), (r"\.(js|jsx|mjs)$", "source", "javascript"), (r"\.go$", "source", "go"), (r"\.sql$", "source", "sql"),
-)
-LARGEST_FILE = 1_000_000
 #: lists within lists of a rich-text tree
 LEVELS = 16
 
@@ -58,18 +49,6 @@ def _node_text(node: Column, levels: int) -> Column:
     return F.coalesce(F.when(members.isNotNull(), inner), text, plain, F.lit(""))
 
 
-def classify_file(path: Column, size: Column) -> Column:
-    """STRUCT<class, language, status> of a file by the first rule that its path meets;
-    binary, generated and locked files are skipped, and so are ones over a million bytes."""
-    low = F.lower(path)
-    kind, language = F.lit("other"), F.lit(None).cast("string")
-    for pattern, name, tongue in reversed(FILE_RULES):
-        met = low.rlike(pattern)
-        kind, language = F.when(met, name).otherwise(kind), F.when(met, F.lit(tongue)).otherwise(language)
-    status = F.when(kind.isin("binary", "generated", "lock"), F.concat(F.lit("skipped:"), kind)).when(size > LARGEST_FILE, "skipped:large").otherwise("pending")
-    return F.struct(kind.alias("class"), language.alias("language"), status.alias("status"))
-
-
 def store_identity(text: Column) -> Column:
     """STRUCT<type, host, database> of a connection string or URL; users and passwords are
     never in it; null for none."""

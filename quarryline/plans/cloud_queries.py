@@ -1,9 +1,10 @@
-"""Registered queries of cloud costs, trees of rich text and phased plans."""
+"""Registered queries of cloud costs, trees of rich text, phased plans and files."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import files as fl
 from ..operators import cloud as cl
 from ..operators import ingest as ig
 from ..operators import planning as pl
@@ -97,3 +98,35 @@ VIEWS["plans"] = f"""SELECT p_partkey AS doc_id, CASE CAST(p_partkey % 8 AS INT)
 )
 def phase_plan(docs):
     return pl.phase_plan(docs).withColumn("use_cases", F.array_join("use_cases", "|"))
+
+
+_DIRS = ["", "src/", "src/test/java/", "web/node_modules/x/", "packages/Json.13.0.3/lib/", "packages/app/", "api/bin/Release/", "bin/", "obj/", "wwwroot/lib/jq/", "wwwroot/css/", "Public/img/", "deploy/", "helm/app/", ".github/workflows/", "Shop.Tests/", "e2e/", "docs/", "Config/", "a/Migrations/", "charts/", "third_party/", "conf/", "deep/er/than/that/"]
+_NAMES = ["{w}.py", "{w}Thing.TSX", "{w}.png", "{w}.test.js", "{w}.yml", "{w}.xyz", "{w}", "Dockerfile.{w}", "yarn.lock", "{w}.min.js", "{w}.js.map", "{w}.svg", "openapi-{w}.json", "{w}.proto", "main-{w}.tf", "{w}.csproj", "requirements-{w}.txt", "{w}Tests.cs", "test_{w}.py", "README", "{w}.md", ".env.{w}", ".gitignore", "appsettings.{w}.json", "{w}.Designer.cs", "values-{w}.yaml", "{w}.tpl", "{w}.tar.gz", "Makefile", "environment.{w}.ts", "{w}.XML", ".{w}", "{w}.sql", "{w}.webmanifest", "package.json", "{w}.bundle.js", "go.sum", "{w}.config", "{w}.h", "Jenkinsfile"]
+
+
+def _choice(at: str, values: list[str]) -> str:
+    return f"CASE CAST({at} AS INT) " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+VIEWS["repo_files"] = f"""SELECT id, concat(dir, replace(name, '{{w}}', word)) AS path, size, mode, head FROM (SELECT CAST(p_partkey AS BIGINT) AS id, {_choice(f"p_partkey % {len(_DIRS)}", _DIRS)} AS dir, {_choice(f"floor(p_partkey / {len(_DIRS)}) % {len(_NAMES)}", _NAMES)} AS name, replace(trim(p_name), ' ', '_') AS word,
+ CAST(p_size * 25000 AS BIGINT) AS size, CASE WHEN p_partkey % 31 = 0 THEN '120000' WHEN p_partkey % 37 = 0 THEN '160000' WHEN p_partkey % 5 = 0 THEN NULL ELSE '100644' END AS mode, CASE WHEN p_partkey % 29 = 1 THEN concat('x', chr(0)) WHEN p_partkey % 4 = 1 THEN concat('apiVersion: v1', chr(10), 'kind: Pod') WHEN p_partkey % 4 = 2 THEN 'kind: x' WHEN p_partkey % 4 = 3 THEN NULL ELSE 'text' END AS head FROM part) f"""
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_GLOB = lambda names: f"len(list_filter({_LIST(names)}, lambda g: name GLOB g)) > 0"
+_HAS = lambda values, names: f"list_has_any({values}, {_LIST(names)})"
+_CODE = f"list_contains({_LIST(fl.CODE_EXTENSIONS)}, ext)"
+
+
+@job(
+    with_views("repo_files") + f""", parts AS (SELECT *, string_split(path, '/')[-1] AS name, string_split(path, '/')[:-2] AS dirs, coalesce(mode, '') AS m, coalesce(head, '') AS h FROM repo_files),
+ ends AS (SELECT *, [lower(d) FOR d IN dirs] AS low, CASE WHEN contains(ltrim(name, '.'), '.') THEN lower(string_split(name, '.')[-1]) ELSE '' END AS ext FROM parts),
+ classes AS (SELECT *, CASE WHEN m = '160000' THEN 'submodule' WHEN m = '120000' THEN 'symlink' WHEN {_HAS("dirs", fl.VENDOR_DIRS)} OR contains(path, 'packages/Json.13.0.3/') OR contains(path, 'wwwroot/lib/') THEN 'vendor' WHEN {_HAS("dirs", fl.GENERATED_DIRS)} OR {_GLOB(fl.GENERATED_NAMES)} OR contains(path, 'bin/Release/') THEN 'generated'
+  WHEN list_contains({_LIST(fl.LOCKFILES)}, name) THEN 'lockfile' WHEN {_GLOB(fl.MINIFIED_NAMES)} THEN 'minified' WHEN list_contains({_LIST(fl.BINARY_EXTENSIONS)}, ext) OR contains(h, chr(0)) THEN 'binary' WHEN ext = 'svg' OR ({_HAS("low", fl.ASSET_DIRS)} AND NOT {_CODE} AND NOT list_contains({_LIST(fl.SETTING_EXTENSIONS)}, ext) AND name[1] != '.') THEN 'asset' WHEN size > 1000000 THEN 'large' WHEN {_GLOB(fl.CONTRACT_NAMES)} THEN 'api_contract'
+  WHEN {_GLOB(fl.INFRA_NAMES)} OR starts_with(path, '.github/workflows/') OR (ext IN ('yml', 'yaml') AND ({_HAS("low", fl.INFRA_DIRS)} OR (contains(h, 'apiVersion:') AND contains(h, 'kind:')))) OR ({_HAS("low", ["helm", "charts", "terraform"])} AND ext IN ('tpl', 'tf', 'json', 'yaml')) THEN 'infra'
+  WHEN {_GLOB(fl.MANIFEST_NAMES)} THEN 'build_manifest' WHEN {_HAS("dirs", fl.TEST_DIRS)} OR contains(path, 'src/test/') OR contains(path, 'Tests/') OR {_GLOB(fl.TEST_NAMES)} THEN 'test' WHEN list_contains({_LIST(fl.DOC_EXTENSIONS)}, ext) OR {_GLOB(fl.DOC_NAMES)} THEN 'docs' WHEN {_GLOB(fl.CONFIG_NAMES)} OR ({_HAS("low", fl.CONFIG_DIRS)} AND NOT {_CODE}) THEN 'config' WHEN {_CODE} THEN 'source' ELSE 'other' END AS class FROM ends),
+ tongues AS (SELECT unnest({_LIST([e for t in fl.LANGUAGES.values() for e in t.split()])}) AS ext, unnest({_LIST([n for n, t in fl.LANGUAGES.items() for _ in t.split()])}) AS tongue)
+ SELECT id, class, CASE WHEN m = '160000' THEN 'unknown' WHEN name = 'Makefile' THEN 'make' WHEN name = 'Jenkinsfile' THEN 'groovy' WHEN name GLOB 'Dockerfile*' THEN 'dockerfile' WHEN name GLOB '.env*' THEN 'dotenv' ELSE coalesce(tongue, 'unknown') END AS language,
+  CASE WHEN class IN ('vendor', 'generated', 'binary', 'lockfile', 'minified', 'asset', 'large', 'symlink', 'submodule') THEN 'skipped:' || class ELSE 'pending' END AS status FROM classes LEFT JOIN tongues USING (ext)""",
+    ("repo_files",),
+)
+def classify_file(files):
+    return files.select("id", fl.classify_file(F.col("path"), F.col("size"), F.col("mode"), F.col("head").cast("binary")).alias("c")).select("id", "c.*")

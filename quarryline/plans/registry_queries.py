@@ -65,7 +65,6 @@ VIEWS |= {
     # ingest
     "page_rows": "SELECT page_id AS id, html FROM pages",
     "rich_trees": "SELECT event_id AS id, concat('{\"type\":\"doc\",\"content\":[{\"type\":\"p\",\"content\":[{\"text\":\"', event_type, '\"},{\"text\":\"a \\\\\"b\\\\\"\"}]},{\"content\":[{\"text\": \"', CAST(user_id AS VARCHAR(20)), '\"}]}]}') AS tree, concat(event_type, ' a \"b\" ', CAST(user_id AS VARCHAR(20))) AS plain FROM events UNION ALL SELECT -event_id, event_type, event_type FROM events",
-    "file_paths": "SELECT CAST(p_partkey AS INT) AS id, concat('src/Main', CAST(p_size AS VARCHAR(20)), CASE CAST(p_size % 6 AS INT) WHEN 0 THEN '.py' WHEN 1 THEN 'Thing.ts' WHEN 2 THEN '.png' WHEN 3 THEN '.test.js' WHEN 4 THEN '.yml' ELSE '.xyz' END) AS path, CAST(p_size * 30000 AS BIGINT) AS size, CASE CAST(p_size % 6 AS INT) WHEN 0 THEN 'source' WHEN 1 THEN 'source' WHEN 2 THEN 'binary' WHEN 3 THEN 'test' WHEN 4 THEN 'config' ELSE 'other' END AS class, CASE CAST(p_size % 6 AS INT) WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE NULL END AS language FROM part",
     "connections": "SELECT DISTINCT concat('postgresql://u:pw@Db', CAST(s_nationkey AS VARCHAR(20)), ':5432/Shop?x=1') AS text, 'postgresql' AS type, concat('db', CAST(s_nationkey AS VARCHAR(20))) AS host, 'Shop' AS database FROM supplier UNION SELECT DISTINCT concat('Server=tcp:SQL', CAST(s_nationkey AS VARCHAR(20)), ',1433;Initial Catalog=Main;Password=x'), 'sqlserver', concat('sql', CAST(s_nationkey AS VARCHAR(20))), 'Main' FROM supplier UNION SELECT DISTINCT concat('jdbc:sqlserver://h', CAST(s_nationkey AS VARCHAR(20)), ':1433;databaseName=orders'), 'sqlserver', concat('h', CAST(s_nationkey AS VARCHAR(20))), 'orders' FROM supplier UNION SELECT DISTINCT s_name, NULL, NULL, NULL FROM supplier",
     "ticket_fields": "SELECT o_orderkey AS ticket, CAST(1 AS INT) AS ordinal, 'Summary' AS field, o_orderpriority AS text FROM orders UNION ALL SELECT o_orderkey, 2, 'Comment 1', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE repeat(concat(o_orderstatus, ' word. '), CAST(o_custkey % 400 AS INT)) END FROM orders",
     "issues": "SELECT concat('K-', CAST(o_orderkey AS VARCHAR(20))) AS key, CASE WHEN o_orderkey % 10 = 0 THEN 'Epic' ELSE 'Story' END AS kind, o_orderpriority AS summary, o_orderstatus AS status, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE concat('K-', CAST(o_orderkey - o_orderkey % 10 AS VARCHAR(20))) END AS parent, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS VARCHAR(20)) END AS account, CAST(o_orderdate AS VARCHAR(30)) AS updated FROM orders",
@@ -393,10 +392,6 @@ def rich_text(trees):
     return trees.select("id", ig.rich_text(F.col("tree")).alias("text"))
 
 
-@job("SELECT id, class, language, CASE WHEN class = 'binary' THEN 'skipped:binary' WHEN size > 1000000 THEN 'skipped:large' ELSE 'pending' END AS status FROM file_paths", ("file_paths",))
-def classify_file(files):
-    return files.select("id", ig.classify_file(F.col("path"), F.col("size")).alias("c")).select("id", "c.*")
-
 
 @job("SELECT text, type, host, database FROM connections", ("connections",))
 def store_identity(rows):

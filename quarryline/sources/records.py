@@ -26,6 +26,14 @@ def read_records(spark: SparkSession, path: str, schema: StructType, multi_line:
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select("file", CORRUPT)
 
 
+def read_files(spark: SparkSession, folder: str, head: int = 8192) -> DataFrame:
+    """(path, size, head): all files below a folder (an address with its scheme), with their
+    places in it and their first bytes.  Empty files aren't listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    inside = F.substring_index("path", folder.rstrip("/").rpartition("://")[2] + "/", -1)
+    return files.select(inside.alias("path"), F.col("length").alias("size"), F.substring("content", 1, head).alias("head"))
+
+
 def read_inventories(spark: SparkSession, path: str, item: StructType) -> tuple[DataFrame, DataFrame]:
     """(items, failed): one document for each repo, its items exploded."""
     schema = StructType().add("repo", "string").add("sid", "string").add("items", ArrayType(item))
