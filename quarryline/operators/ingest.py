@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import service_docs as sd
+
 CHARS_PER_TOKEN = 4
 _BLOCK = r"(?i)</?(p|div|br|tr|table|ul|ol|section|article|header|footer|nav|blockquote|pre|h[1-6]|li)\b[^>]*>"
 #: page to text: (pattern, replacement), in this order; no pattern looks back or ahead
@@ -241,3 +243,26 @@ def chunk_api_doc(docs: DataFrame, most: int = 500) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "section_title", "display_text"])
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_index int, section_title string, display_text string")
+
+
+def service_doc_chunks(docs: DataFrame, most: int = 500, least: int = 200, endpoint_most: int = 800) -> DataFrame:
+    """(doc_id, chunk_index, section_title, display_text, original_segment) of generated documents
+    of services (doc_id, text): see ``service_docs.parts``; sizes are in tokens of four
+    characters.  The front matter's service_id, aliases, domain, doc_type and summary stand
+    before each chunk, with its section."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                told, body = sd.front_matter(text or "")
+                aka = told.get("aliases") or []
+                aka = [aka] if isinstance(aka, str) else aka
+                head = " | ".join([str(told.get("service_id", "")), *(["aka " + ", ".join(aka[: sd.ALIASES])] if aka else []), str(told.get("domain") or "unknown")])
+                size = CHARS_PER_TOKEN
+                for i, (section, part) in enumerate(sd.parts(body, most * size, least * size, endpoint_most * size, pieces)):
+                    summary = f"{told['summary']}\n" if told.get("summary") else ""
+                    rows.append((doc_id, i, section, f"[{head}] {told.get('doc_type', '')} › {section}\n{summary}\n{part}", part))
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "section_title", "display_text", "original_segment"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_index int, section_title string, display_text string, original_segment string")

@@ -1,4 +1,4 @@
-"""Registered queries of cloud costs, trees of rich text, phased plans and files."""
+"""Registered queries of cloud costs, trees of rich text, phased plans, files and documents of services."""
 
 from __future__ import annotations
 
@@ -130,3 +130,24 @@ _CODE = f"list_contains({_LIST(fl.CODE_EXTENSIONS)}, ext)"
 )
 def classify_file(files):
     return files.select("id", fl.classify_file(F.col("path"), F.col("size"), F.col("mode"), F.col("head").cast("binary")).alias("c")).select("id", "c.*")
+
+
+_ROWS = lambda name, kind: f"concat('### {name}', {_NL}, '| Field | Type |', {_NL}, '|---|---|', {_NL}, '| id | {kind} |')"
+_BODY = lambda name, kind: f"concat('#### Schema {name}', {_NL}, '| Field | Type |', {_NL}, '|---|---|', {_NL}, '| id | {kind} |')"
+VIEWS["service_texts"] = f"""SELECT doc_id, service, brand, get, post, overview, concat('---', {_NL}, 'service_id: ', service, {_NL}, 'aliases: [', brand, ', "second one"]', {_NL}, 'doc_type: API_SPEC', {_NL}, CASE WHEN doc_id % 2 = 0 THEN concat('domain: sales', {_NL}) ELSE '' END, '---', {_NL}, '# Title', {_NL}, {_NL}, '## Overview', {_NL}, overview, {_NL}, {_NL}, '## Endpoints', {_NL}, get, {_NL}, {_NL}, post, {_NL}, {_NL},
+ '## Schemas', {_NL}, {_ROWS("Order", "Item[]")}, {_NL}, {_NL}, {_ROWS("Item", "Price or string")}, {_NL}, {_NL}, {_ROWS("Price", "Order")}, {_NL}, {_NL}, {_ROWS("Unused", "Other")}, {_NL}) AS text FROM (SELECT p_partkey AS doc_id, concat('svc-', {_S("p_size")}) AS service, trim(p_brand) AS brand, concat('About ', trim(p_name), {_NL}, '```', {_NL}, '## no heading', {_NL}, '```') AS overview,
+ concat('### GET /', {_S("p_partkey")}, {_NL}, CASE WHEN p_partkey % 3 = 0 THEN 'Response `200`: `Order`' WHEN p_partkey % 3 = 1 THEN concat('Response `200`: `Item`', {_NL}, '| Field | Type |', {_NL}, '| id | Price |') ELSE 'Response `204`: `None`' END) AS get, concat('### POST /', trim(p_type), {_NL}, 'Request body: `Price`') AS post FROM part) p"""
+
+
+@job(
+    with_views("service_texts") + f""", schemas AS (SELECT {_BODY("Order", "Item[]")} AS o, {_BODY("Item", "Price or string")} AS i, {_BODY("Price", "Order")} AS p), gap AS (SELECT concat({_NL}, {_NL}) AS g),
+ rows AS (SELECT doc_id, 0 AS chunk_index, 'Overview' AS section_title, service, brand, concat('## Overview', {_NL}, overview) AS part FROM service_texts
+  UNION ALL SELECT doc_id, 1, 'Endpoints', service, brand, '## Endpoints' FROM service_texts
+  UNION ALL SELECT doc_id, 2, concat('Endpoints › ', substr(string_split(get, {_NL})[1], 5)), service, brand, concat(get, CASE doc_id % 3 WHEN 0 THEN concat(g, o, g, i, g, p) WHEN 1 THEN concat(g, p, g, o) ELSE '' END) FROM service_texts, schemas, gap
+  UNION ALL SELECT doc_id, 3, concat('Endpoints › ', substr(string_split(post, {_NL})[1], 5)), service, brand, concat(post, g, p, g, o, g, i) FROM service_texts, schemas, gap
+  UNION ALL SELECT doc_id, 4, 'Schemas', service, brand, concat('## Schemas', {_NL}, replace(concat(o, g, i, g, p, g, {_BODY("Unused", "Other")}), '#### Schema', '###')) FROM service_texts, schemas, gap)
+ SELECT doc_id, chunk_index, section_title, concat('[', service, ' | aka ', brand, ', second one | ', CASE WHEN doc_id % 2 = 0 THEN 'sales' ELSE 'unknown' END, '] API_SPEC › ', section_title, {_NL}, {_NL}, part) AS display_text FROM rows""",
+    ("service_texts",),
+)
+def service_doc_chunks(docs):
+    return ig.service_doc_chunks(docs, least=0).select("doc_id", "chunk_index", "section_title", "display_text")
