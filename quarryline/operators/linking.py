@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import CONFIDENCE, rank
-from ..functions.text import norm_path, norm_topic, tokenize
+from ..functions.text import meta_intent, norm_path, norm_topic, query_type, tokenize
 from ..sources.stages import stored
 
 #: words of a term at most, and bytes of terms that are sent to every task
@@ -103,6 +103,17 @@ def resolve_entities(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.select("id", F.row_number().over(order).alias("rank"), "term", F.when(F.col("_one"), F.col("candidates")[0]).alias("entity"), "candidates")
 
 
+def route_questions(questions: DataFrame, services: DataFrame) -> DataFrame:
+    """(id, kind, sid, meta) of questions (id, question): the kind by ``query_type``, the service
+    (sid, name of at most four words) that a question names as whole words (the longest
+    name, then the smallest sid), and whether it is a greeting."""
+    found = find_terms(questions.select("id", F.col("question").alias("text")), services.select(F.col("name").alias("term")))
+    named = services.select(F.array_join(tokenize(F.col("name")), " ").alias("gram"), "sid")
+    met = found.withColumn("gram", F.array_join(tokenize(F.col("term")), " ")).join(named, "gram").groupBy("id").agg(F.min_by("sid", F.struct(-F.length("gram"), F.col("sid"))).alias("sid"))
+    rows = questions.join(met, "id", "left")
+    return rows.select("id", query_type(F.col("question"), F.col("sid")).alias("kind"), "sid", meta_intent(F.col("question")).alias("meta"))
+
+
 def _counted(docs: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, term, sid, tier, count) of terms that name a service, and (id, term, sid, count)
     of the candidates of those that don't."""

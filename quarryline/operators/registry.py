@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_key, is_secret, norm_path, split_identifier
+from ..functions.text import canonical_key, is_secret, name_variants, norm_path, split_identifier
 
 #: settings of a deployment that name a host (fixed values)
 APP_NAMES = ("webappname", "appname", "functionappname")
@@ -123,16 +123,18 @@ def gap_report(items: DataFrame, files: DataFrame) -> DataFrame:
 def alias_candidates(services: DataFrame, packages: DataFrame, routes: DataFrame, hosts: DataFrame, clients: DataFrame) -> DataFrame:
     """(alias, sid, confidence, source), once each: phrases that may name a service.  From
     services (sid, name, title), packages (sid, name), routes (sid, path: its first literal
-    after versions), hosts (sid, host: its first label) and clients (sid, client).  A name
-    of several words also gives the words without a last generic one, at low."""
+    after versions), hosts (sid, host: its first label) and clients (sid, client).  Each
+    also gives its variants (see ``name_variants``), and a client's without its last word, at
+    low."""
     words = lambda c: F.array_join(split_identifier(c), " ")
     segment = F.element_at(F.filter(F.split(norm_path(F.col("path")), "/"), lambda s: (s != "") & (s != "{}") & ~s.rlike(r"^(v\d+|api)$")), 1)
     one = lambda df, c, confidence, source: df.select(c.alias("alias"), "sid", F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
     rows = one(services, words(F.col("name")), "high", "name").unionByName(one(services, F.lower(F.trim("title")), "high", "title"))
     rows = rows.unionByName(one(packages, words(F.regexp_extract("name", r"([^./:@]+)$", 1)), "medium", "package")).unionByName(one(routes.where("path is not null"), words(F.try_element_at(F.array(segment), F.lit(1))), "medium", "route"))
     rows = rows.unionByName(one(hosts, words(F.substring_index("host", ".", 1)), "medium", "host")).unionByName(one(clients, words(F.col("client")), "low", "client"))
-    short = F.regexp_replace("alias", r" (service|api|app|client|server|worker)$", "")
-    variants = rows.where("alias like '% %'").select(short.alias("alias"), "sid", F.lit("low").alias("confidence"), F.col("source")).where(F.col("alias") != "")
+    # a client is called after what it calls
+    called = F.when(F.col("source") == "client", F.regexp_replace("alias", r" (client|gateway|proxy|impl|http|rest|feign)$", "")).otherwise(F.col("alias"))
+    variants = rows.select(F.explode(F.array_distinct(F.concat(F.array(called), name_variants(called)))).alias("variant"), "alias", "sid", "source").where("variant != alias and variant != ''").select(F.col("variant").alias("alias"), "sid", F.lit("low").alias("confidence"), "source")
     every = rows.unionByName(variants).where("length(alias) > 2")
     order = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
     return every.groupBy("alias", "sid", "source").agg(F.min_by("confidence", order).alias("confidence")).select("alias", "sid", "confidence", "source")

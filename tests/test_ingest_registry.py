@@ -61,7 +61,7 @@ def test_registry(spark):
     packages = d([("s1", "com.x:pay-lib")], "sid string, name string")
     routes = d([("s1", "/api/v1/Orders/{id}"), ("s1", None)], "sid string, path string")
     got = rows(rg.alias_candidates(services, packages, routes, d([("s1", "pay.example.org")], "sid string, host string"), d([("s1", "PayClient")], "sid string, client string")))
-    assert got == [("orders", "s1", "medium", "route"), ("pay client", "s1", "low", "client"), ("pay lib", "s1", "medium", "package"), ("pay", "s1", "low", "client"), ("pay", "s1", "medium", "host"), ("payment service", "s1", "high", "name"), ("payment", "s1", "low", "name"), ("payments", "s1", "high", "title")]
+    assert got == [("order", "s1", "low", "route"), ("orders", "s1", "medium", "route"), ("pay client", "s1", "low", "client"), ("pay lib", "s1", "medium", "package"), ("pay", "s1", "low", "client"), ("pay", "s1", "medium", "host"), ("payment service", "s1", "high", "name"), ("payment", "s1", "low", "name"), ("payment", "s1", "low", "title"), ("payments", "s1", "high", "title")]
     items = d([("i", "code", "tests_target", {"m": "GET", "p": ""}, "high", ["b"]), ("i", "code", "runtime", {"m": "POST"}, "high", ["a"]), ("i", "contract", None, {"m": "PUT", "p": "/x"}, "high", ["a"]), ("j", "contract", None, {"m": "A"}, "medium", [])], "id string, source string, role string, attributes map<string,string>, confidence string, evidence array<string>")
     got = {r.id: r for r in rg.merge_items(items).collect()}
     assert got["i"].attributes == {"m": ["POST"], "p": ["/x"]} and got["i"].confidence == "high" and got["i"].evidence == ["a", "b"]
