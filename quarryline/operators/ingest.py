@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,22 +14,45 @@ from ..functions import service_docs as sd
 
 CHARS_PER_TOKEN = 4
 _BLOCK = r"(?i)</?(p|div|br|tr|table|ul|ol|section|article|header|footer|nav|blockquote|pre|h[1-6]|li)\b[^>]*>"
+#: parts of a page that are no text, with all in them (fixed values)
+NO_TEXT = ("script", "style", "head", "title", "noscript", "template")
 #: page to text: (pattern, replacement), in this order; no pattern looks back or ahead
 HTML_STEPS = (
-    (r"(?is)<script\b.*?</script\s*>", ""), (r"(?is)<style\b.*?</style\s*>", ""), (r"(?s)<!--.*?-->", ""),
+    (r"(?s)<!--.*?-->", ""), *((rf"(?is)<{tag}\b.*?</{tag}\s*>", "") for tag in NO_TEXT),
     *((rf"(?i)<h{n}\b[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)), (r"(?i)<li\b[^>]*>", "\n- "), (_BLOCK, "\n"), (r"<[^>]*>", ""),
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"[ \t\r]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+", ""), (r"\s+$", ""),
 )
+#: after character references have become characters
+SPACE_STEPS = ((r"[ \t\r\x{A0}]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+", ""), (r"\s+$", ""))
 #: lists within lists of a rich-text tree
 LEVELS = 16
 
 
+def unescaped(text: Column) -> Column:
+    """Character references as characters: numbers in both forms, and names; what is none stays."""
+    named = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, code)])
+
+    def shown(part: Column) -> Column:
+        end = F.locate(";", part)
+        name = F.substring(part, F.lit(1), end - 1)
+        number = F.when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(name, F.lit(3), end), 16, 10).cast("int")).when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, F.lit(2), end).cast("int"))
+        code = F.coalesce(number, named[name], F.when(name == "apos", 39))
+        known = (end > 1) & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.concat(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), F.substring(part, end + 1, F.length(part)))).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), shown), ""))
+
+
 def html_to_text(html: Column) -> Column:
-    """Text of a page: headings get hashes and list items dashes, blocks are lines, scripts,
-    styles and comments go, and of blank lines one stays."""
+    """Text of a page: headings get hashes and list items dashes, blocks are lines; scripts,
+    styles, comments, the page's head and what shows without scripts alone go; character
+    references become characters, and of blank lines one stays."""
     out = F.coalesce(html, F.lit(""))
     for pattern, replacement in HTML_STEPS:
         out = F.regexp_replace(out, pattern, replacement)
+    out = F.when(F.contains(out, F.lit("&")), unescaped(out)).otherwise(out)
+    for pattern, replacement in SPACE_STEPS:
+        out = F.regexp_replace(out, pattern, replacement)
     return out
 
 

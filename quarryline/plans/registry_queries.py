@@ -66,6 +66,7 @@ VIEWS |= {
     "page_rows": "SELECT page_id AS id, html FROM pages",
     "rich_trees": "SELECT event_id AS id, concat('{\"type\":\"doc\",\"content\":[{\"type\":\"p\",\"content\":[{\"text\":\"', event_type, '\"},{\"text\":\"a \\\\\"b\\\\\"\"}]},{\"content\":[{\"text\": \"', CAST(user_id AS VARCHAR(20)), '\"}]}]}') AS tree, concat(event_type, ' a \"b\" ', CAST(user_id AS VARCHAR(20))) AS plain FROM events UNION ALL SELECT -event_id, event_type, event_type FROM events",
     "connections": "SELECT DISTINCT concat('postgresql://u:pw@Db', CAST(s_nationkey AS VARCHAR(20)), ':5432/Shop?x=1') AS text, 'postgresql' AS type, concat('db', CAST(s_nationkey AS VARCHAR(20))) AS host, 'Shop' AS database FROM supplier UNION SELECT DISTINCT concat('Server=tcp:SQL', CAST(s_nationkey AS VARCHAR(20)), ',1433;Initial Catalog=Main;Password=x'), 'sqlserver', concat('sql', CAST(s_nationkey AS VARCHAR(20))), 'Main' FROM supplier UNION SELECT DISTINCT concat('jdbc:sqlserver://h', CAST(s_nationkey AS VARCHAR(20)), ':1433;databaseName=orders'), 'sqlserver', concat('h', CAST(s_nationkey AS VARCHAR(20))), 'orders' FROM supplier UNION SELECT DISTINCT s_name, NULL, NULL, NULL FROM supplier",
+    "built_pages": "SELECT p_partkey AS id, concat('<html><head><title>T &amp; t</title><style>a > b</style></head><body>', CASE WHEN p_partkey % 3 = 0 THEN '<noscript><p>off</p></noscript><template>x</template>' ELSE '<!-- <p>no</p> -->' END, '<h1 class=\"a\">', trim(p_name), '</h1> <H2>&Uuml;ber</H2><script>if (a < b) x</script><ul><li>', trim(p_brand), ' &amp; co</li><LI> caf&eacute; &#8217; &#x20AC; a&nbsp; b &unknown; &</LI></ul><div>one <b>two</b> &lt;x&gt;<br/>three</div>', CASE WHEN p_partkey % 2 = 0 THEN concat('<p></p>', chr(13), chr(10), chr(10), chr(10), '<p>last') ELSE '' END, ' </body></html>') AS html FROM part UNION ALL SELECT -1 - page_id, html FROM pages",
     "ticket_fields": "SELECT o_orderkey AS ticket, CAST(1 AS INT) AS ordinal, 'Summary' AS field, o_orderpriority AS text FROM orders UNION ALL SELECT o_orderkey, 2, 'Comment 1', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE repeat(concat(o_orderstatus, ' word. '), CAST(o_custkey % 400 AS INT)) END FROM orders",
     "issues": "SELECT concat('K-', CAST(o_orderkey AS VARCHAR(20))) AS key, CASE WHEN o_orderkey % 10 = 0 THEN 'Epic' ELSE 'Story' END AS kind, o_orderpriority AS summary, o_orderstatus AS status, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE concat('K-', CAST(o_orderkey - o_orderkey % 10 AS VARCHAR(20))) END AS parent, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS VARCHAR(20)) END AS account, CAST(o_orderdate AS VARCHAR(30)) AS updated FROM orders",
 }
@@ -374,15 +375,21 @@ def missing_integrations(requests, items, links):
 # ingest
 
 def _steps(column: str) -> str:
+    """The given pages' text by the same steps in the other engine's replacements."""
+    entities = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
     out = f"coalesce({column}, '')"
-    for pattern, replacement in ig.HTML_STEPS:
+    for pattern, replacement in (*ig.HTML_STEPS, *entities, *ig.SPACE_STEPS):
         flags = "g" + ("i" if "i" in pattern[:5] and pattern.startswith("(?") else "") + ("s" if pattern.startswith("(?") and "s" in pattern[:5] else "")
         bare = pattern.split(")", 1)[1] if pattern.startswith("(?") else pattern
         out = f"regexp_replace({out}, '{bare}', {' || chr(10) || '.join(repr(x) for x in replacement.split(chr(10))) if chr(10) in replacement else chr(39) + replacement.replace(chr(39), 2 * chr(39)) + chr(39)}, '{flags}')"
     return out
 
 
-@job(f"SELECT id, {_steps('html')} AS text FROM page_rows", ("page_rows",))
+@job(
+    f"""SELECT p_partkey AS id, concat('# ', trim(p_name), chr(10), chr(10), '## Über', chr(10), chr(10), '- ', trim(p_brand), ' & co', chr(10), chr(10), '- café ’ € a b &unknown; &', chr(10), chr(10), 'one two <x>', chr(10), 'three', CASE WHEN p_partkey % 2 = 0 THEN concat(chr(10), chr(10), 'last') ELSE '' END) AS text FROM part
+    UNION ALL SELECT -1 - page_id, {_steps('html')} FROM pages""",
+    ("built_pages",),
+)
 def html_to_text(pages):
     return pages.select("id", ig.html_to_text(F.col("html")).alias("text"))
 
