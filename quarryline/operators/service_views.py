@@ -62,6 +62,32 @@ def service_detail(depends_on: DataFrame, links: DataFrame) -> DataFrame:
     return both.join(tickets, "service", "left").select("service", F.coalesce("uses", none).alias("uses"), F.coalesce("used_by", none).alias("used_by"), F.coalesce("tickets", F.lit(0).cast("long")).alias("tickets"))
 
 
+#: what a service's row tells: (name, edge, whether it goes out, labels at its other end) (fixed values)
+PROFILE = (
+    ("owners", "OWNED_BY", True, ("Team",)), ("uses", "DEPENDS_ON", True, ("Service",)), ("used_by", "DEPENDS_ON", False, ("Service",)), ("tickets", "LINKED_TO", False, ("Ticket", "Epic")),
+    ("documents", "DOCUMENTED_IN", True, ("ConfluencePage", "Page", "ServiceDoc")), ("published", "PUBLISHES", True, ("Topic",)), ("subscribed", "SUBSCRIBES", True, ("Topic",)),
+)
+
+
+def service_profile(entities: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+    """One row for each live service of a graph (entities: source_id, label, name, deleted_at;
+    edges: source_id, rel_type, target_id): service, name, and for each of ``PROFILE`` the first
+    ``most`` ids at the other end, sorted, and how many live ones there are (n_owners, ...).
+    Repeated edges count once."""
+    live = entities.where("deleted_at is null").select("source_id", "label", "name")
+    named = edges.select("source_id", "rel_type", "target_id").where(F.col("rel_type").isin(*sorted({p[1] for p in PROFILE})))
+    ends = named.join(live.select("source_id", F.col("label").alias("_from")), "source_id").join(live.select(F.col("source_id").alias("target_id"), F.col("label").alias("_to")), "target_id")
+    kinds = [F.when((F.col("rel_type") == rel) & (F.col("_from" if out else "_to") == "Service") & F.col("_to" if out else "_from").isin(*labels), F.struct(F.col("source_id" if out else "target_id").alias("service"), F.lit(name).alias("kind"), F.col("target_id" if out else "source_id").alias("other"))) for name, rel, out, labels in PROFILE]
+    seen = ends.select(F.explode(F.array_compact(F.array(*kinds))).alias("k")).select("k.*").distinct()
+    # ranked first, so that no more than the shown ones are gathered
+    ranked = seen.withColumn("_n", F.row_number().over(Window.partitionBy("service", "kind").orderBy("other")))
+    of = lambda name: F.col("kind") == name
+    told = ranked.groupBy("service").agg(*[c for name, *_ in PROFILE for c in (F.sort_array(F.collect_list(F.when(of(name) & (F.col("_n") <= most), F.col("other")))).alias(name), F.count_if(of(name)).alias(f"n_{name}"))])
+    rows = live.where("label = 'Service'").select(F.col("source_id").alias("service"), "name").join(told, "service", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("service", "name", *[c for name, *_ in PROFILE for c in (F.coalesce(name, none).alias(name), F.coalesce(f"n_{name}", F.lit(0).cast("long")).alias(f"n_{name}"))])
+
+
 def owned_tables(ddl: DataFrame, access: DataFrame) -> DataFrame:
     """(store, table, owner, users): who declares a table's schema, and which services
     that don't declare it use it."""

@@ -1,10 +1,11 @@
-"""Registered queries of feeds: a stored graph merged in two batches, full re-reads, kept answers."""
+"""Registered queries of feeds: a stored graph merged in two batches, full re-reads, kept answers, profiles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import service_views as sv
 from ..sources.stages import new_folder
 from ..streaming import events as ev
 from ..streaming import sync
@@ -109,3 +110,25 @@ VIEWS["asked"] = """SELECT event_id AS query_id, ts, concat(event_type, ' ', CAS
 )
 def cache_hits(asked):
     return ev.cache_hits(asked.withColumn("query_key", ev.query_key(F.col("query"), F.col("filters"))), 12 * 3600).select("query_id", "hit")
+
+
+_GONE = lambda n: f"CASE WHEN {n} % 7 = 3 THEN 'then' ELSE NULL END AS deleted_at"
+_ID = lambda kind, n: f"concat('{kind}:', {_N(n)})"
+VIEWS["graph_entities"] = f"""SELECT {_ID("service", "s_suppkey")} AS source_id, 'Service' AS label, s_name AS name, {_GONE("s_suppkey")} FROM supplier UNION ALL SELECT {_ID("team", "n_nationkey")}, 'Team', n_name, {_GONE("n_nationkey")} FROM nation
+ UNION ALL SELECT {_ID("ticket", "o_orderkey")}, CASE WHEN o_orderkey % 5 = 0 THEN 'Epic' ELSE 'Ticket' END, o_orderpriority, {_GONE("o_orderkey")} FROM orders UNION ALL SELECT {_ID("page", "doc_id")}, CASE WHEN doc_id % 2 = 0 THEN 'Page' ELSE 'Other' END, source, {_GONE("doc_id")} FROM documents
+ UNION ALL SELECT DISTINCT concat('topic:', event_type), 'Topic', event_type, NULL FROM events"""
+VIEWS["graph_edges"] = f"""SELECT {_ID("service", "s_suppkey")} AS source_id, 'OWNED_BY' AS rel_type, {_ID("team", "s_nationkey")} AS target_id FROM supplier UNION ALL SELECT {_ID("service", "s_suppkey")}, 'OWNED_BY', {_ID("service", "s_suppkey + 1")} FROM supplier UNION ALL SELECT {_ID("ticket", "l_orderkey")}, 'LINKED_TO', {_ID("service", "l_suppkey")} FROM lineitem
+ UNION ALL SELECT {_ID("service", "l_suppkey")}, 'DEPENDS_ON', {_ID("service", "l_partkey % 50")} FROM lineitem UNION ALL SELECT {_ID("service", "doc_id % 60")}, 'DOCUMENTED_IN', {_ID("page", "doc_id")} FROM documents
+ UNION ALL SELECT {_ID("service", "user_id % 40")}, CASE WHEN event_id % 3 = 0 THEN 'PUBLISHES' WHEN event_id % 3 = 1 THEN 'SUBSCRIBES' ELSE 'MENTIONS' END, concat('topic:', event_type) FROM events"""
+_PART = lambda name, rel, out, labels: f"(SELECT {'source_id' if out else 'target_id'} AS service, array_to_string(list_sort(list(DISTINCT {'target_id' if out else 'source_id'}))[1:20], ',') AS {name}, count(DISTINCT {'target_id' if out else 'source_id'}) AS n_{name} FROM graph_edges JOIN live o ON o.id = {'target_id' if out else 'source_id'} WHERE rel_type = '{rel}' AND o.label IN ({', '.join(repr(x) for x in labels)}) GROUP BY 1)"
+
+
+@job(
+    f", live AS (SELECT source_id AS id, label, name FROM graph_entities WHERE deleted_at IS NULL) SELECT id AS service, name, "
+    + ", ".join(f"coalesce({name}, '') AS {name}, coalesce(n_{name}, 0) AS n_{name}" for name, *_ in sv.PROFILE)
+    + " FROM live s " + " ".join(f"LEFT JOIN {_PART(*p)} {p[0]}_part ON {p[0]}_part.service = s.id" for p in sv.PROFILE) + " WHERE s.label = 'Service'",
+    ("graph_entities", "graph_edges"),
+)
+def service_profile(entities, edges):
+    rows = sv.service_profile(entities, edges, 20)
+    return rows.withColumns({name: F.array_join(name, ",") for name, *_ in sv.PROFILE})
