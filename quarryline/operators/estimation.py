@@ -155,12 +155,13 @@ TIER_POINTS = (25.0, 45.0, 62.5, 77.5)
 
 
 def confidence(tier: Column, detail: Column, clarity: Column, history: Column, coverage: Column) -> Column:
-    """Weighted mean of factors held to 0..100; a tier counts with the middle of its range."""
+    """Weighted mean of factors held to 0..100, to two places; a tier counts with the middle of its
+    range."""
     held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(c.cast("double"), F.lit(0.0))))
     points = F.element_at(F.array(*map(F.lit, TIER_POINTS)), tier.cast("int") + 1)
     parts = [points, held(detail), held(clarity), held(history), held(coverage)]
     total = sum((w * p for w, p in zip(CONFIDENCE_WEIGHTS[1:], parts[1:], strict=True)), CONFIDENCE_WEIGHTS[0] * parts[0])
-    return F.round(total, 4)
+    return F.round(total, 2)
 
 
 def domain_history(estimates: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ VIEWS: dict[str, str] = {
     "publishers": "SELECT DISTINCT 'bus' AS broker, concat('prod-', event_type) AS topic, concat('p', CAST(user_id % 30 AS VARCHAR(20))) AS sid, CASE WHEN user_id % 3 = 0 THEN NULL ELSE concat('ns', CAST(user_id % 2 AS VARCHAR(20))) END AS namespace FROM events",
     "subscribers": "SELECT DISTINCT 'bus' AS broker, concat(event_type, '.dev') AS topic, concat('q', CAST(user_id % 20 AS VARCHAR(20))) AS sid, CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat('ns', CAST(user_id % 2 AS VARCHAR(20))) END AS namespace FROM events",
     "access": "SELECT DISTINCT 'db' AS store, concat('t', CAST(l_partkey % 200 AS VARCHAR(20))) AS \"table\", concat('s', CAST(l_suppkey % 50 AS VARCHAR(20))) AS sid, CASE WHEN l_linenumber % 2 = 0 THEN 'write' ELSE 'read' END AS access FROM lineitem",
-    "packages": "SELECT DISTINCT concat('repo', CAST(l_suppkey % 20 AS VARCHAR(20))) AS repo, 'maven' AS ecosystem, concat('com.x:lib', CAST(l_partkey % 150 AS VARCHAR(20))) AS name, concat('1.', CAST(l_linenumber AS VARCHAR(20))) AS version FROM lineitem",
-    "artifacts": "SELECT DISTINCT concat('repo', CAST(p_partkey % 20 AS VARCHAR(20))) AS repo, CASE WHEN p_partkey % 3 = 0 THEN 'maven' ELSE 'npm' END AS ecosystem, concat('com.x:lib', CAST(p_partkey % 150 AS VARCHAR(20))) AS name FROM part",
+    "packages": "SELECT DISTINCT concat('repo', CAST(l_suppkey % 20 AS VARCHAR(20))) AS repo, 'maven' AS ecosystem, concat('com.x:lib', CAST(l_partkey % 150 AS VARCHAR(20))) AS name, concat('1.', CAST(l_linenumber AS VARCHAR(20))) AS version FROM lineitem UNION SELECT DISTINCT concat('repo', CAST(l_suppkey % 20 AS VARCHAR(20))), 'maven', concat(CASE WHEN l_linenumber % 2 = 0 THEN 'com.y:only' ELSE 'org.z:only' END, CAST(l_partkey % 23 AS VARCHAR(20))), '2.0' FROM lineitem",
+    "artifacts": "SELECT DISTINCT concat('repo', CAST(p_partkey % 20 AS VARCHAR(20))) AS repo, CASE WHEN p_partkey % 3 = 0 THEN 'maven' ELSE 'npm' END AS ecosystem, concat('com.x:lib', CAST(p_partkey % 150 AS VARCHAR(20))) AS name FROM part UNION SELECT DISTINCT concat('repo', CAST(p_partkey % 20 AS VARCHAR(20))), 'maven', concat('com.y:only', CAST(p_partkey % 20 AS VARCHAR(20))) FROM part",
     "raw_edges": "SELECT concat('s', CAST(l_suppkey % 30 AS VARCHAR(20))) AS src, concat('s', CAST(l_partkey % 30 AS VARCHAR(20))) AS dst, CASE WHEN l_linenumber % 3 = 0 THEN 'event' ELSE 'http' END AS kind, concat('via', CAST(l_linenumber AS VARCHAR(20))) AS via, CAST(l_orderkey AS VARCHAR(20)) AS item, CAST(l_suppkey AS VARCHAR(20)) AS repo, CAST(l_partkey AS VARCHAR(20)) AS evidence, CASE WHEN l_quantity > 49 THEN 'high' WHEN l_quantity > 20 THEN 'medium' ELSE 'low' END AS confidence FROM lineitem",
     "ledger": "SELECT o_orderpriority AS repo, o_orderstatus AS class, CASE WHEN o_orderkey % 1000 = 5 THEN 'failed' WHEN o_orderkey % 3 = 0 THEN 'scanned' ELSE 'extracted' END AS status, concat('l', CAST(o_custkey % 6 AS VARCHAR(20))) AS language FROM orders",
     "branches": "SELECT DISTINCT CAST(s_suppkey AS VARCHAR(20)) AS dealer, CAST(n_nationkey AS VARCHAR(20)) AS branch, n_name AS state, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",

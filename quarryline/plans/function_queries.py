@@ -42,7 +42,7 @@ VIEWS |= {
     "option_scores": "SELECT o_custkey % 90 AS evaluation_id, o_orderkey % 7 AS option_id, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'fit' WHEN 1 THEN 'risk' ELSE 'cost' END AS dimension, CAST(max(o_custkey % 11) AS DOUBLE) AS score FROM orders GROUP BY o_custkey % 90, o_orderkey % 7, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'fit' WHEN 1 THEN 'risk' ELSE 'cost' END",
     "option_weights": "SELECT 'fit' AS dimension, CAST(0.5 AS DOUBLE) AS weight UNION ALL SELECT 'risk', CAST(0.3 AS DOUBLE) UNION ALL SELECT 'cost', CAST(0.2 AS DOUBLE)",
     "codes": "SELECT DISTINCT concat('CP', CAST(o_custkey % 130 AS VARCHAR(20)), '-', CAST(o_custkey % 12 AS VARCHAR(20))) AS code, o_custkey % 130 AS a, o_custkey % 12 AS b FROM orders",
-    "answers": "SELECT event_id AS id, concat('See [ref:', CAST(user_id % 9 AS VARCHAR(20)), '] and [ref:3], ', event_type, ' of [ref:', CAST(user_id % 9 AS VARCHAR(20)), '].') AS answer, split(concat(upper(event_type), ',missing,see'), ',') AS expected, user_id % 9 AS r FROM events",
+    "answers": "SELECT event_id AS id, concat('See [ref:', CAST(user_id % 9 AS VARCHAR(20)), '] and [ref:3], ', event_type, ' of [ref:', CAST(user_id % 9 AS VARCHAR(20)), '].') AS answer, split(concat(upper(event_type), ',missing', CASE WHEN event_id % 2 = 0 THEN ',see' ELSE '' END, CASE WHEN event_id % 3 = 0 THEN ',Ref:3,of,none' ELSE '' END), ',') AS expected, user_id % 9 AS r FROM events",
     "asked_texts": "SELECT event_id AS id, event_type AS said, CAST(event_id % 12 AS INT) AS form, CASE CAST(event_id % 12 AS INT) WHEN 0 THEN concat('What depends on the ', event_type, ' service?') WHEN 1 THEN concat('Describe the end  to end path of ', event_type) WHEN 2 THEN concat('Which APIs has ', upper(event_type), '?') WHEN 3 THEN concat('Hello ', event_type) WHEN 4 THEN concat('the ', event_type, '-service is slow today and nobody of us can tell why that is so') WHEN 5 THEN concat('please tell me about ', event_type, ' service, we would really like to learn more of it') WHEN 6 THEN 'the api is slow' WHEN 7 THEN ' Good  morning!! ' WHEN 8 THEN 'what can you do?' WHEN 9 THEN 'who are you going to call' WHEN 10 THEN concat('body of /v1/', event_type, ' please') ELSE NULL END AS question FROM events",
     "asked_services": "SELECT DISTINCT concat('s-', event_type) AS sid, event_type AS name FROM events WHERE event_type != 'error' UNION SELECT DISTINCT concat('t-', event_type), concat(event_type, ' Service') FROM events",
     "identifiers": "SELECT DISTINCT CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN concat(a, upper(substr(b, 1, 1)), substr(b, 2), 'Api', p_size) WHEN 1 THEN concat('HTTP', upper(substr(a, 1, 1)), substr(a, 2), '_v2.0-', b) WHEN 2 THEN concat('.', a, '.', b, '__X ', 'Y/', upper(a)) WHEN 3 THEN concat(upper(a), p_size, '.', p_size, 'Client.') ELSE concat('-', substr(a, 1, p_partkey % 2), '..') END AS name, CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN concat(a, ' ', b, ' api', p_size) WHEN 1 THEN concat('http ', a, ' v2.0 ', b) WHEN 2 THEN concat(a, ' ', b, ' x y ', a) WHEN 3 THEN concat(a, p_size, '.', p_size, ' client') ELSE substr(a, 1, p_partkey % 2) END AS words FROM (SELECT p_partkey, CAST(p_size AS VARCHAR(20)) AS p_size, concat('k', translate(lower(p_type), ' #0123456789', '')) AS a, concat('m', translate(lower(p_brand), ' #0123456789', '')) AS b FROM part) p",
@@ -266,7 +266,7 @@ def citations(answers):
     return answers.select("id", F.array_join(F.transform(F.array_sort(tx.citations(F.col("answer"))), lambda x: x.cast("string")), ",").alias("refs"))
 
 
-@job("SELECT id, 2.0::DOUBLE / 3 AS score FROM answers", ("answers",))
+@job("SELECT id, (1 + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END)::DOUBLE / (2 + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 3 ELSE 0 END) AS score FROM answers", ("answers",))
 def keyword_score(answers):
     return answers.select("id", tx.keyword_score(F.col("answer"), F.col("expected")).alias("score"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -76,7 +77,7 @@ VIEWS |= {
 _POINTS = "CASE tier WHEN 0 THEN 25.0::DOUBLE WHEN 1 THEN 45.0 WHEN 2 THEN 62.5 ELSE 77.5 END"
 
 
-@job(f"SELECT request_id, round(0.3::DOUBLE * {_POINTS} + 0.25::DOUBLE * greatest(0.0::DOUBLE, least(100.0::DOUBLE, detail)) + 0.2::DOUBLE * greatest(0.0::DOUBLE, least(100.0::DOUBLE, clarity)) + 0.15::DOUBLE * coalesce(history, 0.0::DOUBLE) + 0.1::DOUBLE * least(100.0::DOUBLE, coverage), 4) AS confidence FROM factor_rows", ("factor_rows",))
+@job(f"SELECT request_id, round(0.3::DOUBLE * {_POINTS} + 0.25::DOUBLE * greatest(0.0::DOUBLE, least(100.0::DOUBLE, detail)) + 0.2::DOUBLE * greatest(0.0::DOUBLE, least(100.0::DOUBLE, clarity)) + 0.15::DOUBLE * coalesce(history, 0.0::DOUBLE) + 0.1::DOUBLE * least(100.0::DOUBLE, coverage), 2) AS confidence FROM factor_rows", ("factor_rows",))
 def confidence(rows):
     return rows.select("request_id", es.confidence(*[F.col(c) for c in ("tier", "detail", "clarity", "history", "coverage")]).alias("confidence"))
 
@@ -405,18 +406,24 @@ def store_identity(rows):
     return rows.select("text", ig.store_identity(F.col("text")).alias("s")).select("text", "s.*")
 
 
-@job("SELECT chunk_id AS doc_id, md5(display_text) AS joined FROM chunks WHERE display_text != ''", ("chunks",))
+@job("SELECT chunk_id AS doc_id, md5(display_text) AS joined, 0::BIGINT AS too_long, 0::BIGINT AS too_short FROM chunks WHERE display_text != ''", ("chunks",))
 def chunk_markdown(chunks):
+    """The segments joined again, and how many have more than the bound (of 100 and nearly 40
+    tokens) or, the last one aside, fewer than 40."""
     parts = ig.chunk_markdown(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("display_text").alias("text")), 100, 40)
     whole = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "original_segment"))), lambda x: x["original_segment"])
-    return parts.groupBy("doc_id").agg(F.md5(F.array_join(whole, "").cast("binary")).alias("joined"))
+    size = F.length("original_segment")
+    last = F.max("chunk_index").over(Window.partitionBy("doc_id"))
+    marked = parts.withColumn("short", (size < 160) & (F.col("chunk_index") < last))
+    return marked.groupBy("doc_id").agg(F.md5(F.array_join(whole, "").cast("binary")).alias("joined"), F.count_if(size >= 560).alias("too_long"), F.count_if("short").alias("too_short"))
 
 
-@job("SELECT ticket, md5(string_agg(text, '' ORDER BY ordinal)) AS joined, max(CASE WHEN ordinal = 2 THEN 'Comment' ELSE 'Summary' END) AS last_title FROM ticket_fields WHERE text != '' GROUP BY ticket", ("ticket_fields",))
+@job("SELECT ticket, md5(string_agg(text, '' ORDER BY ordinal)) AS joined, max(CASE WHEN ordinal = 2 THEN 'Comment' ELSE 'Summary' END) AS last_title, sum(CAST(ceil(length(text) / 240.0) AS BIGINT))::BIGINT AS chunks, max(least(length(text), 240))::BIGINT AS longest FROM ticket_fields WHERE text != '' GROUP BY ticket", ("ticket_fields",))
 def chunk_ticket(fields):
+    """The segments joined again, their number and the longest one: 30 sentences of 8 signs fit."""
     parts = ig.chunk_ticket(fields, 60)
     whole = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "original_segment"))), lambda x: x["original_segment"])
-    return parts.groupBy("ticket").agg(F.md5(F.array_join(whole, "").cast("binary")).alias("joined"), F.replace(F.max("section_title"), F.lit("Comments"), F.lit("Comment")).alias("last_title"))
+    return parts.groupBy("ticket").agg(F.md5(F.array_join(whole, "").cast("binary")).alias("joined"), F.replace(F.max("section_title"), F.lit("Comments"), F.lit("Comment")).alias("last_title"), F.count("*").alias("chunks"), F.max(F.length("original_segment")).cast("long").alias("longest"))
 
 
 @job(
