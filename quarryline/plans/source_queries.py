@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
+from ..functions import text as tx
+from ..operators import registry as rg
 from ..sources import records as rc
 from ..sources.stages import new_folder
 from .bindings import VIEWS, view
@@ -113,3 +115,28 @@ def export_report(projects):
     at = new_folder(projects.sparkSession)
     rc.export_report(projects.where("vendor is not null").select("id", "name", "rag_status"), at)
     return projects.sparkSession.read.option("header", True).schema("id long, name string, rag_status string").csv(at)
+
+
+_W = "concat('k', repeat(chr(97 + CAST(s_suppkey % 26 AS INT)), 3))"
+_CAP = f"concat('K', repeat(chr(97 + CAST(s_suppkey % 26 AS INT)), 3))"
+VIEWS["alias_services"] = f"SELECT concat('s', {_S('s_suppkey')}) AS sid, {_W} AS w, CASE WHEN s_suppkey % 2 = 0 THEN concat({_W}, '-crud-services') ELSE concat({_CAP}, 'Service') END AS name, concat(' ', upper({_W}), ' Portal') AS title, concat('@org/', {_W}, '-api') AS package, concat('/api/v2/', {_W}, '/{{id}}') AS path, concat({_W}, '-svc.example.org') AS host, concat({_CAP}, 'ServiceClient') AS client FROM supplier".replace("{{", "{").replace("}}", "}")
+
+
+@job(
+    """, names AS (SELECT sid, w, unnest(CASE WHEN contains(name, 'crud') THEN [w || ' crud services', w || ' crud service', w, w || ' services', w || ' service'] ELSE [w || ' service', w] END) AS alias, name FROM alias_services)
+    SELECT alias, sid, CASE WHEN alias = w || ' crud services' OR (alias = w || ' service' AND NOT contains(name, 'crud')) THEN 'high' ELSE 'low' END AS confidence, 'name' AS source FROM names UNION ALL SELECT w || ' portal', sid, 'high', 'title' FROM alias_services
+    UNION ALL SELECT w || ' api', sid, 'medium', 'package' FROM alias_services UNION ALL SELECT w, sid, 'low', 'package' FROM alias_services UNION ALL SELECT w, sid, 'medium', 'route' FROM alias_services UNION ALL SELECT w || ' svc', sid, 'medium', 'host' FROM alias_services
+    UNION ALL SELECT w, sid, 'low', 'host' FROM alias_services UNION ALL SELECT unnest([w || ' service client', w || ' service', w]), sid, 'low', 'client' FROM alias_services""",
+    ("alias_services",),
+)
+def alias_candidates(services):
+    one = lambda column, name: services.select("sid", F.col(column).alias(name))
+    return rg.alias_candidates(services, one("package", "name"), one("path", "path"), one("host", "host"), one("client", "client"))
+
+
+VIEWS["pairs"] = "SELECT event_id AS id, concat('n', CAST(user_id AS VARCHAR(20))) AS a, CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('n', CAST(event_id % 90 AS VARCHAR(20))) END AS b FROM events"
+
+
+@job("SELECT id, sha1(concat(a, '|', coalesce(b, ''), '|', CAST(id % 3 AS VARCHAR))) AS edge_id FROM pairs", ("pairs",))
+def stable_ids(pairs):
+    return pairs.select("id", tx.stable_id(F.col("a"), F.col("b"), F.col("id") % 3).alias("edge_id"))
