@@ -41,7 +41,7 @@ TOP = 2000
 BLOCK = 1 << 17
 CODES = 1 << 20
 #: positions of one row of codes, and cells after them: no phrase may have more words
-CELLS = 1 << 20
+CELLS = 1 << 18
 AHEAD = 16
 #: counts of one row between tasks
 SLICE = 4096
