@@ -48,8 +48,8 @@ SLICE = 4096
 #: bits of a hash below those that tell its slice: 2048 slices
 HASH_SLICE_SHIFT = 53
 #: rows of words that a task holds before it sums them, hashes likewise, and rows of one batch
-HELD = 1 << 18
-HASHES = 1 << 20
+HELD = 1 << 17
+HASHES = 1 << 19
 BATCH_ROWS = 1 << 16
 #: slots of a trie for each of its nodes: placing is quick in a table that is mostly free
 ROOM = 6
