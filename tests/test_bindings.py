@@ -5,8 +5,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quarryline.plans.bindings import VIEWS
+from quarryline.plans.queries import QUERIES, SQL, job
 
 KINDS = ("click", "view", "purchase", None)
 #: (event_id, ts, user_id, event_type); one id is null, one negative, two events have no time
@@ -28,6 +31,7 @@ def rows(spark, folder, name):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet{'/*.parquet' if os.path.isdir(f'{folder}/events.parquet') else ''}'")
     want = con.execute(entry.oracle_sql()[name])
     got = entry.queries()[name](spark, folder)
+    got = got.select([F.col(c).cast("timestamp_ntz" if t == "timestamp" else t).alias(c) for c, t in got.dtypes])
     key = lambda row: [(v is not None, v) for v in row]
     return (got.columns, sorted(map(tuple, got.collect()), key=key)), ([c[0] for c in want.description], sorted(want.fetchall(), key=key))
 
@@ -41,3 +45,21 @@ def test_route_events(spark, folder):
 def test_feed_of_the_stored_graph(spark):
     got, want = rows(spark, "/root/testdata/sf0.001", "feed_outcomes")
     assert got == want
+
+
+def test_last_of_batch(spark, folder):
+    got, want = rows(spark, folder, "last_of_batch")
+    assert got == want
+    assert [(event, at is None) for event, at in got[1]] == [(None, False), ("click", False), ("purchase", False), ("signup", True), ("view", False)]
+
+
+def test_a_name_used_again(spark, monkeypatch):
+    for names in (QUERIES, SQL, VIEWS):
+        monkeypatch.setitem(names, "again", "SELECT 1 AS a")
+
+    @job("SELECT a FROM again", ("again",))
+    def again(rows):
+        return rows
+
+    VIEWS["again"] = "SELECT 2 AS a"
+    assert [r.a for r in QUERIES["again"](spark, "").collect()] == [1] == [a for (a,) in duckdb.execute(SQL["again"]).fetchall()]
