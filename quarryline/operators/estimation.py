@@ -199,8 +199,10 @@ def vendor_compare(proposals: DataFrame) -> DataFrame:
 
 def rank_vendors(scored: DataFrame) -> DataFrame:
     """Composite of quality, cost and delivery, 40/35/25, not under 0, to one place; ties by
-    proposal."""
-    total = F.greatest(F.lit(0.0), F.round(0.40 * F.col("quality") + 0.35 * F.col("cost") + 0.25 * F.col("delivery"), 1))
+    proposal.  Tenths are rounded as doubles: rounding to a place would go by the sum's digits,
+    in which half a tenth can be missing (13.549999999999999)."""
+    raw = 0.40 * F.col("quality") + 0.35 * F.col("cost") + 0.25 * F.col("delivery")
+    total = F.greatest(F.lit(0.0), F.when(F.abs(raw) < 1e307, F.round(raw * 10) / 10).otherwise(raw))
     rows = scored.withColumn("composite", total)
     return rows.select("request_id", "proposal_id", "composite", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("composite"), "proposal_id")).alias("rank"))
 
