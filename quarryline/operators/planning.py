@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phases as ph
+from ..sources.stages import stored
 
 #: texts that stand for one to be written (fixed values)
 PLACEHOLDERS = r"(?i)\b(tbd|todo|tbc|to be (?:defined|determined|added|confirmed)|lorem ipsum|xxx+|placeholder)\b"
@@ -139,17 +140,27 @@ def missing_integrations(requests: DataFrame, items: DataFrame, links: DataFrame
     """(request_id, system, unit_id, complexity): an integration item for each link (ordinal,
     src, dst, unit_id, criticality) with both ends in a request (request_id, system), none
     of them ``external``, unless an item (request_id, system, unit_id) of either end covers
-    it or an earlier link gave the same; the ``most`` most complex, in the links' order."""
-    ends = lambda side: requests.distinct().select("request_id", F.col("system").alias(side))
-    met = links.where((F.col("src") != external) & (F.col("dst") != external)).join(ends("src"), "src").join(ends("dst"), ["request_id", "dst"])
-    have = items.select("request_id", "system", "unit_id").distinct()
-    for side in ("src", "dst"):
-        met = met.join(have.withColumnRenamed("system", side), ["request_id", side, "unit_id"], "left_anti")
-    # a link also finds what an earlier one gave its destination
+    it or an earlier link gave the same; the ``most`` most complex, in the links' order.
+
+    Of links that have ends and unit in common only the first can give anything.  Requests
+    and items are dealt by request once, and a request's row holds no more systems and items
+    than the links name; its links are found and compared where it is then."""
     complexity = F.coalesce(*[F.when(F.col("criticality") == k, v) for k, v in COMPLEXITY.items()], F.lit("medium"))
-    given = met.groupBy("request_id", F.col("src").alias("system"), "unit_id").agg(F.min("ordinal").alias("_first"))
-    rows = met.join(given.select("request_id", F.col("system").alias("dst"), "unit_id", "_first"), ["request_id", "dst", "unit_id"], "left").where("_first is null or _first >= ordinal")
-    one = rows.groupBy("request_id", F.col("src").alias("system"), "unit_id").agg(F.min(F.struct("ordinal", complexity.alias("complexity"))).alias("f"))
+    inner = links.where((F.col("src") != external) & (F.col("dst") != external))
+    first = stored(inner.groupBy("src", "dst", "unit_id").agg(F.min(F.struct("ordinal", complexity.alias("complexity"))).alias("f")).select("src", "dst", "unit_id", "f.*"))
+    ends = first.select(F.explode(F.array("src", "dst")).alias("system"), "unit_id").distinct()
+    have = requests.where("request_id is not null").join(ends.select("system").distinct(), "system", "left_semi").groupBy("request_id").agg(F.collect_set("system").alias("_systems"))
+    covered = items.join(ends, ["system", "unit_id"], "left_semi").groupBy("request_id").agg(F.collect_set(F.struct("system", "unit_id")).alias("_covered"))
+    gives = first.groupBy("src").agg(F.collect_list(F.struct("dst", "unit_id", "ordinal", "complexity")).alias("_gives"))
+    near = have.join(covered, "request_id", "left").withColumn("src", F.explode("_systems")).join(gives, "src")
+    near = near.withColumn("l", F.explode(F.filter("_gives", lambda g: F.array_contains("_systems", g["dst"])))).select("request_id", "src", "l.*", "_covered")
+    covers = lambda side: F.coalesce(F.array_contains("_covered", F.struct(F.col(side).alias("system"), "unit_id")), F.lit(False))
+    met = near.where(~covers("src") & ~covers("dst")).drop("_covered")
+    # a link also finds what an earlier one gave its destination
+    told = met.withColumn("_e", F.explode(F.array(F.struct(F.col("src").alias("system"), F.lit(True).alias("gives")), F.struct(F.col("dst").alias("system"), F.lit(False).alias("gives")))))
+    given = F.min(F.when(F.col("_e.gives"), F.col("ordinal"))).over(Window.partitionBy("request_id", "unit_id", "_e.system"))
+    rows = told.withColumn("_first", given).where("not _e.gives and (unit_id is null or _first is null or _first >= ordinal)")
+    one = rows.groupBy("request_id", F.col("src").alias("system"), "unit_id").agg(F.min(F.struct("ordinal", "complexity")).alias("f"))
     place = F.when(F.col("f.complexity") == "complex", 0).when(F.col("f.complexity") == "medium", 1).otherwise(2)
     nth = F.row_number().over(Window.partitionBy("request_id").orderBy(place, "f.ordinal"))
     return one.withColumn("_n", nth).where(F.col("_n") <= most).select("request_id", "system", "unit_id", "f.complexity")

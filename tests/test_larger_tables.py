@@ -1,6 +1,9 @@
 """What only larger tables showed: half tenths, and work that grew with the product of two sides."""
 
+import random
+
 from quarryline.operators import estimation as es
+from quarryline.operators import planning as pl
 
 
 def test_half_tenths_round_up_whatever_the_digits_of_the_sum(spark):
@@ -10,3 +13,32 @@ def test_half_tenths_round_up_whatever_the_digits_of_the_sum(spark):
     assert raw < 13.55 and raw * 10 == 135.5
     got = {r.proposal_id: (r.composite, r.rank) for r in es.rank_vendors(scored).collect()}
     assert got == {1: (13.6, 1), 2: (13.6, 2), 3: (0.0, 3), 4: (0.0, 4)}
+
+
+def plain_missing(requests, items, links, external, most):
+    out = set()
+    for request in {r for r, _ in requests if r is not None}:
+        have = {s for r, s in requests if r == request}
+        met = [x for x in links if x[1] in have and x[2] in have and external not in x[1:3] and not any((request, end, x[3]) in items for end in x[1:3])]
+        one = {}
+        for ordinal, src, dst, unit, criticality in sorted(met):
+            if not any(e[1] == dst and e[3] == unit and e[0] < ordinal for e in met):
+                one.setdefault((src, unit), (ordinal, pl.COMPLEXITY.get(criticality, "medium")))
+        rows = sorted((("complex", "medium", "simple").index(c), o, *key) for key, (o, c) in one.items())[:most]
+        out |= {(request, src, unit, ("complex", "medium", "simple")[place]) for place, _, src, unit in rows}
+    return out
+
+
+def test_missing_integrations_equal_plain_ones_and_many_links_make_no_more_rows(spark):
+    rng = random.Random(3)
+    some = lambda n: f"S{rng.randrange(n)}"
+    requests = [(rng.randrange(40), some(9)) for _ in range(160)] + [(None, "S1"), (None, "S2"), (7, None), (1, "ERP")]
+    items = [(rng.randrange(40), some(9), f"U{rng.randrange(3)}") for _ in range(80)] + [(2, None, "U1"), (2, "S1", None), (None, "S1", "U1")]
+    links = [(i, some(9), "ERP" if i % 11 == 0 else some(9), f"U{rng.randrange(3)}", rng.choice(["critical", "high", "low", "odd", None])) for i in range(900)]
+    asked = spark.createDataFrame(requests, "request_id long, system string")
+    got = pl.missing_integrations(asked, spark.createDataFrame(items, "request_id long, system string, unit_id string"), spark.createDataFrame(links, "ordinal int, src string, dst string, unit_id string, criticality string"), "ERP")
+    have = {tuple(r) for r in got.collect()}
+    assert have == plain_missing(requests, set(items), links, "ERP", pl.MOST_ADDED) and len(have) > 100
+    # links are told apart by their ends and unit before any request meets them, and no link travels with a request
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "dst" not in " ".join(x for x in plan.splitlines() if "hashpartitioning" in x)
