@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from quarryline.operators import estimation as es
+from quarryline.operators import graph as gr
 from quarryline.operators import planning as pl
 
 
@@ -42,3 +45,36 @@ def test_missing_integrations_equal_plain_ones_and_many_links_make_no_more_rows(
     # links are told apart by their ends and unit before any request meets them, and no link travels with a request
     plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
     assert "dst" not in " ".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def plain_reach(pairs, hops):
+    nexts, out = {}, set()
+    for a, b in pairs:
+        if a is not None:
+            nexts.setdefault(a, set()).add(b)
+    for root in nexts:
+        front, seen, hop = {root}, set(), 0
+        while front and (hops is None or hop < hops):
+            hop += 1
+            front = {b for a in front for b in nexts.get(a, ())} - seen
+            seen |= front
+            out |= {(root, b, hop) for b in front}
+    return out
+
+
+def hub_edges():
+    # 300 services with the same three hubs, 40 with some of them, a cycle, a tail and null ends
+    rng = random.Random(4)
+    pairs = [(f"s{i}", f"n{k}") for i in range(300) for k in range(3)] + [(f"s{i}", f"n{rng.randrange(9)}") for i in range(300, 340)]
+    return pairs + [(f"n{k}", f"c{k % 2}") for k in range(9)] + [("c0", "s0"), ("c1", "tail"), ("x", None), (None, "y")]
+
+
+@pytest.mark.parametrize(("hops", "undirected"), [(2, True), (2, False), (3, False), (None, False)])
+def test_roots_with_the_same_neighbours_are_walked_once(spark, monkeypatch, hops, undirected):
+    walked, walk = [], gr._walked
+    monkeypatch.setattr(gr, "_walked", lambda both, roots, n: walked.append(roots.count()) or walk(both, roots, n))
+    pairs = hub_edges() if not undirected else [(a, b) for a, b in hub_edges() if a and b]
+    got = gr.reach(spark.createDataFrame(pairs, "src string, dst string"), hops=hops, undirected=undirected).collect()
+    every = pairs + [(b, a) for a, b in pairs] if undirected else pairs
+    assert len(got) == len(set(got)) and {tuple(r) for r in got if r.node is not None} == {x for x in plain_reach(every, hops) if x[1] is not None}
+    assert walked[0] < 175
