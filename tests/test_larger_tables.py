@@ -78,3 +78,20 @@ def test_roots_with_the_same_neighbours_are_walked_once(spark, monkeypatch, hops
     every = pairs + [(b, a) for a, b in pairs] if undirected else pairs
     assert len(got) == len(set(got)) and {tuple(r) for r in got if r.node is not None} == {x for x in plain_reach(every, hops) if x[1] is not None}
     assert walked[0] < 175
+
+
+def test_impact_joins_sets_of_tickets_and_not_tickets(spark, monkeypatch):
+    kept, store = [], gr.stored
+    monkeypatch.setattr(gr, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    pairs = hub_edges()[:-2]
+    # 2000 tickets concern one of seven pairs of services; some are told twice, some of nobody
+    links = [(s, f"T{t}", "epic" if t % 3 == 0 else "ticket") for t in range(2000) for s in (f"s{t % 7}", f"s{300 + t % 7}", f"s{t % 7}")]
+    links += [("s1", None, "epic"), (None, "T1", "epic"), ("s1", "T5", "other"), ("nobody", "T9999", "ticket"), ("s9", "T0", "ticket"), ("s9", "T0", "epic")]
+    got = gr.impact(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame(links, "service string, ticket string, kind string"))
+    hit = {}
+    for root, node, _ in plain_reach([(b, a) for a, b in pairs], 2):
+        hit.setdefault(root, set()).add(node)
+    count = lambda nodes, kind: len({t for s, t, k in links if s in nodes and k == kind and t})
+    assert {tuple(r) for r in got.collect()} == {(root, len(nodes), count(nodes, "epic"), count(nodes, "ticket")) for root, nodes in hit.items()}
+    assert got.agg({"tickets": "max"}).first()[0] > 1300
+    assert [df.count() < 40 for df in kept if df.columns == ["kind", "ticket", "_n"]] == [True]
