@@ -93,9 +93,10 @@ def store_identity(text: Column) -> Column:
 
 # payloads
 
-def _entity(df: DataFrame, label: str, source_id: Column, name: Column, status: Column | None = None, updated: Column | None = None) -> DataFrame:
+def _entity(df: DataFrame, label: str, source_id: Column, name: Column, status: Column | None = None, updated: Column | None = None, once: bool = True) -> DataFrame:
     none = F.lit(None).cast("string")
-    return df.select(F.lit(label).alias("label"), source_id.alias("source_id"), name.alias("name"), (none if status is None else status).alias("status"), (none if updated is None else updated).alias("updated_at")).where("source_id is not null").distinct()
+    rows = df.select(F.lit(label).alias("label"), source_id.alias("source_id"), name.alias("name"), (none if status is None else status).alias("status"), (none if updated is None else updated).alias("updated_at")).where("source_id is not null")
+    return rows.distinct() if once else rows
 
 
 def _edge(df: DataFrame, source: Column, rel: str, target: Column) -> DataFrame:
@@ -110,22 +111,23 @@ def extract_repo(repos: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entities, _edge(repos, repo, "CONTAINS", service)
 
 
-def extract_pr(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def extract_pr(requests: DataFrame, once: bool = True) -> tuple[DataFrame, DataFrame]:
     """(entities, edges) of pull requests (repo, number, title, state, merged_at, user
-    STRUCT<login, name>, updated_at): each modifies its repository and has an author."""
+    STRUCT<login, name>, updated_at): each modifies its repository and has an author.  Not
+    ``once``: a request is there as often as it is told, for a merge that takes one by id."""
     pr, person = F.concat_ws("#", F.concat(F.lit("pr:"), "repo"), F.col("number").cast("string")), F.concat(F.lit("person:"), F.lower("user.login"))
     status = F.when(F.col("merged_at").isNotNull(), "merged").otherwise(F.col("state"))
-    entities = _entity(requests, "PullRequest", pr, F.col("title"), status, F.col("updated_at")).unionByName(_entity(requests, "Person", person, F.coalesce("user.name", "user.login")))
+    entities = _entity(requests, "PullRequest", pr, F.col("title"), status, F.col("updated_at"), once).unionByName(_entity(requests, "Person", person, F.coalesce("user.name", "user.login")))
     return entities, _edge(requests, pr, "MODIFIES", F.concat(F.lit("repo:"), "repo")).unionByName(_edge(requests, pr, "AUTHORED_BY", person))
 
 
-def extract_issue(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+def extract_issue(issues: DataFrame, once: bool = True) -> tuple[DataFrame, DataFrame]:
     """(entities, edges) of tickets (key, kind, summary, status, parent, assignee
     STRUCT<accountId, displayName>, updated): tickets and epics, their assignees, and which
-    epic a ticket belongs to."""
+    epic a ticket belongs to.  ``once`` as in ``extract_pr``."""
     ticket, person = F.concat(F.lit("ticket:"), "key"), F.concat(F.lit("person:"), "assignee.accountId")
     epic = F.lower(F.coalesce("kind", F.lit(""))) == "epic"
-    both = _entity(issues.where(epic), "Epic", ticket, F.col("summary"), F.col("status"), F.col("updated")).unionByName(_entity(issues.where(~epic), "Ticket", ticket, F.col("summary"), F.col("status"), F.col("updated")))
+    both = _entity(issues.where(epic), "Epic", ticket, F.col("summary"), F.col("status"), F.col("updated"), once).unionByName(_entity(issues.where(~epic), "Ticket", ticket, F.col("summary"), F.col("status"), F.col("updated"), once))
     entities = both.unionByName(_entity(issues, "Person", person, F.col("assignee.displayName")))
     return entities, _edge(issues, ticket, "ASSIGNED_TO", person).unionByName(_edge(issues, ticket, "PART_OF", F.concat(F.lit("ticket:"), "parent")))
 

@@ -11,12 +11,12 @@ hours, not for single events.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import upsert_edges_checked
 from ..operators.ingest import extract_issue, extract_page, extract_pr
-from ..sources.stages import discard, exists
+from ..sources.stages import discard, exists, new_folder
 
 #: what is done with the events of each system (fixed values)
 EVENTS = {
@@ -67,7 +67,7 @@ def extract_feed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     pulls = merged.where("kind = 'pull'").select(F.col("object.repository.id").alias("repo"), "object.pull_request.*")
     issues = merged.where("kind = 'issue'").select("object.issue.*").select("key", F.col("fields.issuetype.name").alias("kind"), F.col("fields.summary").alias("summary"), F.col("fields.status.name").alias("status"), F.col("fields.parent.key").alias("parent"), F.col("fields.assignee").alias("assignee"), F.col("fields.updated").alias("updated"))
     pages = merged.where("kind = 'page'").select("object.page.*").select("id", "title", F.lit(None).cast("string").alias("html"), F.col("version.when").alias("updated_at"))
-    (pull_nodes, pull_edges), (issue_nodes, issue_edges) = extract_pr(pulls), extract_issue(issues)
+    (pull_nodes, pull_edges), (issue_nodes, issue_edges) = extract_pr(pulls, once=False), extract_issue(issues, once=False)
     nodes = hashed(pull_nodes).unionByName(hashed(issue_nodes)).unionByName(hashed(extract_page(pages)))
     return nodes, pull_edges.unionByName(issue_edges).distinct()
 
@@ -79,8 +79,10 @@ def merge_entities(target: DataFrame, batch: DataFrame, now: Column, gone: Colum
     Of several rows of a source_id the last by updated_at, then hash, counts.  created_at
     is the first row's updated_at.  ``gone``: a condition on stored entities; those that
     meet it, are live and not in the batch are marked deleted at ``now``."""
-    order = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("updated_at"), F.desc("text_hash"), F.desc_nulls_last("name"))
-    new = batch.where("source_id is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    # summed up before the shuffle: a batch may tell of an entity any number of times
+    order = ["updated_at", "text_hash", "name"]
+    last = F.max(F.struct(*order, *[c for c in batch.columns if c not in (*order, "source_id")])).alias("_last")
+    new = batch.where("source_id is not null").groupBy("source_id").agg(last).select("source_id", "_last.*")
     o, n = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
     rows = target.drop("change").withColumn("_old", F.lit(True)).alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), "source_id", "full_outer")
     same = n("_new").isNull() | (o("_old") & o("text_hash").eqNullSafe(n("text_hash")) & o("deleted_at").isNull())
@@ -111,6 +113,9 @@ class Graph:
     def _table(self, name: str, schema: str, tables: int | None) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{tables}") if tables is not None else self.spark.createDataFrame([], schema)
 
+    def merged(self, token: str) -> bool:
+        return self._last(token).seen > 0
+
     def entities(self) -> DataFrame:
         """All entities, deleted ones too; ``change``: what the last merge that changed any did."""
         return self._table("entities", ENTITY, self._last().tables)
@@ -157,9 +162,16 @@ class Graph:
 
 
 def ingest_batch(graph: Graph, feed: DataFrame, token: str) -> bool:
-    """Parse, extract and merge the rows of a feed under a token."""
-    nodes, edges = extract_feed(parse_feed(feed))
-    return graph.merge(nodes, edges, token)
+    """Parse, extract and merge the rows of a feed under a token.  What is parsed is written
+    before its entities and edges are taken from it, so no payload is parsed for each of them."""
+    if graph.merged(token):
+        return False
+    spark, path = feed.sparkSession, new_folder(feed.sparkSession)
+    parsed = parse_feed(feed).select("kind", "outcome", F.when(F.col("outcome") == "merged", F.col("object")).alias("object"))
+    parsed.write.parquet(path)
+    done = graph.merge(*extract_feed(spark.read.schema(parsed.schema).parquet(path)), token)
+    discard(spark, path)
+    return done
 
 
 def ingest_events(feed: DataFrame, graph: Graph, checkpoint: str, name: str = "feed", available_now: bool = True):
