@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline.plans import sync_queries as sq
 from quarryline.streaming import sync
 
 SCHEMA = "seq long, system string, event string, payload string"
@@ -46,3 +47,11 @@ def test_the_last_row_is_found_before_the_shuffle(spark):
     merged = sync.merge_entities(spark.createDataFrame([], sync.ENTITY), batch, F.lit("now"))
     assert sorted((r.source_id, r.name, r.created_at, r.change) for r in merged.collect()) == [("p", "n7", "2024", "CREATED"), ("q", "Q", None, "CREATED")]
     assert "Window" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_two_batches_take_four_reads_of_the_feed(spark, counted):
+    # the last seq and the rows, for each batch; a third one has a token that was merged
+    feed, seen = counted
+    got = sq.ingest_edges(feed, spark.createDataFrame([("repo:1", "r")], "source_id string, name string")).collect()
+    assert seen.value <= 4 * 200
+    assert {r.rel_type for r in got} == {"ASSIGNED_TO", "PART_OF"} and {r.target_id for r in got if r.state == "rejected"} == {"ticket:T-7", "ticket:T-8"}
