@@ -55,3 +55,11 @@ def test_edges_of_two_batches_take_four_reads_of_the_feed(spark, counted):
     got = sq.ingest_edges(feed, spark.createDataFrame([("repo:1", "r")], "source_id string, name string")).collect()
     assert seen.value <= 4 * 200
     assert {r.rel_type for r in got} == {"ASSIGNED_TO", "PART_OF"} and {r.target_id for r in got if r.state == "rejected"} == {"ticket:T-7", "ticket:T-8"}
+
+
+def test_full_reads_after_the_feed_read_nothing_of_it_again(spark, counted):
+    feed, seen = counted
+    wiki = spark.createDataFrame([("page:1", "read 1"), ("page:9", "read 9")], "source_id string, name string")
+    got = sq.full_sync(feed, spark.createDataFrame([("repo:1", "r")], "source_id string, name string"), wiki).collect()
+    assert seen.value <= 4 * 200
+    assert sorted(tuple(r) for r in got) == [("wiki-1", 1, 1, 0, 4, True), ("wiki-2", 0, 0, 2, 0, False)]
