@@ -238,6 +238,8 @@ class Trie:
         self.depth = paths.shape[1]
         self.paths = paths = paths[np.lexsort(paths.T[::-1])]
         self.bytes = max(1, -(-int(paths.max()).bit_length() // 8))
+        self.begins = np.zeros(int(paths[:, 0].max()) + 2, bool)  # whether a path begins with a code
+        self.begins[paths[:, 0]] = True
         signs = np.stack([paths[:, k] >> (8 * j) & 255 for k in range(self.depth) for j in reversed(range(self.bytes))], axis=1)
         new = np.ones(signs.shape, bool)  # whether a row is the first with its first l + 1 bytes
         new[1:] = np.logical_or.accumulate(signs[1:] != signs[:-1], axis=1)
@@ -286,7 +288,7 @@ class Trie:
     def walk(self, cells: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions below ``starts`` where a path begins, and which.  ``cells`` ends in
         ``depth`` zeros."""
-        at = np.flatnonzero(cells[:starts])
+        at = np.flatnonzero(self.begins[np.minimum(cells[:starts], len(self.begins) - 1)])
         state = np.zeros(len(at), np.int32)
         for k in range(self.depth):
             code = cells[at + k]
@@ -436,12 +438,20 @@ def _summed(trie):
 
 
 def _tries(paths: DataFrame, size: int) -> Iterator[Trie]:
-    """Tries of all ``paths``, each of at most ``BLOCK``."""
+    """Tries of all ``paths``, each of at most ``BLOCK``.  They are dealt by their first word, so
+    a position is walked in one trie and passed over in all others; only if a word has too many
+    for that, by more of their words."""
     blocks = max(1, -(-paths.count() * 5 // (4 * BLOCK)))
-    dealt = paths.withColumn("block", F.expr(f"pmod(xxhash64(path), {blocks})"))
-    while (dealt.groupBy("block").count().agg(F.max("count")).first()[0] or 0) > BLOCK:
-        blocks *= 2
-        dealt = paths.withColumn("block", F.expr(f"pmod(xxhash64(path), {blocks})"))
+
+    def dealt_by(words: int) -> DataFrame:
+        return paths.withColumn("block", F.expr(f"pmod(xxhash64(slice(path, 1, {words})), {blocks})"))
+
+    def fits(dealt: DataFrame) -> bool:
+        return (dealt.groupBy("block").count().agg(F.max("count")).first()[0] or 0) <= BLOCK
+
+    words = 1
+    while not fits(dealt := dealt_by(words)):
+        words, blocks = (words, 2 * blocks) if words == size else (words + 1, blocks)
     for b in range(blocks):
         block = dealt.where(F.col("block") == b).select("path").toArrow()["path"].combine_chunks()
         if len(block):

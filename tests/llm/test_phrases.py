@@ -88,3 +88,19 @@ def test_tries_find_their_paths(top, depth, n):
     place = {tuple(p): i for i, p in enumerate(trie.paths.tolist())}
     assert sorted(place) == sorted(map(tuple, paths.tolist()))
     assert list(zip(at.tolist(), leaf.tolist(), strict=True)) == [(i, place[w]) for i in range(5000) if (w := tuple(cells[i : i + depth].tolist())) in place]
+
+
+def test_a_position_is_walked_in_one_trie(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK", 64)
+    paths = [[a, b] for a in range(1, 41) for b in range(1, 9)]
+    tries = list(phrases._tries(spark.createDataFrame([(p,) for p in paths], "path array<int>"), 2))
+    begins = [set(t.paths[:, 0].tolist()) for t in tries]
+    assert len(tries) > 4 and sum(map(len, begins)) == 40
+    assert sorted(p for t in tries for p in t.paths.tolist()) == paths
+    cells = np.array([39, 3, 0, 7, 50, 7, 1] + [0] * phrases.AHEAD, np.int32)
+    met = [(t.walk(cells, 7)[0].tolist(), t.paths[t.walk(cells, 7)[1]].tolist()) for t in tries]
+    assert sorted(x for x in met if x[0]) == sorted(([i], [cells[i : i + 2].tolist()]) for i in (0, 5))
+    # a word with more paths than a trie holds is dealt by more words
+    paths = [[5, b] for b in range(1, 200)]
+    tries = list(phrases._tries(spark.createDataFrame([(p,) for p in paths], "path array<int>"), 2))
+    assert sorted(p for t in tries for p in t.paths.tolist()) == paths and max(len(t.paths) for t in tries) <= 64
